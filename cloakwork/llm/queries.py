@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, quality
+from . import lines, personal, quality, secrets
 from .common import read_table
 
 
+def op4_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_report(read_table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(read_table(spark, sf_dir, "documents"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read_table(spark, sf_dir, "documents"))
 
@@ -19,6 +27,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_personal": op4_personal,
+    "op5_secrets": op5_secrets,
     "op7_lines": op7_lines,
     "op9_quality": op9_quality,
 }
