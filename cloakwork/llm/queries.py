@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, personal, quality, secrets
+from . import lines, mixing, personal, quality, secrets, sharding
 from .common import read_table
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_report(read_table(spark, sf_dir, "documents"))
 
@@ -26,11 +30,17 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": op1_mix,
     "op4_personal": op4_personal,
     "op5_secrets": op5_secrets,
     "op7_lines": op7_lines,
     "op9_quality": op9_quality,
+    "op10_shards": op10_shards,
 }
 
-ORACLE: dict[str, str] = {"op7_lines": lines.ORACLE}
+ORACLE: dict[str, str] = {"op1_mix": mixing.ORACLE, "op7_lines": lines.ORACLE}
