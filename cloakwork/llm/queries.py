@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, mixing, personal, quality, secrets, sharding
+from . import licenses, lines, mixing, neardup, personal, quality, secrets, sharding, warc
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_report(read_table(spark, sf_dir, "documents"))
 
@@ -22,10 +26,18 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(read_table(spark, sf_dir, "pages"))
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(read_table(spark, sf_dir, "documents"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
@@ -36,11 +48,14 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op3_licenses": op3_licenses,
     "op4_personal": op4_personal,
     "op5_secrets": op5_secrets,
+    "op6_warc": op6_warc,
     "op7_lines": op7_lines,
+    "op8_neardup": op8_neardup,
     "op9_quality": op9_quality,
     "op10_shards": op10_shards,
 }
 
-ORACLE: dict[str, str] = {"op1_mix": mixing.ORACLE, "op7_lines": lines.ORACLE}
+ORACLE: dict[str, str] = {"op1_mix": mixing.ORACLE, "op6_warc": warc.ORACLE, "op7_lines": lines.ORACLE}
