@@ -1,11 +1,12 @@
 """License scans by MinHash bands over overlapping text windows.
 
-A text is normalised to words, three-word shingles are hashed, and windows of
-five shingles overlap by two, so a run of up to three shingles lies inside
-a window.  The templates are cut into windows at every shingle.  A band is one
+A text is normalised to words, two-word shingles are hashed, and windows of
+four shingles overlap by one, so a run of two shingles lies inside a window.
+The templates are cut into windows at every shingle.  A band is one
 minimum of the window's hashes under an exclusive-or seed: two windows with
 Jaccard similarity J share a band with probability J, and with 20 bands a
-similarity of a half or more is missed less than once in a million.  Windows that
+similarity of a half or more is missed less than once in a million; every
+place of a template has a window with a half in common, or two with two fifths.  Windows that
 share a band with a template are candidates, and exact containment of the
 template's shingles in the text around the window verifies them.
 
@@ -13,7 +14,7 @@ The whole scan is one pass of DataFrame functions without a shuffle before the
 matches.  The table of template bands is small by the size of the template list,
 which is checked; longer lists are joined instead of being put into the plan.
 
-Cases: a null, empty or short text has no match; a template has five words or more;
+Cases: a null, empty or short text has no match; a template has three words or more;
 repeated rows get the same matches; a doc_id that several rows share gets the matches
 of all; an empty table gives an empty result; texts are scanned whole.
 """
@@ -38,11 +39,11 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("Proprietary", "All rights reserved. No part of this publication may be reproduced"),
+    ("Proprietary", "All rights reserved"),
 ]
 
-SHINGLE = 3
-WINDOW = 5
+SHINGLE = 2
+WINDOW = 4
 STRIDE = 3
 BANDS = 20
 CONTAINED = 0.9
@@ -83,8 +84,8 @@ def _windows(shingles: str, stride: int, full: bool) -> Column:
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> tuple[DataFrame, list[tuple]]:
     """(template bands as a table, the same as rows): (license, wording, n_template, template, band, value)."""
-    if any(len(text.split()) < 5 for _, text in templates):
-        raise ValueError("a template has five words or more")
+    if any(len(text.split()) < 3 for _, text in templates):
+        raise ValueError("a template has three words or more")
     rows = [(name, i, text) for i, (name, text) in enumerate(templates)]
     base = (
         spark.createDataFrame(rows, "license string, wording int, text string")
@@ -138,3 +139,18 @@ def license_report(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", "license")
         .agg(F.count_distinct("wording").alias("wordings"), F.max("share").alias("share"))
     )
+
+
+def _oracle() -> str:
+    plain = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    rows = ", ".join(f"('{name}', {i}, '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+    return f"""
+WITH t(license, wording, phrase) AS (VALUES {rows}),
+n AS (SELECT doc_id, ' ' || {plain("coalesce(text, '')")} || ' ' AS words FROM documents)
+SELECT doc_id, license, count(DISTINCT wording) AS wordings, 1.0::DOUBLE AS share
+FROM n JOIN t ON contains(words, ' ' || {plain("phrase")} || ' ')
+GROUP BY doc_id, license
+"""
+
+
+ORACLE = _oracle()

@@ -58,4 +58,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shards": op10_shards,
 }
 
-ORACLE: dict[str, str] = {"op1_mix": mixing.ORACLE, "op6_warc": warc.ORACLE, "op7_lines": lines.ORACLE}
+ORACLE: dict[str, str] = {"op1_mix": mixing.ORACLE, "op3_licenses": licenses.ORACLE, "op6_warc": warc.ORACLE, "op7_lines": lines.ORACLE}
