@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lines, mixing, neardup, personal, quality, secrets, sharding, warc
+from . import decontaminate, licenses, lines, mixing, neardup, personal, quality, secrets, sharding, warc
 from .common import read_table
 
 
@@ -14,6 +14,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(read_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_decontaminate": op2_decontaminate,
     "op3_licenses": op3_licenses,
     "op4_personal": op4_personal,
     "op5_secrets": op5_secrets,
