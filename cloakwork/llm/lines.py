@@ -5,8 +5,8 @@ each hash, and the lines whose hash is over the threshold are dropped
 everywhere but in the largest doc_id; the rest is put together by position.
 Counting groups by (hash, document) first, so a line that a third of all
 documents share is spread over all tasks and reaches its own task as partial
-counts only.  The join back to the lines has nothing above it that needs the
-rows of a hash together, so Spark can split a hash that many rows have.
+counts only.  For the join back to the lines the rows of each hash are dealt to a
+fixed number of salts, so that no task gets all rows of a frequent line.
 
 Cases: a null or empty text is one empty line; rows that share a doc_id count as
 one document, and null doc_ids as one that is smaller than all others; repeated
@@ -16,17 +16,48 @@ kept by :func:`dedup_lines`, and names with a leading underscore are its own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_KEY_CHARS = 40
 MIN_DOCUMENTS = 5
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends and with A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _UPPER, _LOWER)
+#: Parts into which the rows of each hash are dealt for the join with the shared hashes.
+SALTS = 16
+_SPACES = b" \t\n\x0b\x0c\r"
+
+
+def _hashed_lines(min_chars: int):
+    """A row for each line whose key is long enough; the key is without white space at its ends and with A-Z lower-cased."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                row, at, hashes = [], [], []
+                for n, text in enumerate(part.column("text").cast(pa.binary())):
+                    for i, line in enumerate((text.as_py() or b"").split(b"\n")):
+                        if len(line) >= min_chars:
+                            key = line.strip(_SPACES).lower()
+                            if len(key) >= min_chars and len(key.decode()) >= min_chars:
+                                row.append(n)
+                                at.append(i)
+                                hashes.append(xxhash.xxh3_128_digest(key))
+                taken = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("_doc").take(taken),
+                        part.column("_digest").take(taken),
+                        pa.array(at, pa.int32()),
+                        pa.array(hashes, pa.binary()),
+                    ],
+                    names=["_doc", "_digest", "_at", "_hash"],
+                )
+
+    return run
 
 
 def _lines(text: Column) -> Column:
@@ -35,26 +66,22 @@ def _lines(text: Column) -> Column:
 
 def dropped_positions(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """(_doc, _digest, _drops) for each document that loses lines; _drops holds their positions from 0."""
-    lines = (
-        docs.select(
-            F.col("doc_id").alias("_doc"),
-            F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_digest"),
-            F.posexplode(_lines(F.col("text"))).alias("_at", "_line"),
-        )
-        .filter(F.length("_line") >= min_chars)
-        .withColumn("_key", line_key(F.col("_line")))
-        .filter(F.length("_key") >= min_chars)
-        .select("_doc", "_digest", "_at", F.unhex(F.md5("_key")).alias("_hash"))
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("_doc"),
+        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_digest"),
+        F.col("text").cast("string").alias("text"),
     )
+    lines = texts.mapInArrow(_hashed_lines(min_chars), "_doc long, _digest long, _at int, _hash binary")
     pairs = lines.groupBy("_hash", "_doc").agg(F.lit(1).alias("_one"))
     shared = (
         pairs.groupBy("_hash")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_doc").alias("_keeper"))
         .filter(F.col("_n") >= min_documents)
-        .select("_hash", "_keeper")
+        .select("_hash", "_keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
     return (
-        lines.join(shared, "_hash")
+        lines.withColumn("_salt", F.pmod(F.xxhash64("_doc", "_at"), F.lit(SALTS)).cast("int"))
+        .join(shared, ["_hash", "_salt"])
         .filter(~F.col("_doc").eqNullSafe(F.col("_keeper")))
         .groupBy("_doc", "_digest")
         .agg(F.collect_set("_at").alias("_drops"))
