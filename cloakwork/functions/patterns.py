@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 # Limits, kinds with their priorities, and the forms of placeholders and secret keys.
@@ -107,5 +106,5 @@ def java(pattern: str, fold: bool = False) -> str:
 
 
 def re2(pattern: str, fold: bool = False) -> str:
-    """The pattern for RE2, if it has no lookaround; quantifiers over 1000 are not in the table."""
-    return ("(?i)" if fold else "") + re.sub(r"\(\?<!\[\?&#\]\)", "", pattern)
+    """The pattern for RE2; a guard before a word takes the character before it into the match."""
+    return ("(?i)" if fold else "") + pattern.replace(r"(?<![?&#])\b", r"(?:\A|[^?&#A-Za-z0-9_])")
