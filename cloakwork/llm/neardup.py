@@ -12,12 +12,13 @@ the first k - floor + 1.  Inverted lists of just these values therefore find
 every link, and a value that very many documents hold matters only to
 documents that consist of such values.
 
-Within a list no pairs are enumerated at first: each list compares one member
-with the others and linked members become one component, twice with other
-members.  A list whose members are then in several components is dealt into
-blocks, pairs of blocks count shared sketch values between components, and only
-pairs at the floor come out.  Every pair that is compared passes the union-sketch
-estimate and is then verified on the full sets.
+Within a list no pairs are enumerated: its most central member, the one whose values
+are the most frequent, is compared with the others, after which lists with the
+same centre are one and linked members are one component.  Pairs that pass the
+union-sketch estimate are verified on the full sets.  Where the members of a
+centre are then in several components, those outside the largest are dealt into
+blocks and compared on their full sets with blocks of all members; a pair of
+blocks returns only as many links as join its components.
 
 Cases: a text without words (or null) is linked with nothing; a text with fewer
 words than a shingle has its whole sequence as one; rows that share a doc_id are
@@ -44,8 +45,9 @@ from .graph import components
 
 SKETCH = 48
 MISS = 1e-9
-PIVOT_ROUNDS = 2
 BLOCK = 256
+#: Columns of the shared-value count that a block holds at once.
+CHUNK = 16384
 
 _ROW = "doc_id long, digest long, n_shingles long, node binary, sketch array<long>"
 
@@ -145,7 +147,7 @@ def _digest(text: Column) -> Column:
 
 
 def _inverted_lists(classes: DataFrame, k: int, floor: int, percent: int) -> DataFrame:
-    """(value, node, n): the lists with two members or more, one of those with the same members."""
+    """(value, node, n, score): the lists with two members or more, one of those with the same members."""
     values = classes.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     needed = F.least(F.lit(floor), F.ceil(F.col("n") * percent / 100))
@@ -158,8 +160,11 @@ def _inverted_lists(classes: DataFrame, k: int, floor: int, percent: int) -> Dat
     )
     lists = checkpointed(
         by_node.select(
-            "node", "n", F.explode(F.slice("found", F.lit(1), F.col("take").cast("int"))).alias("x")
-        ).select("node", "n", F.col("x.value").alias("value"))
+            "node",
+            "n",
+            F.aggregate("found", F.lit(0).cast("long"), lambda t, x: t + x["df"]).alias("score"),
+            F.explode(F.slice("found", F.lit(1), F.col("take").cast("int"))).alias("x"),
+        ).select("node", "n", "score", F.col("x.value").alias("value"))
     )
     part = F.shiftright(F.xxhash64("node"), 20)
     members = (
@@ -167,7 +172,7 @@ def _inverted_lists(classes: DataFrame, k: int, floor: int, percent: int) -> Dat
         .agg(F.count(F.lit(1)).alias("m"), F.sum(part).alias("s1"), F.sum(F.shiftright(F.xxhash64("node", "n"), 20)).alias("s2"))
         .filter("m > 1")
     )
-    chosen = members.groupBy("m", "s1", "s2").agg(F.min("value").alias("value")).select("value", "m")
+    chosen = members.groupBy("m", "s1", "s2").agg(F.min("value").alias("value")).select("value")
     return lists.join(chosen, "value")
 
 
@@ -201,38 +206,84 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, fl
     )
 
 
-def _block_pairs(floor: int, percent: int):
-    def run(key, members: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        rows, cols = members[members.block == i], members[members.block == j]
-        values = {v: n for n, v in enumerate(dict.fromkeys(v for s in members.sketch for v in s))}
-        sides = []
-        for side in (rows, cols):
-            marks = np.zeros((len(side), len(values)), dtype=np.float32)
-            for n, s in enumerate(side.sketch):
-                marks[n, [values[v] for v in s]] = 1
-            sides.append(marks)
-        shared = sides[0] @ sides[1].T
-        n_a, n_b = rows.n.to_numpy()[:, None], cols.n.to_numpy()[None, :]
-        least = np.minimum(floor, np.ceil(np.maximum(n_a, n_b) * percent / 100))
-        fits = (shared >= least) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
-        fits &= rows.root.to_numpy()[:, None] != cols.root.to_numpy()[None, :]
-        if i == j:
-            fits &= np.tri(*fits.shape, k=-1, dtype=bool)
-        at_a, at_b = np.nonzero(fits)
-        return pd.DataFrame({"a": rows.node.to_numpy()[at_a], "b": cols.node.to_numpy()[at_b]})
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set on the left has in common with each on the right."""
+    values = np.unique(np.concatenate([*left, *right]))
+    shared = np.zeros((len(left), len(right)), dtype=np.float64)
+    places = [[np.searchsorted(values, s) for s in side] for side in (left, right)]
+    for at in range(0, len(values), CHUNK):
+        marks = []
+        for side in places:
+            part = np.zeros((len(side), min(CHUNK, len(values) - at)), dtype=np.float32)
+            for n, place in enumerate(side):
+                low, high = np.searchsorted(place, (at, at + CHUNK))
+                part[n, place[low:high] - at] = 1
+            marks.append(part)
+        shared += marks[0] @ marks[1].T
+    return shared
+
+
+def _block_links(percent: int):
+    def run(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+        left, right = members[members.side == 0], members[members.side == 1]
+        if key[1] == key[2]:
+            right = left
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        shared = _shared(list(left.shingles), list(right.shingles))
+        n_a, n_b = left.n.to_numpy()[:, None], right.n.to_numpy()[None, :]
+        linked = 100 * shared >= percent * (n_a + n_b - shared)
+        parent: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        found = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            a, b = top(left.root.iat[i]), top(right.root.iat[j])
+            if a != b:
+                parent[a] = b
+                found.append((left.node.iat[i], right.node.iat[j]))
+        return pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
 
-def _rooted(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Lists with each member's component so far, only those with members in two components or more."""
-    if roots is None:
-        return lists.withColumn("root", F.col("node"))
-    rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = checkpointed(rooted)
-    split = rooted.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    return checkpointed(rooted.join(split.select("value"), "value"))
+def _dealt(stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of centres with several components, dealt to pairs of blocks (hub, i, j).
+
+    Members of the largest component meet the blocks of the others only.
+    """
+    rooted = checkpointed(stars.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    parts = rooted.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("size"))
+    giants = (
+        parts.groupBy("hub")
+        .agg(F.max(F.struct("size", "root")).alias("giant"), F.sum("size").alias("all"))
+        .filter("all > giant.size")
+        .select(
+            "hub",
+            F.col("giant.root").alias("giant"),
+            F.ceil(F.col("giant.size") / BLOCK).cast("int").alias("giant_blocks"),
+            F.ceil((F.col("all") - F.col("giant.size")) / BLOCK).cast("int").alias("blocks"),
+        )
+    )
+    split = rooted.join(giants, "hub").join(sets, "node")
+    inside = F.col("root") == F.col("giant")
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.when(inside, F.col("giant_blocks")).otherwise(F.col("blocks"))).cast("int")
+    pair = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    small = F.sequence(F.lit(0), F.col("blocks") - 1)
+    for_giant = F.transform(small, lambda i: pair(i, F.col("blocks") + F.col("block"), F.lit(1)))
+    with_giant = F.transform(
+        F.sequence(F.lit(0), F.col("giant_blocks") - 1), lambda j: pair(F.col("block"), F.col("blocks") + j, F.lit(0))
+    )
+    with_small = F.transform(
+        small, lambda o: pair(F.least("block", o), F.greatest("block", o), (F.col("block") > o).cast("int"))
+    )
+    split = split.withColumn("block", block)
+    places = F.when(inside, for_giant).otherwise(F.concat(with_giant, with_small))
+    return split.select("hub", "node", "n", "root", "shingles", F.inline(places))
 
 
 def link_classes(docs: DataFrame, width: int, percent: int, k: int = SKETCH) -> tuple[DataFrame, DataFrame]:
@@ -272,49 +323,28 @@ def link_classes(docs: DataFrame, width: int, percent: int, k: int = SKETCH) ->
 
 
 def _components_of(lists: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, floor: int, percent: int) -> DataFrame:
-    roots, links = None, None
-    for step in range(PIVOT_ROUNDS):
-        rooted = _rooted(lists, roots)
-        pivot = F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(step))).alias("pivot")
-        pairs = (
-            rooted.join(rooted.groupBy("value").agg(pivot), "value")
-            .filter(F.col("root") != F.col("pivot.root"))
-            .select(
-                F.least("node", "pivot.node").alias("a"),
-                F.greatest("node", "pivot.node").alias("b"),
-                F.col("n").alias("n_a"),
-                F.col("pivot.n").alias("n_b"),
-            )
-            .filter(_near_enough(percent))
-            .select("a", "b")
-            .distinct()
-        )
-        roots, links = _joined(roots, _verified(pairs, sketches, sets, k, floor, percent))
-        lists = lists if step else checkpointed(lists)
-    rest = _rooted(lists, roots)
-    if rest.take(1):
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        dealt = rest.join(sketches, "node").withColumn("blocks", blocks)
-        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select(
-            "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "root", "sketch"
-        )
-        pairs = (
-            dealt.groupBy("value", "i", "j")
-            .applyInPandas(_block_pairs(floor, percent), "a binary, b binary")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
+    centre = F.max_by(F.struct("node", "n"), F.struct("score", "node")).alias("centre")
+    stars = checkpointed(
+        lists.join(lists.groupBy("value").agg(centre), "value")
+        .select(F.col("centre.node").alias("hub"), F.col("centre.n").alias("hub_n"), "node", "n")
+        .distinct()
+    )
+    pairs = (
+        stars.filter(F.col("hub") != F.col("node"))
+        .select(
+            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("n").alias("n_a"), F.col("hub_n").alias("n_b")
         )
-        roots, links = _joined(roots, _verified(pairs, sketches, sets, k, floor, percent))
-    return roots
-
-
-def _joined(roots: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The components so far together with new links."""
-    links = checkpointed(links)
-    every = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    return checkpointed(components(every)), links
+        .filter(_near_enough(percent))
+        .select("a", "b")
+        .distinct()
+    )
+    links = checkpointed(_verified(pairs, sketches, sets, k, floor, percent))
+    roots = checkpointed(components(links))
+    found = _dealt(stars, roots, sets).groupBy("hub", "i", "j").applyInPandas(_block_links(percent), "a binary, b binary")
+    more = checkpointed(found)
+    if not more.take(1):
+        return roots
+    return checkpointed(components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
