@@ -34,8 +34,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,9 +45,12 @@ from .graph import components
 
 SKETCH = 48
 MISS = 1e-9
-BLOCK = 256
+BLOCK = 128
 #: Columns of the shared-value count that a block holds at once.
-CHUNK = 16384
+CHUNK = 8192
+
+#: Hashes of words that a task keeps at once.
+WORDS_KEPT = 200_000
 
 _ROW = "doc_id long, digest long, n_shingles long, node binary, sketch array<long>"
 
@@ -79,7 +82,7 @@ class Shingler:
         words = (text or "").encode().lower().split()
         if not words:
             return np.empty(0, dtype=np.int64)
-        if len(self.words) > 1_000_000:
+        if len(self.words) > WORDS_KEPT:
             self.words.clear()
         known = self.words
         hashes = np.empty(len(words), dtype=np.uint64)
@@ -224,29 +227,30 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(percent: int):
-    def run(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        left, right = members[members.side == 0], members[members.side == 1]
+    def run(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
+        sides = [members.filter(pc.equal(members.column("side"), side)) for side in (0, 1)]
         if key[1] == key[2]:
-            right = left
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        shared = _shared(list(left.shingles), list(right.shingles))
-        n_a, n_b = left.n.to_numpy()[:, None], right.n.to_numpy()[None, :]
-        linked = 100 * shared >= percent * (n_a + n_b - shared)
-        parent: dict[bytes, bytes] = {}
-
-        def top(x: bytes) -> bytes:
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        found = []
-        for i, j in zip(*np.nonzero(linked), strict=True):
-            a, b = top(left.root.iat[i]), top(right.root.iat[j])
-            if a != b:
-                parent[a] = b
-                found.append((left.node.iat[i], right.node.iat[j]))
-        return pd.DataFrame(found, columns=["a", "b"])
+            sides[1] = sides[0]
+        pairs: list[tuple[bytes, bytes]] = []
+        if sides[0].num_rows and sides[1].num_rows:
+            sets = [[x.values.to_numpy() for x in side.column("shingles")] for side in sides]
+            n_a, n_b = (np.array([len(x) for x in side], dtype=np.float64) for side in sets)
+            shared = _shared(*sets)
+            linked = 100 * shared >= percent * (n_a[:, None] + n_b[None, :] - shared)
+            nodes, roots = ([side.column(c).to_pylist() for side in sides] for c in ("node", "root"))
+            parent: dict[bytes, bytes] = {}
+
+            def top(x: bytes) -> bytes:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for i, j in zip(*np.nonzero(linked), strict=True):
+                a, b = top(roots[0][i]), top(roots[1][j])
+                if a != b:
+                    parent[a] = b
+                    pairs.append((nodes[0][i], nodes[1][j]))
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
 
     return run
 
@@ -283,7 +287,7 @@ def _dealt(stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     )
     split = split.withColumn("block", block)
     places = F.when(inside, for_giant).otherwise(F.concat(with_giant, with_small))
-    return split.select("hub", "node", "n", "root", "shingles", F.inline(places))
+    return split.select("hub", "node", "root", "shingles", F.inline(places))
 
 
 def link_classes(docs: DataFrame, width: int, percent: int, k: int = SKETCH) -> tuple[DataFrame, DataFrame]:
@@ -340,7 +344,7 @@ def _components_of(lists: DataFrame, sketches: DataFrame, sets: DataFrame, k: in
     )
     links = checkpointed(_verified(pairs, sketches, sets, k, floor, percent))
     roots = checkpointed(components(links))
-    found = _dealt(stars, roots, sets).groupBy("hub", "i", "j").applyInPandas(_block_links(percent), "a binary, b binary")
+    found = _dealt(stars, roots, sets).groupBy("hub", "i", "j").applyInArrow(_block_links(percent), "a binary, b binary")
     more = checkpointed(found)
     if not more.take(1):
         return roots
