@@ -125,7 +125,7 @@ def word_distance(a: Column, b: Column) -> Column:
     words = F.array_distinct(F.concat(a, b))
     # Words are numbered from code point U+4E00 on: 20,000 characters that are one UTF-16 unit each.
     code = lambda w: F.array_position(words, w)
-    text = lambda xs: F.array_join(F.transform(xs, lambda w: F.decode(F.unhex(F.lpad(F.hex(code(w) + 0x4E00), 4, "0")), F.lit("UTF-16BE"))), "")
+    text = lambda xs: F.array_join(F.transform(xs, lambda w: F.decode(F.unhex(F.lpad(F.hex(code(w) + 0x4E00), 4, "0")), "UTF-16BE")), "")
     return F.levenshtein(text(a), text(b))
 
 
