@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ MIN_WORDS_COMMON = 100
 MIN_REFERENCE_WORDS = 2000
 MAX_CHAR_DISTANCE = 0.26
 MAX_WORD_DISTANCE = 0.32
+#: References of up to so many languages, 300 bytes each, go to all executors; more are joined by a shuffle.
+MAX_BROADCAST_LANGUAGES = 10_000
 
 _OUT = pa.schema(
     [
@@ -152,19 +155,20 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays(arrays, schema=_OUT)
 
 
-def _distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance (base 2) of two arrays of counts."""
-    total_p, total_q = (F.aggregate(x, F.lit(0).cast("double"), lambda a, b: a + b) for x in (p, q))
+def _distances(p: pd.Series, q: pd.Series) -> pd.Series:
+    """Jensen-Shannon distance (base 2) of the rows of two columns of counts."""
+    if not len(p):
+        return pd.Series([], dtype="float64")
+    sides = [np.vstack(x.to_list()).astype(float) for x in (p, q)]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a, b = (x / x.sum(axis=1, keepdims=True) for x in sides)
+        middle = (a + b) / 2
+        parts = [np.where(x > 0, x * np.log2(x / middle), 0.0).sum(axis=1) for x in (a, b)]
+    return pd.Series(np.sqrt(np.maximum(0.0, (parts[0] + parts[1]) / 2)))
 
-    def part(x: Column, m: Column) -> Column:
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
 
-    def both(a: Column, b: Column) -> Column:
-        a, b = a / total_p, b / total_q
-        m = (a + b) / 2
-        return (part(a, m) + part(b, m)) / 2
-
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, both), F.lit(0.0), lambda a, b: a + b)))
+def _distance(p: str, q: str) -> Column:
+    return F.pandas_udf(_distances, "double")(F.col(p), F.col(q))
 
 
 def _key(lang: Column) -> Column:
@@ -193,11 +197,14 @@ def judge(measured: DataFrame, carried: list[str] | None = None) -> DataFrame:
             F.array(*[F.coalesce(F.col(f"w{i}"), F.lit(0)) for i in range(N_COMMON + 1)]).alias("_commons"),
         )
     )
+    references = checkpointed(references)
+    if references.count() <= MAX_BROADCAST_LANGUAGES:
+        references = F.broadcast(references)
     enough = F.col("_words") >= MIN_REFERENCE_WORDS
     joined = measured.join(references, "_lang")
-    char_distance = F.when(enough & (F.col("n_words") >= MIN_WORDS_CHARS), _distance(F.col("chars"), F.col("_chars")))
+    char_distance = F.when(enough & (F.col("n_words") >= MIN_WORDS_CHARS), _distance("chars", "_chars"))
     word_distance = F.when(
-        enough & (F.col("n_words") >= MIN_WORDS_COMMON), _distance(F.col("commons"), F.col("_commons"))
+        enough & (F.col("n_words") >= MIN_WORDS_COMMON), _distance("commons", "_commons")
     )
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > MAX_CHAR_DISTANCE) | (
