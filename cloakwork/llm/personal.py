@@ -173,7 +173,7 @@ def splice(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:
 
 
 def _report_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
         found = [find_spans(t) for t in batch.column("text").to_pylist()]
         counts = [Counter(s[2] for s in spans) for spans in found]
         base = [as_text([s for s in spans if s[2] in BASE]) for spans in found]
