@@ -85,7 +85,7 @@ _TABLE = _class_table()
 def _variants() -> dict[str, list[list[bytes]]]:
     """The tokens that count for each common word: as it is, capitalised, before a comma or a stop."""
     lists = {k: v.split() for k, v in COMMON_WORDS.items()}
-    pooled = list(dict.fromkeys(w for i in range(5) for v in lists.values() for w in v[i : i + 1]))
+    pooled = list(dict.fromkeys(w for i in range(N_COMMON) for v in lists.values() for w in v[i : i + 1]))
     lists[""] = pooled[:N_COMMON]
     return {k: [[x.encode() for x in (w, w.capitalize(), f"{w},", f"{w}.")] for w in v] for k, v in lists.items()}
 
