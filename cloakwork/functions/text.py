@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .patterns import java
@@ -17,6 +17,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def with_once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Rows with a costly column that is evaluated once for each row.
+
+    Projections are merged and filters pushed below them, which would evaluate the column again for
+    each use; nothing is merged through the one-element explode.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def half_up(value: Column, digits: int = 0) -> Column:
     """Rounding to digits with halves upwards."""
     scale = 10.0**digits

@@ -27,7 +27,7 @@ from ..functions.patterns import (
     Detector,
     java,
 )
-from ..functions.text import SPAN, last_index, let, matches, trimmed, trimmed_end, utf16_units
+from ..functions.text import SPAN, last_index, let, matches, trimmed, trimmed_end, utf16_units, with_once
 
 _NONE = f"cast(array() as {SPAN})"
 
@@ -260,7 +260,7 @@ def sanitise_session(
         bad = bad | (given & normalise_kind(F.col(kind)).isNull())
     if policy not in ("block", "redact"):
         bad = F.lit(True)
-    base = rows.withColumn("_bad", bad).withColumn("_spans", F.when(F.col("_bad"), F.expr(_NONE)).otherwise(spans))
+    base = with_once(rows.withColumn("_bad", bad), "_spans", F.when(F.col("_bad"), F.expr(_NONE)).otherwise(spans))
     unknown = F.exists("_spans", lambda s: s["kind"] == "UNKNOWN")
     base = base.withColumn("blocked", F.col("_bad") | ((F.lit(policy) == "block") & unknown)).withColumn(
         "found",

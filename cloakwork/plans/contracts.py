@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import with_once
 from ..operators import contracts as c
 from ..operators import geometry as g
 from ..operators import model_glue as h
 
 from ..sources import html as pages
-from ..sources.tables import table
+from ..sources.tables import spread, spread_by, table
 from .privacy import PROBE, merged_ctes
 
 _TYPES = "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(["click", "type", "navigate", "media", "request_local_input", "dance", "scroll", "select"])) + " END"
@@ -42,7 +43,7 @@ B02 = "SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 AND NOT (o_orderke
 
 
 def b03_safe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(PROBE).alias("t"))
+    rows = spread(table(spark, sf_dir, "customer")).select("c_custkey", F.expr(PROBE).alias("t"))
     return rows.filter(c.safe_text(F.col("t")).isNotNull()).select("c_custkey")
 
 
@@ -217,14 +218,14 @@ A33 = "SELECT l_returnflag, round(sum(floor(l_extendedprice / 7 * 1000 + 0.5) /
 
 
 def a34_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", F.expr(PROBE).alias("t")).filter(c.changed_by_redaction(F.col("t"))).select("c_custkey")
+    return spread(table(spark, sf_dir, "customer")).select("c_custkey", F.expr(PROBE).alias("t")).filter(c.changed_by_redaction(F.col("t"))).select("c_custkey")
 
 
 A34 = f"WITH {merged_ctes()} SELECT DISTINCT id AS c_custkey FROM merged WHERE src = 'customer'"
 
 
 def a35_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.private_texts(pages.nodes(table(spark, sf_dir, "pages")))
+    return pages.private_texts(pages.nodes(spread(table(spark, sf_dir, "pages"))))
 
 
 def a36_page_url(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +247,7 @@ D14 = "SELECT page_id, 'K' || lpad(CAST(page_id AS VARCHAR), 9, '0') AS key, 'La
 
 
 def d15_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.links(pages.nodes(table(spark, sf_dir, "pages"))).select("page_id", "href", F.col("place").cast("long").alias("place"))
+    return pages.links(pages.nodes(spread(table(spark, sf_dir, "pages")))).select("page_id", "href", F.col("place").cast("long").alias("place"))
 
 
 def _decoded(name: str):
@@ -281,13 +282,14 @@ def _word_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(e("CASE l_partkey % 5 WHEN 0 THEN 'a' || CAST(l_partkey AS STRING) || '@b.example' WHEN 1 THEN 'token:' ELSE 'word' || CAST(l_linenumber AS STRING) END").alias("text"), e("30E0 + l_quantity").alias("confidence"),
                  g.corners(e("l_partkey % 50 * 3E0"), e("l_suppkey % 4 * 12E0"), e("l_partkey % 50 * 3E0 + 20"), e("l_suppkey % 4 * 12E0 + 10")).alias("box")).alias("w"),
     )
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.transform(F.sort_array(F.collect_list(word)), lambda x: x["w"]).alias("words"))
+    rows = spread_by(table(spark, sf_dir, "lineitem"), "l_orderkey").groupBy("l_orderkey")
+    return rows.agg(F.transform(F.sort_array(F.collect_list(word)), lambda x: x["w"]).alias("words")).withColumnRenamed("l_orderkey", "page")
 
 
 def c15_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = g.review_words(F.col("words"), F.lit(400.0), F.lit(100.0))
     area = F.aggregate("r.regions", F.lit(0.0), lambda t, b: t + g.area(b))
-    return _word_pages(spark, sf_dir).select("page", r.alias("r")).select("page", "r.full", F.size("r.regions").cast("long").alias("n"), area.alias("area"))
+    return with_once(_word_pages(spark, sf_dir), "r", r).select("page", "r.full", F.size("r.regions").cast("long").alias("n"), area.alias("area"))
 
 
 def c14_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,7 +367,7 @@ H05 = "SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_
 
 def s01_source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The redacted text of every page."""
-    return pages.visible_text(pages.nodes(table(spark, sf_dir, "pages"))).select("page_id", F.length("text").cast("long").alias("n_chars"))
+    return pages.visible_text(pages.nodes(spread(table(spark, sf_dir, "pages")))).select("page_id", F.length("text").cast("long").alias("n_chars"))
 
 
 QUERIES = {

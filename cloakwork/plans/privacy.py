@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import BY_ID, DETECTORS, KIND_ALIASES, PRIORITY, SECRET_KEYS, VERHOEFF_D, VERHOEFF_P, re2
+from ..functions.text import with_once
 from ..operators import spans
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 _K = "CAST(c_custkey AS STRING)"
 PROBE = f"""CASE c_custkey % 20
@@ -43,8 +44,8 @@ _TEXTS = f"""texts AS (
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), "text")
-    made = table(spark, sf_dir, "customer").select(F.lit("customer").alias("src"), F.col("c_custkey").alias("id"), F.expr(PROBE).alias("text"))
+    documents = spread(table(spark, sf_dir, "documents")).select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), "text")
+    made = spread(table(spark, sf_dir, "customer")).select(F.lit("customer").alias("src"), F.col("c_custkey").alias("id"), F.expr(PROBE).alias("text"))
     return documents.unionByName(made)
 
 
@@ -54,7 +55,7 @@ def _listed(found: Column) -> Column:
 
 def _detector_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = texts(spark, sf_dir).select("src", "id", spans.detect(F.col("text"), name).alias("found")).filter(F.size("found") > 0)
+        found = with_once(texts(spark, sf_dir), "found", spans.detect(F.col("text"), name)).filter(F.size("found") > 0)
         return found.select("src", "id", F.size("found").cast("long").alias("n"), _listed(F.col("found")).alias("spans"))
 
     return run
@@ -162,7 +163,13 @@ merged AS (
 
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("src", "id", "text", spans.find_spans(F.col("text")).alias("found"))
+    return with_once(texts(spark, sf_dir), "found", spans.find_spans(F.col("text")))
+
+
+def _kind_counts(found: Column) -> Column:
+    """(kind, n) of each kind of an array of spans."""
+    kinds = F.transform(found, lambda s: s["kind"])
+    return F.transform(F.array_distinct(kinds), lambda k: F.struct(k.alias("kind"), F.size(F.filter(kinds, lambda x: x == k)).alias("n")))
 
 
 def a24_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,9 +208,8 @@ A28 = f"WITH {merged_ctes()} SELECT src, id, lower(kind) AS kind, start AS index
 
 def f19_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings and texts by source and kind; the last shuffle moves a row for each kind and task."""
-    rows = merged(spark, sf_dir).select("src", "id", F.explode("found").alias("s")).select("src", "id", "s.kind")
-    per_text = rows.groupBy("src", "id", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return per_text.groupBy("src", "kind").agg(F.sum("n").alias("findings"), F.count(F.lit(1)).alias("texts"))
+    rows = merged(spark, sf_dir).select("src", F.explode(_kind_counts(F.col("found"))).alias("k"))
+    return rows.groupBy("src", F.col("k.kind").alias("kind")).agg(F.sum("k.n").alias("findings"), F.count(F.lit(1)).alias("texts"))
 
 
 F19 = f"WITH {merged_ctes()} SELECT src, kind, count(*) AS findings, count(DISTINCT id) AS texts FROM merged GROUP BY src, kind"
@@ -211,11 +217,9 @@ F19 = f"WITH {merged_ctes()} SELECT src, kind, count(*) AS findings, count(DISTI
 
 def a_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings and documents per language and kind."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", spans.find_spans(F.col("text")).alias("found"))
-    kinds = docs.select("lang", F.explode(F.transform("found", lambda s: s["kind"])).alias("kind"))
-    in_docs = docs.select("lang", F.explode(F.array_distinct(F.transform("found", lambda s: s["kind"]))).alias("kind"))
-    both = kinds.select("lang", "kind", F.lit(1).alias("f"), F.lit(0).alias("d")).unionByName(in_docs.select("lang", "kind", F.lit(0).alias("f"), F.lit(1).alias("d")))
-    return both.groupBy("lang", "kind").agg(F.sum("f").alias("findings"), F.sum("d").alias("docs"))
+    docs = with_once(spread(table(spark, sf_dir, "documents").select("lang", "text")), "found", spans.find_spans(F.col("text")))
+    rows = docs.select("lang", F.explode(_kind_counts(F.col("found"))).alias("k"))
+    return rows.groupBy("lang", F.col("k.kind").alias("kind")).agg(F.sum("k.n").alias("findings"), F.count(F.lit(1)).alias("docs"))
 
 
 FLAGSHIP = f"""WITH {merged_ctes()}
@@ -262,7 +266,7 @@ SELECT o_orderkey, CASE {' '.join(f"WHEN k = '{a}' THEN '{b}'" for a, b in KIND_
 
 def a26_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' texts in sessions of ten nations' worth: equal values get equal tokens."""
-    rows = table(spark, sf_dir, "customer").select(
+    rows = spread(table(spark, sf_dir, "customer")).select(
         F.col("c_nationkey").alias("session"), "c_custkey",
         F.expr("'mail u' || CAST(c_custkey % 40 AS STRING) || '@h.example or pan abcde' || lpad(CAST(c_custkey % 30 AS STRING), 4, '0') || 'F'").alias("text"),
     )
@@ -283,7 +287,7 @@ def a29_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.json_paths import strings_of
 
     value = F.expr(f"to_json(struct(named_struct('note', {PROBE}, 'n', 4111111111111111) AS context, array(c_name, 'tail a' || {_K} || '@b.example') AS history))")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", value.alias("value"))
+    rows = spread(table(spark, sf_dir, "customer")).select("c_custkey", value.alias("value"))
     found = strings_of(rows, "value").select("c_custkey", "path", F.explode(spans.scan_text(F.col("string"))).alias("s"))
     return found.select("c_custkey", "path", "s.kind", F.col("s.index").cast("long").alias("index"), F.col("s.length").cast("long").alias("length"))
 

@@ -1,4 +1,4 @@
-"""Tables as DataFrames, spread for work on long texts."""
+"""Tables as DataFrames, spread for costly work on each row."""
 
 from __future__ import annotations
 
@@ -7,3 +7,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows on at least as many partitions as there are cores.
+
+    A small file is one partition, however costly its rows are.  Only a scan with fewer partitions than
+    cores is dealt anew, so a table that is large enough to keep the cluster busy is never shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.toJavaRDD().getNumPartitions() < cores else rows
+
+
+def spread_by(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by a key for costly work on each group: as many partitions as cores or shuffle partitions.
+
+    A group-by on the key needs no further shuffle, and partitions are not joined by their size in bytes, which says
+    little about the work.
+    """
+    session = rows.sparkSession
+    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, key)
