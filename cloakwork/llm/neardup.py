@@ -152,7 +152,7 @@ def _digest(text: Column) -> Column:
 def _inverted_lists(classes: DataFrame, k: int, floor: int, percent: int) -> DataFrame:
     """(value, node, n, score): the lists with two members or more, one of those with the same members."""
     values = classes.select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = _anew(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "value")
     needed = F.least(F.lit(floor), F.ceil(F.col("n") * percent / 100))
     by_node = (
         values.join(shared, "value")
@@ -176,7 +176,16 @@ def _inverted_lists(classes: DataFrame, k: int, floor: int, percent: int) -> Dat
         .filter("m > 1")
     )
     chosen = members.groupBy("m", "s1", "s2").agg(F.min("value").alias("value")).select("value")
-    return lists.join(chosen, "value")
+    return lists.join(_anew(chosen, "value"), "value")
+
+
+def _anew(rows: DataFrame, column: str) -> DataFrame:
+    """The rows of a small table, written, with a column that is known to be equal but not to be how they are dealt.
+
+    A join with the table then shuffles both sides, and Spark can split a value that very many rows of the
+    other side have, which it doesn't where one side comes from an aggregate by the same column.
+    """
+    return checkpointed(rows).withColumn(column, F.col(column).bitwiseXOR(F.lit(0).cast("long")))
 
 
 def _near_enough(percent: int) -> Column:
@@ -329,7 +338,7 @@ def link_classes(docs: DataFrame, width: int, percent: int, k: int = SKETCH) ->
 def _components_of(lists: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, floor: int, percent: int) -> DataFrame:
     centre = F.max_by(F.struct("node", "n"), F.struct("score", "node")).alias("centre")
     stars = checkpointed(
-        lists.join(lists.groupBy("value").agg(centre), "value")
+        lists.join(_anew(lists.groupBy("value").agg(centre), "value"), "value")
         .select(F.col("centre.node").alias("hub"), F.col("centre.n").alias("hub_n"), "node", "n")
         .distinct()
     )
