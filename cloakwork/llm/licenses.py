@@ -21,7 +21,6 @@ of all; an empty table gives an empty result; texts are scanned whole.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
