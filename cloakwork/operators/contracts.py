@@ -109,6 +109,17 @@ def drop_telemetry(rows: DataFrame, columns: tuple[str, ...] = ("local_timing",
     return rows.drop(*columns)
 
 
+# What of a page's metadata and viewport a planner may see.
+PLANNER_METADATA = "fingerprint text_hash element_count meaningful captured_at".split()
+PLANNER_VIEWPORT = "width height density".split()
+
+
+def planner_context(context: Column) -> Column:
+    """A context (url, title, viewport, metadata, ...) with only the declared fields of viewport and metadata."""
+    pick = lambda s, names: F.struct(*[s[n].alias(n) for n in names])
+    return context.withField("viewport", pick(context["viewport"], PLANNER_VIEWPORT)).withField("metadata", pick(context["metadata"], PLANNER_METADATA))
+
+
 def assessment(screenshot: Column, ocr_status: Column, vision_status: Column, regions: Column, challenged: Column) -> Column:
     """(status, source, reasons): later rules override the status."""
     ocr = F.coalesce(ocr_status == "error", F.lit(False))

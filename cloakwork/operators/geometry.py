@@ -284,13 +284,14 @@ def plan_masks(words: Column, space: Column, surface: Column, scale: Column, wid
         words,
         lambda w: F.struct(
             w["text"].alias("text"), w["confidence"].alias("confidence"),
-            map_surface(w["box"], surface, scale["scale_x"], scale["scale_y"], width, height).alias("box"),
+            map_surface(w["box"].cast(CORNERS), surface, scale["scale_x"], scale["scale_y"], width, height).alias("box"),
         ),
     )
+    on_image = space.isin("image", "canvas", "raster")
+    known = space.isNull() | (space == "screenshot") | (on_image & scale["safe"])
     everything = F.struct(F.lit(True).alias("full"), F.expr(f"cast(array() as array<{CORNERS}>)").alias("regions"))
-    return F.when(space.isNull() | (space == "screenshot"), review_words(words, width, height)).when(
-        space.isin("image", "canvas", "raster") & scale["safe"], review_words(mapped, width, height)
-    ).otherwise(everything)
+    chosen = F.when(on_image, mapped).otherwise(words)
+    return F.when(known, let(chosen, lambda w: review_words(w, width, height))).otherwise(everything)
 
 
 def covered(latest: Column, prior: Column) -> Column:

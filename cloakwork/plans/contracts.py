@@ -57,6 +57,25 @@ def b03_safe_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 B03_URL = "SELECT o_orderkey FROM orders WHERE o_orderkey % 6 IN (0, 3)"
 
 
+def b04_without_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").withColumnsRenamed({"c_acctbal": "local_timing", "c_mktsegment": "pii_counts"})
+    return c.drop_telemetry(rows)
+
+
+B04 = "SELECT c_custkey, c_name, c_nationkey FROM customer"
+
+
+def b11_planner_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.expr
+    view = F.struct(e("o_custkey").alias("width"), e("o_orderkey").alias("height"), F.lit(2).alias("density"), F.lit(7).alias("scroll_x"))
+    meta = F.struct(F.lit("f").alias("fingerprint"), F.lit("h").alias("text_hash"), e("o_orderkey % 9").alias("element_count"), F.lit(True).alias("meaningful"), F.lit(1).alias("captured_at"), F.lit("secret").alias("document"))
+    rows = _orders(spark, sf_dir).select("o_orderkey", c.planner_context(F.struct(F.lit("u").alias("url"), view.alias("viewport"), meta.alias("metadata"))).alias("x"))
+    return rows.select("o_orderkey", F.to_json("x").alias("context"))
+
+
+B11 = """SELECT o_orderkey, '{"url":"u","viewport":{"width":' || o_custkey || ',"height":' || o_orderkey || ',"density":2},"metadata":{"fingerprint":"f","text_hash":"h","element_count":' || o_orderkey % 9 || ',"meaningful":true,"captured_at":1}}' AS context FROM orders"""
+
+
 def b05_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.expr
     made = c.assessment(e("o_orderkey % 2 = 0"), e("CASE WHEN o_orderkey % 3 = 0 THEN 'error' END"), e("CASE WHEN o_orderkey % 5 = 0 THEN 'visual-disabled' ELSE 'sanitized' END"), e("array(CASE WHEN o_orderkey % 7 = 0 THEN 'ODD' ELSE 'EMAIL' END)"), e("o_orderkey % 11 = 0"))
@@ -308,6 +327,36 @@ C28 = """WITH r AS (SELECT l_suppkey AS page, l_orderkey * 100 + row_number() OV
 SELECT page, node, kind FROM r WHERE kind IS NOT NULL AND w >= 3 AND h >= 3 QUALIFY row_number() OVER (PARTITION BY page ORDER BY node) <= 20"""
 
 
+def c17_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks by the space that the words are in: the capture, an image of twice its size, or an unknown one."""
+    surface = F.struct(
+        F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(200.0).alias("width"), F.lit(50.0).alias("height")).alias("rect"),
+        F.lit(400.0).alias("intrinsic_width"), F.lit(100.0).alias("intrinsic_height"), F.lit("fill").alias("object_fit"), F.lit(0.5).alias("position_x"), F.lit(0.5).alias("position_y"),
+    )
+    scale = g.capture_scale(F.lit(400.0), F.lit(100.0), F.lit(400.0), F.lit(100.0), F.lit(1.0))
+    space = F.expr("CASE page % 3 WHEN 0 THEN 'screenshot' WHEN 1 THEN 'image' ELSE 'window' END")
+    plan = g.plan_masks(F.col("words"), space, surface, scale, F.lit(400.0), F.lit(100.0))
+    return with_once(_word_pages(spark, sf_dir), "p", plan).select("page", "p.full", F.size("p.regions").cast("long").alias("n"))
+
+
+def _kept_sql(rows: str, least: str, limit: int, threshold: float) -> str:
+    from .boxes import area_sql, iou_sql
+
+    return f"""WITH b AS ({rows}),
+l AS (SELECT l_orderkey, list([{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY score DESC, k, s, p) AS xs FROM b WHERE {least} GROUP BY l_orderkey),
+k AS (SELECT l_orderkey, list_reduce(xs, lambda acc, x: CASE WHEN len(acc) >= {limit} OR len(list_filter(acc, lambda k: {iou_sql('k', 'x[1]')} > {threshold})) > 0 THEN acc ELSE list_concat(acc, x) END) AS f FROM l)
+SELECT o.l_orderkey, coalesce(len(f), 0) AS n, round(coalesce(list_sum(list_transform(f, lambda z: {area_sql('z')})), 0.0), 6) AS area FROM (SELECT DISTINCT l_orderkey FROM b) o LEFT JOIN k ON k.l_orderkey = o.l_orderkey"""
+
+
+_FACES = """SELECT l_orderkey, l_partkey AS k, l_suppkey AS s, l_extendedprice AS p, l_discount * 10 AS score, (l_partkey % 10 / 20::DOUBLE) * 200 AS x1, (l_suppkey % 10 / 20::DOUBLE) * 100 AS y1,
+  least(200.0, (l_partkey % 10 / 20::DOUBLE + 0.3::DOUBLE) * 200) AS x2, least(100.0, (l_suppkey % 10 / 20::DOUBLE + 0.4::DOUBLE) * 100) AS y2 FROM lineitem"""
+_CELLS = """SELECT l_orderkey, l_partkey AS k, l_suppkey AS s, l_extendedprice AS p, (1 - l_discount) * 0.95::DOUBLE AS score, 15::DOUBLE + l_partkey % 50 AS x1, 15::DOUBLE + l_suppkey % 40 AS y1,
+  25::DOUBLE + l_partkey % 50 AS x2, 25::DOUBLE + l_suppkey % 40 AS y2 FROM lineitem"""
+C07, C08 = _kept_sql(_FACES, "score >= 0.7::DOUBLE", 31, 0.3), _kept_sql(_CELLS, "score >= 0.75::DOUBLE", 65, 0.45)
+D15 = """WITH h AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">', 1) AS l FROM pages), u AS (SELECT page_id, unnest(l) AS href, unnest(range(len(l))) AS i FROM h),
+d AS (SELECT page_id, href, min(i) AS i FROM u GROUP BY page_id, href) SELECT page_id, href, row_number() OVER (PARTITION BY page_id ORDER BY i) AS place FROM d QUALIFY place <= 12"""
+
+
 def c25_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether small images' pixels are dark inside a mask."""
     e = F.expr
@@ -371,7 +420,7 @@ def s01_source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "b01_projection": b01_projection, "b02_masked": b02_masked, "b03_safe_text": b03_safe_text, "b03_safe_url": b03_safe_url, "b05_assessment": b05_assessment, "b06_assert": b06_assert,
+    "b01_projection": b01_projection, "b02_masked": b02_masked, "b03_safe_text": b03_safe_text, "b03_safe_url": b03_safe_url, "b04_without_telemetry": b04_without_telemetry, "b11_planner_context": b11_planner_context, "c17_planned": c17_planned, "b05_assessment": b05_assessment, "b06_assert": b06_assert,
     "b07_image": b07_image, "b08_migrated": b08_migrated, "b09_sample": b09_sample, "b10_audit": b10_audit, "b12_projected": b12_projected, "b13_action": b13_action, "b14_privacy": b14_privacy,
     "b15_consequential": b15_consequential, "b16_href": b16_href, "b17_diagnostic": b17_diagnostic, "b18_origin": b18_origin, "b19_verified": b19_verified, "a33_numbers": a33_numbers,
     "a34_changed": a34_changed, "a35_nodes": a35_nodes, "a36_page_url": a36_page_url, "d14_cards": d14_cards, "d15_links": d15_links, "c07_faces": _decoded("c07"), "c08_controls": _decoded("c08"),
@@ -379,7 +428,7 @@ QUERIES = {
     "h03_masked": h03_masked, "h04_bridge": h04_bridge, "h05_words": h05_words, "s01_source_text": s01_source_text,
 }
 ORACLE = {
-    "b01_projection": B01, "b02_masked": B02, "b03_safe_text": B03, "b03_safe_url": B03_URL, "b05_assessment": B05, "b06_assert": B06, "b07_image": B07, "b08_migrated": B08, "b09_sample": B09,
+    "b01_projection": B01, "b02_masked": B02, "b03_safe_text": B03, "b03_safe_url": B03_URL, "b04_without_telemetry": B04, "b11_planner_context": B11, "c07_faces": C07, "c08_controls": C08, "d15_links": D15, "b05_assessment": B05, "b06_assert": B06, "b07_image": B07, "b08_migrated": B08, "b09_sample": B09,
     "b10_audit": B10, "b12_projected": B12, "b13_action": B13, "b14_privacy": B14, "b15_consequential": B15, "b16_href": B16, "b17_diagnostic": B17, "b18_origin": B18, "b19_verified": B19,
     "a33_numbers": A33, "a34_changed": A34, "a36_page_url": A36, "d14_cards": D14, "c25_opaque": C25, "c28_unreadable": C28, "h02_labels": H02, "h03_masked": H03, "h04_bridge": H04, "h05_words": H05,
 }

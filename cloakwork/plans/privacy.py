@@ -227,6 +227,26 @@ SELECT d.lang, m.kind, count(*) AS findings, count(DISTINCT m.id) AS docs
 FROM merged m JOIN documents d ON m.src = 'documents' AND m.id = d.doc_id GROUP BY d.lang, m.kind"""
 
 
+def a21_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each text that no placeholder holds."""
+    rows = with_once(texts(spark, sf_dir), "c", spans.candidates(F.col("text"))).filter(F.size("c") > 0)
+    return rows.select("src", "id", F.size("c").cast("long").alias("n"))
+
+
+A21 = f"WITH {merged_ctes()} SELECT src, id, count(*) AS n FROM c GROUP BY src, id"
+
+_MANY = "repeat('a1@b.example ', CAST(150 + c_custkey % 200 AS INT))"
+
+
+def a22_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of 150 to 349 addresses: over 256 candidates are one span."""
+    found = with_once(spread(table(spark, sf_dir, "customer")).select("c_custkey", F.expr(_MANY).alias("t")), "s", spans.find_spans(F.col("t")))
+    return found.select("c_custkey", F.size("s").cast("long").alias("n"), F.col("s")[0]["kind"].alias("kind"))
+
+
+A22 = "SELECT c_custkey, CASE WHEN c_custkey % 200 > 106 THEN 1 ELSE 150 + c_custkey % 200 END AS n, CASE WHEN c_custkey % 200 > 106 THEN 'UNKNOWN' ELSE 'EMAIL' END AS kind FROM customer"
+
+
 def a08_verhoeff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which twelve-digit numbers made from orders pass Verhoeff's check."""
     d = F.expr("CAST(200000000000 + o_orderkey * 7919 AS STRING)")
@@ -299,10 +319,10 @@ A29 = f"""WITH {merged_ctes().replace(_TEXTS, f'''texts AS (
 SELECT id AS c_custkey, src AS path, lower(kind) AS kind, start AS index, stop - start AS length FROM merged"""
 
 QUERIES = {d.id: _detector_query(d.id) for d in DETECTORS} | {
-    "a08_verhoeff": a08_verhoeff, "a09_luhn": a09_luhn, "a23_too_long": a23_too_long, "a24_merged": a24_merged, "a25_kind": a25_kind,
+    "a08_verhoeff": a08_verhoeff, "a21_candidates": a21_candidates, "a22_cap": a22_cap, "a09_luhn": a09_luhn, "a23_too_long": a23_too_long, "a24_merged": a24_merged, "a25_kind": a25_kind,
     "a26_session": a26_session, "a27_redacted": a27_redacted, "a28_scan": a28_scan, "a29_leaks": a29_leaks, "a_flagship": a_flagship, "f19_kind_counts": f19_kind_counts,
 }
 ORACLE = {d.id: _detector_oracle(d.id) for d in DETECTORS} | {
-    "a08_verhoeff": A08, "a09_luhn": A09, "a23_too_long": A23, "a24_merged": A24, "a25_kind": A25, "a26_session": A26, "a27_redacted": A27,
+    "a08_verhoeff": A08, "a21_candidates": A21, "a22_cap": A22, "a09_luhn": A09, "a23_too_long": A23, "a24_merged": A24, "a25_kind": A25, "a26_session": A26, "a27_redacted": A27,
     "a28_scan": A28, "a29_leaks": A29, "a_flagship": FLAGSHIP, "f19_kind_counts": F19,
 }

@@ -139,9 +139,6 @@ def d10_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 D10 = f"""WITH {_RAW}, b AS (SELECT grp, place, ref, CAST(floor(coalesce(price, 1.0) / 1000) AS BIGINT) AS amount FROM raw)
 SELECT grp, ref, amount FROM b WHERE amount <= 40 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY amount DESC, place) = 1"""
 
-_LINKS = "SELECT page_id, page_id // 4 AS grp, 'c' || CAST(page_id AS STRING) AS ref, regexp_extract(html, '<title>([^<]*)', 1) AS title, url AS href, page_id % 6 = 0 AS ad FROM pages"
-
-
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         "page_id", F.expr("page_id div 4").alias("grp"), F.expr("'c' || CAST(page_id AS STRING)").alias("ref"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"),
@@ -162,6 +159,13 @@ def d12_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.rank_results(rows, rows.select("grp", "ref", "href", F.lit("a").alias("tag"), F.lit(False).alias("disabled")), ["grp"]).select("grp", "ref", "host")
 
 
+_SITE = """s AS (SELECT page_id, page_id // 4 AS grp, 'c' || page_id AS ref, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), 'example\\.(com|net|org)', '\\1') AS host,
+  coalesce(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]+(/.*)$', 1), '') AS path FROM pages WHERE page_id % 6 <> 0)"""
+D11 = rf"""WITH {_SITE}, b AS (SELECT *, regexp_replace(host, '^www\.', '') AS bare, regexp_replace(string_split(host, '.')[-2], '[^a-z0-9]', '', 'g') AS label FROM s)
+SELECT grp, ref, host FROM b WHERE length(label) >= 3 QUALIFY row_number() OVER (PARTITION BY grp, bare ORDER BY length(path), page_id) = 1"""
+D12 = f"WITH {_SITE} SELECT grp, ref, host FROM s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY page_id) = 1"
+
+
 def d13_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of pages as video links, for the query "the and of"."""
     rows = _links(spark, sf_dir).select("page_id", F.lit(1).alias("grp"), "place", F.lit("a").alias("tag"), F.expr("'/watch?v=' || ref").alias("href"), F.concat_ws(" ", "title", F.expr("CASE WHEN page_id % 5 = 0 THEN 'review' ELSE '' END")).alias("name"), F.lit(False).alias("disabled"))
@@ -299,6 +303,18 @@ def e07_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "p.*")
 
 
+E07 = r"""WITH k AS (SELECT c_custkey AS k, c_name AS n, c_mktsegment AS m, c_custkey % 5 = 0 AS tube FROM customer),
+p AS (SELECT k, CASE k % 14
+  WHEN 0 THEN CASE WHEN tube THEN ['finish', 'https://www.youtube.com', 'The requested site is open'] ELSE ['navigate', 'https://www.youtube.com', 'Open a known site'] END
+  WHEN 1 THEN ['navigate', 'https://www.google.com/search?q=' || url_encode(n), 'Search the web'] WHEN 2 THEN ['navigate', 'https://example.com/' || k, 'Navigate to the requested address']
+  WHEN 3 THEN ['scroll', 'down', 'Scroll the current page'] WHEN 4 THEN ['back', '', 'Go back one page'] WHEN 5 THEN ['media', 'pause', 'Pause current media']
+  WHEN 6 THEN CASE WHEN tube THEN ['finish', '', 'No safe deterministic action matched'] ELSE ['navigate', 'https://www.youtube.com', 'Open the requested media'] END
+  WHEN 8 THEN ['navigate', 'https://www.google.com/search?q=shoes', 'Search the web'] WHEN 9 THEN ['navigate', 'https://github.com', 'Open a known site']
+  WHEN 10 THEN ['finish', '', 'No safe deterministic action matched'] WHEN 11 THEN ['navigate', 'https://www.google.com/search?q=' || url_encode(m), 'Search the web']
+  WHEN 12 THEN ['navigate', 'https://www.flipkart.com/x?y=1', 'Navigate to the requested address'] ELSE ['finish', '', 'A command detail is missing'] END AS p FROM k)
+SELECT k AS c_custkey, p[1] AS type, p[2] AS target, p[3] AS reason FROM p"""
+
+
 def e08_shopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = F.expr("CASE c_custkey % 4 WHEN 0 THEN 'cheapest laptop under INR ' || CAST(c_custkey AS STRING) || ',000' WHEN 1 THEN 'amazon laptops under 5' WHEN 2 THEN 'laptop under 10' ELSE c_name END")
     return table(spark, sf_dir, "customer").select("c_custkey", r.shopping_limit(task).alias("max_price")).filter("max_price is not null")
@@ -484,8 +500,8 @@ QUERIES = {
 }
 ORACLE = {
     "d01_normalised": D01, "d02_selected": D02, "d03_rejected": D03, "d04_diagnostics": D04, "d05_title": D05, "d06_detail": D06, "d07_canonical": D07,
-    "d09_cheapest": _choice_sql("price, confidence DESC"), "d09_strongest": _choice_sql("confidence DESC, price"), "d10_band": D10, "d13_videos": D13, "d16_unique": D16,
+    "d09_cheapest": _choice_sql("price, confidence DESC"), "d09_strongest": _choice_sql("confidence DESC, price"), "d10_band": D10, "d11_websites": D11, "d12_results": D12, "d13_videos": D13, "d16_unique": D16,
     "d17_first": _first_sql(""), "g14_last": _first_sql("DESC"), "d18_media": D18, "d19_origin": D19, "e01_command": f"WITH {_CMD} SELECT c_custkey, command FROM cmd", "e02_terms": E02, "e03_url": E03,
-    "e04_sites": E04, "e05_on_site": E05, "e06_label": E06, "e08_shopping": E08, "e09_failure": E09, "e10_strategies": E10, "e11_changes": E11, "e12_challenge": E12, "e13_category": E13,
-    "e14_completion": E14, "e15_model_error": E15, "e16_lease": E16, "e17_words": E17, "e19_fnv": E19, "e20_query": E20, "e21_label": E21, "e22_signature": E22, "e23_visible": E23, "a30_field": A30, "a31_local_field": A31,
+    "e04_sites": E04, "e05_on_site": E05, "e06_label": E06, "e07_plan": E07, "e08_shopping": E08, "e09_failure": E09, "e10_strategies": E10, "e11_changes": E11, "e12_challenge": E12, "e13_category": E13,
+    "e14_completion": E14, "e15_model_error": E15, "e16_lease": E16, "e17_words": E17, "e18_words_in_title": "SELECT conv_id, turn, true AS all_words FROM conversations", "e19_fnv": E19, "e20_query": E20, "e21_label": E21, "e22_signature": E22, "e23_visible": E23, "a30_field": A30, "a31_local_field": A31,
 }
