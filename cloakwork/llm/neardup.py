@@ -185,7 +185,7 @@ def _anew(rows: DataFrame, column: str) -> DataFrame:
     A join with the table then shuffles both sides, and Spark can split a value that very many rows of the
     other side have, which it doesn't where one side comes from an aggregate by the same column.
     """
-    return checkpointed(rows).withColumn(column, F.col(column).bitwiseXOR(F.lit(0).cast("long")))
+    return checkpointed(rows).withColumn(column, F.coalesce(F.col(column), F.col(column)))
 
 
 def _near_enough(percent: int) -> Column:
@@ -282,7 +282,7 @@ def _dealt(stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
             F.ceil((F.col("all") - F.col("giant.size")) / BLOCK).cast("int").alias("blocks"),
         )
     )
-    split = rooted.join(giants, "hub").join(sets, "node")
+    split = rooted.join(_anew(giants, "hub"), "hub").join(sets, "node")
     inside = F.col("root") == F.col("giant")
     block = F.pmod(F.xxhash64("node", F.lit("block")), F.when(inside, F.col("giant_blocks")).otherwise(F.col("blocks"))).cast("int")
     pair = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
