@@ -31,6 +31,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows as one struct ``_row`` beside the given columns, so that no name of theirs can clash."""
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_row")
+    return docs.select(row, *[v.alias(k) for k, v in columns.items()])
+
+
+def unpacked(rows: DataFrame, names: list[str], **added: Column) -> DataFrame:
+    """The columns in ``_row`` and the added ones; an added column takes the place of one of its name."""
+    rows = rows.select("_row", *[v.alias(f"_new_{n}") for n, v in enumerate(added.values())])
+    kept = [F.col("_row").getField(c).alias(c) for c in names if c not in added]
+    return rows.select(*kept, *[F.col(f"_new_{n}").alias(k) for n, k in enumerate(added)])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

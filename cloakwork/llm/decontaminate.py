@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, packed, unpacked
 
 Q = 8
 EDIT_SHARE = 12
@@ -252,6 +252,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns; a doc_id falls with any of its rows."""
-    names = docs.columns
     found = find_contaminated(docs, benchmark).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left_anti").select(*names)
+    keyed = packed(docs, _id=F.col("doc_id").cast("long"))
+    return unpacked(keyed.join(found, F.col("_id").eqNullSafe(F.col("_doc")), "left_anti"), docs.columns)

@@ -11,7 +11,7 @@ fixed number of salts, so that no task gets all rows of a frequent line.
 Cases: a null or empty text is one empty line; rows that share a doc_id count as
 one document, and null doc_ids as one that is smaller than all others; repeated
 rows get the same result; empty tables give empty results; further columns are
-kept by :func:`dedup_lines`, and names with a leading underscore are its own.
+kept by :func:`dedup_lines`, whose three columns take the place of any of their names.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 MIN_KEY_CHARS = 40
 MIN_DOCUMENTS = 5
 #: Parts into which the rows of each hash are dealt for the join with the shared hashes.
@@ -68,7 +70,7 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docum
     """(_doc, _digest, _drops) for each document that loses lines; _drops holds their positions from 0."""
     texts = docs.select(
         F.col("doc_id").cast("long").alias("_doc"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_digest"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_digest"),
         F.col("text").cast("string").alias("text"),
     )
     lines = texts.mapInArrow(_hashed_lines(min_chars), "_doc long, _digest long, _at int, _hash binary")
@@ -91,22 +93,19 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docum
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """All rows of docs with ``n_lines``, ``n_dropped`` and ``kept_text`` added."""
     drops = dropped_positions(docs, min_chars, min_documents)
-    texts = docs.withColumn("_digest", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    same = F.col("d.doc_id").eqNullSafe(F.col("x._doc")) & (F.col("d._digest") == F.col("x._digest"))
-    lines = _lines(F.col("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = packed(docs, _id=F.col("doc_id").cast("long"), _mark=F.xxhash64(text))
+    joined = texts.join(drops, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_digest")), "left")
+    whole = F.coalesce(F.col("_row").getField("text").cast("string"), F.lit(""))
+    lines = _lines(whole)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops"))
-    kept = F.when(F.col("_drops").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(
-        F.array_join(F.transform(stay, lambda i: lines[i]), "\n")
-    )
-    return (
-        texts.alias("d")
-        .join(drops.alias("x"), same, "left")
-        .select(
-            *[F.col(f"d.`{c}`") for c in docs.columns],
-            F.size(lines).cast("long").alias("n_lines"),
-            F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"),
-            kept.alias("kept_text"),
-        )
+    kept = F.when(F.col("_drops").isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
+    return unpacked(
+        joined,
+        docs.columns,
+        n_lines=F.size(lines).cast("long"),
+        n_dropped=F.coalesce(F.size("_drops"), F.lit(0)).cast("long"),
+        kept_text=kept,
     )
 
 

@@ -17,7 +17,7 @@ all rows is spread over all tasks.  One window runs over the table of sources.
 Cases: a null or empty text has no words and is never taken; a null source is a
 source; rows alike in doc_id and source are ranked by size and get their own
 blocks; an empty table gives an empty result; further columns are left out of
-the report and kept by :func:`mix_documents`, whose own names begin with an underscore.
+the report and kept, whatever their names, by :func:`mix_documents`.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HASH_BITS, cell_bits, checkpointed, running_totals, uniform, word_count
+from .common import HASH_BITS, cell_bits, checkpointed, packed, running_totals, uniform, unpacked, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -184,16 +184,12 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         .groupBy("_source", F.col("doc_id").alias("_doc"), F.col("size").alias("_size"))
         .agg(F.ceil(F.avg("_n")).cast("int").alias("_copies"))
     )
-    keyed = docs.withColumn("_key", _source_key(F.col("source"))).withColumn("_words", word_count(F.col("text")))
+    keyed = packed(docs, _id=F.col("doc_id").cast("long"), _key=_source_key(F.col("source")), _words=word_count(F.col("text")))
     same = (
-        (F.col("_key") == F.col("_source"))
-        & F.col("doc_id").cast("long").eqNullSafe(F.col("_doc"))
-        & (F.col("_words") == F.col("_size"))
+        (F.col("_key") == F.col("_source")) & F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_words") == F.col("_size"))
     )
-    return (
-        keyed.join(copies, same)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(
+        keyed.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs.columns
     )
 
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, packed, unpacked
 from .graph import components
 
 SKETCH = 48
@@ -381,10 +381,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, that with the smallest doc_id, with all its columns."""
     found = near_duplicates(docs, width, percent).filter("kept")
     winners = found.groupBy(F.col("group"), F.col("doc_id").alias("_doc")).agg(F.min("digest").alias("_want"))
-    keyed = docs.withColumn("_digest", _digest(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_digest") == F.col("_want"))
-    joined = keyed.join(winners, same).dropDuplicates(["doc_id", "_digest"])
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = packed(docs, _id=F.col("doc_id").cast("long"), _mark=_digest(F.col("text")))
+    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_want"))
+    return unpacked(keyed.join(winners, same).dropDuplicates(["_id", "_mark"]), docs.columns)
 
 
 def near_report(docs: DataFrame) -> DataFrame:

@@ -25,9 +25,13 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import packed, unpacked
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "iban", "account", "address")
+_FOUND = T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("kind", "string"))
 BASE = KINDS[:4]
 
 # Schemes and cues that anchor an address or an account.
@@ -143,9 +147,9 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_personal(docs: DataFrame) -> DataFrame:
-    """All rows of docs with ``found``, an array of (start, end, kind), added."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_batches, f"{schema}, found array<struct<start:long,end:long,kind:string>>")
+    """All rows of docs with ``found``, an array of (start, end, kind), added; it takes the place of a column of that name."""
+    rows = packed(docs, text=F.col("text").cast("string"))
+    return unpacked(rows.mapInArrow(_batches, T.StructType([*rows.schema.fields, T.StructField("found", _FOUND)])), docs.columns, found=F.col("found"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -157,8 +161,8 @@ def redact(docs: DataFrame) -> DataFrame:
             column = pa.array([splice(t, find_spans(t)) for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "redacted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(spliced, f"{schema}, redacted string")
+    rows = packed(docs, text=F.col("text").cast("string"))
+    return unpacked(rows.mapInArrow(spliced, T.StructType([*rows.schema.fields, T.StructField("redacted", T.StringType())])), docs.columns, redacted=F.col("redacted"))
 
 
 def splice(text: str | None, spans: list[tuple[int, int, str]]) -> str | None:

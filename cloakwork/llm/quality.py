@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, packed, unpacked
 
 # The most frequent function words of each language.
 COMMON_WORDS = {
@@ -235,20 +235,18 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Verdicts are joined by doc_id, language and text digest, so that repeated
     rows and rows that share a doc_id each follow their own verdict.
     """
-    names = docs.columns
-    keyed = docs.withColumn("_digest", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    fields = _OUT_SQL.replace("doc_id long", "doc_id long, _digest long")
-    texts = keyed.select(
-        F.col("doc_id").cast("long"), "_digest", F.col("text").cast("string"), F.col("lang").cast("string")
-    )
-    measured = texts.mapInArrow(_with_digest, fields)
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    digest = F.xxhash64(F.coalesce(text, F.lit("")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("_digest"), text.alias("text"), lang.alias("lang"))
+    measured = texts.mapInArrow(_with_digest, _OUT_SQL.replace("doc_id long", "doc_id long, _digest long"))
     good = judge(measured, ["_digest", "lang"]).filter("kept").select("doc_id", "_digest", "lang").distinct()
+    keyed = packed(docs, doc_id=F.col("doc_id").cast("long"), _digest=digest, lang=lang)
     same = (
         F.col("d.doc_id").eqNullSafe(F.col("g.doc_id"))
         & (F.col("d._digest") == F.col("g._digest"))
         & F.col("d.lang").eqNullSafe(F.col("g.lang"))
     )
-    return keyed.alias("d").join(good.alias("g"), same, "left_semi").select(*names)
+    return unpacked(keyed.alias("d").join(good.alias("g"), same, "left_semi"), docs.columns)
 
 
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,9 +25,13 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import packed, unpacked
 
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "random")
+_FOUND = T.ArrayType(T.StructType().add("start", "long").add("end", "long").add("kind", "string"))
 BASE = KINDS[:3]
 MIN_RUN = 20
 MAX_CHARS_PER_TOKEN = 2.2
@@ -103,7 +107,7 @@ def _shipped(docs: DataFrame, vocabulary: str | None):
 
 
 def find_secrets(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """All rows of docs with ``found``, an array of (start, end, kind), added."""
+    """All rows of docs with ``found``, an array of (start, end, kind), added; it takes the place of a column of that name."""
     shipped = _shipped(docs, vocabulary)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
@@ -117,8 +121,8 @@ def find_secrets(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             columns = [*batch.columns, pa.array(found, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "found"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scan, f"{schema}, found array<struct<start:long,end:long,kind:string>>")
+    rows = packed(docs, text=F.col("text").cast("string"))
+    return unpacked(rows.mapInArrow(scan, T.StructType([*rows.schema.fields, T.StructField("found", _FOUND)])), docs.columns, found=F.col("found"))
 
 
 def secret_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

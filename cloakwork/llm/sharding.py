@@ -15,7 +15,7 @@ rows share has one point; rows of one point are only sorted, never gathered.
 
 Cases: a null key is a key of its own, a null text has no bytes; rows that are
 the same in all columns get different slots; an empty table gives an empty
-result; further columns are kept by :func:`shard`, which adds ``shard`` and ``slot``.
+result; further columns are kept by :func:`shard`, whose ``shard`` and ``slot`` take the place of any of their names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 RING_POINTS = 1 << 16
 VIRTUAL_NODES = 128
 N_SHARDS = 24
@@ -99,19 +101,15 @@ def shard(
     """
     spark = docs.sparkSession
     rank_by = order or [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("_point", _point(F.lit("key"), F.col(f"`{key}`")))
+    keyed = packed(docs, _point=_point(F.lit("key"), F.col(f"`{key}`")), _mark=F.xxhash64(*rank_by))
     counts = {r["_point"]: r["count"] for r in keyed.groupBy("_point").count().collect()}
     plan = plan_ring(
         counts, ring_nodes(spark, shards, virtual_nodes), load_bounds(sum(counts.values()), shards, slack)
     )
-    ranges = spark.createDataFrame(plan, "_point int, _first int, _end int, shard int, _slot long")
-    ranked = keyed.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_point").orderBy(F.xxhash64(*rank_by))) - 1
-    )
+    ranges = spark.createDataFrame(plan, "_point int, _first int, _end int, _shard int, _slot long")
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_point").orderBy("_mark")) - 1)
     placed = ranked.join(ranges, "_point").filter("_rank >= _first and _rank < _end")
-    return placed.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "shard", (F.col("_slot") + F.col("_rank") - F.col("_first")).alias("slot")
-    )
+    return unpacked(placed, docs.columns, shard=F.col("_shard"), slot=F.col("_slot") + F.col("_rank") - F.col("_first"))
 
 
 def shard_report(docs: DataFrame, shards: int = N_SHARDS) -> DataFrame:

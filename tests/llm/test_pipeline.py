@@ -59,3 +59,25 @@ def test_stages(spark):
     assert good.count() < docs.count()
     again = corpus_pipeline.run(spark, SF)
     assert Counter((r.doc_id, r.shard, r.slot) for r in again.collect()) == Counter((r.doc_id, r.shard, r.slot) for r in sharded.collect())
+
+
+CLASHING = "_row _id _mark _doc _digest _want _key _words _source _size _copies _copy _point _rank _first _end _shard _slot _drops shard slot n_lines kept_text found redacted node group text_size a.b".split()
+
+
+def test_columns_with_clashing_names(spark):
+    """Every operator that keeps columns takes any names."""
+    from pyspark.sql import functions as F
+
+    from cloakwork.llm import lines, mixing, neardup, personal, quality, secrets, sharding
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).withColumns({c: F.lit("mine") for c in CLASHING})
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    made = {
+        "quality": quality.keep_good(docs), "lines": lines.dedup_lines(docs), "mixing": mixing.mix_documents(docs), "neardup": neardup.keep_one(docs),
+        "decontaminate": decontaminate.drop_contaminated(docs, bench), "sharding": sharding.shard(docs, 3), "personal": personal.find_personal(docs),
+        "redact": personal.redact(docs), "secrets": secrets.find_secrets(docs),
+    }
+    for name, frame in made.items():
+        assert len(frame.columns) == len(set(frame.columns)) and set(docs.columns) <= set(frame.columns), name
+        row = frame.first()
+        assert row["_row"] == "mine" and row["a.b"] == "mine" and row["_digest"] == "mine", name
