@@ -98,3 +98,37 @@ def test_face_tensor(spark):
     assert [tuple(f) for f in got] == [(10.0, 10.0, 50.0, 30.0, 0.9)]
     bad = F.array(F.array(*map(F.lit, (0.5, 0.2, 0.1, 0.6))), F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0))))
     assert one(spark, g.decode_faces(scores, bad, F.lit(100.0), F.lit(50.0))) is None
+
+
+def test_best_overlap_matching_against_a_mirror(spark):
+    rng = random.Random(9)
+
+    def overlap(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        size = lambda r: (r[2] - r[0]) * (r[3] - r[1])
+        return max(0, w) * max(0, h) / max(1, min(size(a), size(b)))
+
+    def mirror(truth, seen):
+        free, n = set(range(len(seen))), 0
+        for kind, box in truth:
+            best, value = -1, 0.0
+            for i in sorted(free):
+                if seen[i][0] == kind and overlap(box, seen[i][1]) > value:
+                    best, value = i, overlap(box, seen[i][1])
+            if best >= 0 and value >= 0.5:
+                free.discard(best)
+                n += 1
+        return n
+
+    def side():
+        made = []
+        for _ in range(rng.randint(0, 6)):
+            x, y = float(rng.randint(0, 12)), float(rng.randint(0, 12))
+            made.append((rng.choice("ab"), (x, y, x + rng.randint(2, 8), y + rng.randint(2, 8))))
+        return made
+
+    pages = [(side(), side()) for _ in range(120)]
+    kind = f"array<struct<kind:string,box:{BOX}>>"
+    rows = spark.createDataFrame([(i, t, o) for i, (t, o) in enumerate(pages)], f"i int, t {kind}, o {kind}")
+    got = rows.select("i", m.match_best(F.col("t"), F.col("o")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == [mirror(t, o) for t, o in pages]
