@@ -1,10 +1,10 @@
 """Quality rules by distribution divergence.
 
 Every document gets the base counts and two histograms: character classes and
-the common words of its language.  The language references are the sums of the
-histograms over all documents of the language, so they cover the whole table,
-and a document fails when the Jensen-Shannon distance to its reference is over
-a threshold.  Guards keep texts that are too short to judge, and languages whose
+the common words of its language.  A language's reference is made of all its
+distinct texts that pass the base rule: each text counts once, however often it
+is repeated, as shares that weigh its words but no more than ``MAX_WEIGHT``.  A document
+fails when the Jensen-Shannon distance to its reference is over a threshold.  Guards keep texts that are too short to judge, and languages whose
 reference has too few words.
 
 Cases: a null text has no words and fails the base rule; a null or unknown
@@ -15,6 +15,7 @@ the report and kept by :func:`keep_good`; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,10 @@ CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other")
 MIN_WORDS_CHARS = 50
 MIN_WORDS_COMMON = 100
 MIN_REFERENCE_WORDS = 2000
+#: Words that a text weighs in its language's reference at most.
+MAX_WEIGHT = 200
+#: Shares in references are whole parts of this, so that sums don't depend on the order.
+SHARE_UNIT = 1_000_000
 MAX_CHAR_DISTANCE = 0.26
 MAX_WORD_DISTANCE = 0.32
 #: References of up to so many languages, 300 bytes each, go to all executors; more are joined by a shuffle.
@@ -54,11 +59,12 @@ _OUT = pa.schema(
         ("n_repeat_words", pa.int64()),
         ("chars", pa.list_(pa.int64())),
         ("commons", pa.list_(pa.int64())),
+        ("digest", pa.int64()),
     ]
 )
 _OUT_SQL = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, chars array<long>, commons array<long>"
+    "n_repeat_words long, chars array<long>, commons array<long>, digest long"
 )
 _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -120,7 +126,7 @@ def repeated_words(ids: np.ndarray, distinct: int, width: int = 5) -> int:
 
 
 def measure(text: str | None, lang: str | None) -> tuple:
-    """The base counts and histograms of one text."""
+    """The base counts, histograms and digest of one text."""
     raw = (text or "").encode()
     words = raw.split()
     known: dict[bytes, int] = {}
@@ -140,6 +146,7 @@ def measure(text: str | None, lang: str | None) -> tuple:
         repeated_words(ids, max(1, len(known))),
         chars[:7].tolist(),
         commons,
+        int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True),
     )
 
 
@@ -157,14 +164,17 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _distances(p: pd.Series, q: pd.Series) -> pd.Series:
     """Jensen-Shannon distance (base 2) of the rows of two columns of counts."""
-    if not len(p):
-        return pd.Series([], dtype="float64")
-    sides = [np.vstack(x.to_list()).astype(float) for x in (p, q)]
+    out = np.full(len(p), np.nan)
+    there = np.flatnonzero(p.notna() & q.notna())
+    if not len(there):
+        return pd.Series(out)
+    sides = [np.vstack(x.iloc[there].to_list()).astype(float) for x in (p, q)]
     with np.errstate(divide="ignore", invalid="ignore"):
         a, b = (x / x.sum(axis=1, keepdims=True) for x in sides)
         middle = (a + b) / 2
         parts = [np.where(x > 0, x * np.log2(x / middle), 0.0).sum(axis=1) for x in (a, b)]
-    return pd.Series(np.sqrt(np.maximum(0.0, (parts[0] + parts[1]) / 2)))
+    out[there] = np.sqrt(np.maximum(0.0, (parts[0] + parts[1]) / 2))
+    return pd.Series(out)
 
 
 def _distance(p: str, q: str) -> Column:
@@ -182,36 +192,42 @@ def quality_report(docs: DataFrame) -> DataFrame:
     return judge(measured)
 
 
+def _references(measured: DataFrame) -> DataFrame:
+    """(_lang, _words, _chars, _commons): shares of the distinct texts that pass the base rule, summed by language."""
+    size = {"chars": len(CLASSES), "commons": N_COMMON + 1}
+    weight = F.least(F.col("n_words"), F.lit(MAX_WEIGHT))
+
+    def part(column: str, i: int) -> Column:
+        total = F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.floor(F.col(column)[i] * weight * SHARE_UNIT / total).alias(f"{column}{i}")
+
+    names = [f"{c}{i}" for c, n in size.items() for i in range(n)]
+    parts = [part(c, i) for c, n in size.items() for i in range(n)]
+    texts = measured.filter(~F.col("base_failed")).select("_lang", "digest", weight.alias("_weight"), *parts)
+    once = texts.groupBy("_lang", "digest").agg(*[F.max(c).alias(c) for c in ("_weight", *names)])
+    sums = once.groupBy("_lang").agg(F.sum("_weight").alias("_words"), *[F.sum(c).alias(c) for c in names])
+    arrays = [F.array(*[F.col(f"{c}{i}") for i in range(n)]).alias(f"_{c}") for c, n in size.items()]
+    return sums.select("_lang", "_words", *arrays)
+
+
 def judge(measured: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """Hold measured documents against the references that they make together; ``carried`` columns stay."""
-    measured = checkpointed(measured.withColumn("_lang", _key(F.col("lang"))))
-    sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
-    sums += [F.sum(F.col("commons")[i]).alias(f"w{i}") for i in range(N_COMMON + 1)]
-    references = (
-        measured.groupBy("_lang")
-        .agg(F.sum("n_words").alias("_words"), *sums)
-        .select(
-            "_lang",
-            "_words",
-            F.array(*[F.col(f"c{i}") for i in range(len(CLASSES))]).alias("_chars"),
-            F.array(*[F.coalesce(F.col(f"w{i}"), F.lit(0)) for i in range(N_COMMON + 1)]).alias("_commons"),
-        )
-    )
-    references = checkpointed(references)
+    base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    measured = checkpointed(measured.withColumns({"_lang": _key(F.col("lang")), "base_failed": base_failed}))
+    references = checkpointed(_references(measured))
     if references.count() <= MAX_BROADCAST_LANGUAGES:
         references = F.broadcast(references)
     enough = F.col("_words") >= MIN_REFERENCE_WORDS
-    joined = measured.join(references, "_lang")
+    joined = measured.join(references, "_lang", "left")
     char_distance = F.when(enough & (F.col("n_words") >= MIN_WORDS_CHARS), _distance("chars", "_chars"))
     word_distance = F.when(
         enough & (F.col("n_words") >= MIN_WORDS_COMMON), _distance("commons", "_commons")
     )
-    base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > MAX_CHAR_DISTANCE) | (
         F.coalesce(F.col("word_distance"), F.lit(0.0)) > MAX_WORD_DISTANCE
     )
     return (
-        joined.withColumns({"char_distance": char_distance, "word_distance": word_distance, "base_failed": base_failed})
+        joined.withColumns({"char_distance": char_distance, "word_distance": word_distance})
         .withColumn("kept", ~F.col("base_failed") & ~far)
         .select(
             "doc_id",

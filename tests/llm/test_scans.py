@@ -219,3 +219,19 @@ def test_warc_round_trip(spark, tmp_path):
         assert (b.warc_type, b.refers_to, b.target_uri, b.payload, b.payload_digest) == (r.warc_type, r.refers_to, r.target_uri, r.payload, r.payload_digest)
     assert gzip.decompress(members[0]).startswith(b"WARC/1.1\r\n")
     assert warc.warc_report(pages.limit(0)).count() == 0
+
+
+def _prose(rng, lang="en", n=150):
+    common = quality.COMMON_WORDS[lang].split()
+    return " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(["river", "stone", "window", "paper"]) + rng.choice("abcdefgh") for _ in range(n))
+
+
+def test_quality_references_with_a_third_of_copies(spark):
+    rng = random.Random(5)
+    good = [(i, _prose(rng), "en", None, None, "", "", "") for i in range(100)]
+    distinct = [f"{rng.choice('xyz')}{i}%%%$$$" for i in range(4000)]
+    for junk in ("%%%$$$ 123 " * 2000, " ".join(distinct)):  # one that fails the base rule, one that passes it
+        copies = [(1000 + i, junk, "en", None, None, "", "", "") for i in range(50)]
+        got = {r.doc_id: r for r in quality.quality_report(corpus.frame(spark, good + copies)).collect()}
+        assert all(got[i].kept for i in range(100))
+        assert not any(got[1000 + i].kept for i in range(50))
