@@ -7,9 +7,11 @@ is repeated, as shares that weigh its words but no more than ``MAX_WEIGHT``.  A
 fails when the Jensen-Shannon distance to its reference is over a threshold.  Guards keep texts that are too short to judge, and languages whose
 reference has too few words.
 
-Cases: a null text has no words and fails the base rule; a null or unknown
+Cases: a null text has no words and fails the base rule; an unknown
 language is a language of its own whose common-word histogram is the pooled
-list; repeated rows are judged each for itself; further columns are left out of
+list; a null language is judged by the least distance to the references of the
+languages in ``COMMON_WORDS``, and its text helps to make the reference of the one whose
+common words are a tenth of its words or more; repeated rows are judged each for itself; further columns are left out of
 the report and kept by :func:`keep_good`; an empty table gives an empty result.
 """
 
@@ -34,6 +36,8 @@ COMMON_WORDS = {
     "es": "de la que el en y los se del por las un con no una su para es al lo",
 }
 N_COMMON = 20
+#: A text without a language is taken for one when a word in so many is one of its common words.
+RECOGNISED = 10
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other")
 
 MIN_WORDS_CHARS = 50
@@ -60,11 +64,14 @@ _OUT = pa.schema(
         ("chars", pa.list_(pa.int64())),
         ("commons", pa.list_(pa.int64())),
         ("digest", pa.int64()),
+        ("key", pa.string()),
+        ("guesses", pa.list_(pa.int64())),
     ]
 )
 _OUT_SQL = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, chars array<long>, commons array<long>, digest long"
+    "n_repeat_words long, chars array<long>, commons array<long>, digest long, "
+    "key string, guesses array<long>"
 )
 _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -126,7 +133,7 @@ def repeated_words(ids: np.ndarray, distinct: int, width: int = 5) -> int:
 
 
 def measure(text: str | None, lang: str | None) -> tuple:
-    """The base counts, histograms and digest of one text."""
+    """The base counts, histograms, digest, reference key and, without a language, the histograms of all known ones."""
     raw = (text or "").encode()
     words = raw.split()
     known: dict[bytes, int] = {}
@@ -134,10 +141,22 @@ def measure(text: str | None, lang: str | None) -> tuple:
     chars = np.bincount(_TABLE[np.frombuffer(raw, dtype=np.uint8)], minlength=8)
     lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
     counts = np.bincount(ids, minlength=len(known) + 1) if words else np.zeros(1, dtype=np.int64)
-    commons = [
-        sum(int(counts[known[v]]) for v in group if v in known) for group in _VARIANTS.get(lang or "", _VARIANTS[""])
-    ]
-    commons.append(len(words) - sum(commons))
+
+    def histogram(groups: list[list[bytes]]) -> list[int]:
+        found = [sum(int(counts[known[v]]) for v in group if v in known) for group in groups]
+        return [*found, len(words) - sum(found)]
+
+    guesses = None
+    if lang is None:
+        each = {k: histogram(_VARIANTS[k]) for k in COMMON_WORDS}
+        guesses = [n for h in each.values() for n in h]
+        best = min(each, key=lambda k: each[k][-1])
+        if RECOGNISED * (len(words) - each[best][-1]) >= max(1, len(words)):
+            key, commons = f"+{best}", each[best]
+        else:
+            key, commons = "", histogram(_VARIANTS[""])
+    else:
+        key, commons = f"+{lang}", histogram(_VARIANTS.get(lang, _VARIANTS[""]))
     return (
         len(words),
         int(chars[:3].sum() + chars[4:7].sum()),
@@ -147,6 +166,8 @@ def measure(text: str | None, lang: str | None) -> tuple:
         chars[:7].tolist(),
         commons,
         int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True),
+        key,
+        guesses,
     )
 
 
@@ -162,27 +183,35 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays(arrays, schema=_OUT)
 
 
-def _distances(p: pd.Series, q: pd.Series) -> pd.Series:
-    """Jensen-Shannon distance (base 2) of the rows of two columns of counts."""
-    out = np.full(len(p), np.nan)
-    there = np.flatnonzero(p.notna() & q.notna())
-    if not len(there):
-        return pd.Series(out)
-    sides = [np.vstack(x.iloc[there].to_list()).astype(float) for x in (p, q)]
+def _divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distance (base 2) of the rows of two tables of counts."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        a, b = (x / x.sum(axis=1, keepdims=True) for x in sides)
+        a, b = (x / x.sum(axis=1, keepdims=True) for x in (p, q))
         middle = (a + b) / 2
         parts = [np.where(x > 0, x * np.log2(x / middle), 0.0).sum(axis=1) for x in (a, b)]
-    out[there] = np.sqrt(np.maximum(0.0, (parts[0] + parts[1]) / 2))
-    return pd.Series(out)
+    return np.sqrt(np.maximum(0.0, (parts[0] + parts[1]) / 2))
 
 
-def _distance(p: str, q: str) -> Column:
-    return F.pandas_udf(_distances, "double")(F.col(p), F.col(q))
+def _distance(counts: Column, reference: Column, guesses: Column, known: list[tuple[int, list[int]]]) -> Column:
+    """Distance of counts to the reference where there is one.
 
+    Where there are guesses it is the least distance of their slices to the
+    (first place, counts) in ``known`` instead; null if nothing can be compared.
+    """
 
-def _key(lang: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("+"), lang), F.lit(""))
+    def distances(p: pd.Series, q: pd.Series, g: pd.Series) -> pd.Series:
+        out = np.full(len(p), np.nan)
+        named = np.flatnonzero(q.notna() & g.isna())
+        if len(named):
+            out[named] = _divergence(*(np.vstack(x.iloc[named].to_list()).astype(float) for x in (p, q)))
+        nameless = np.flatnonzero(g.notna())
+        if len(nameless) and known:
+            rows = np.vstack(g.iloc[nameless].to_list()).astype(float)
+            each = [_divergence(rows[:, at : at + len(x)], np.array([x], dtype=float)) for at, x in known]
+            out[nameless] = np.fmin.reduce(each)
+        return pd.Series(out)
+
+    return F.pandas_udf(distances, "double")(counts, reference, guesses)
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
@@ -203,7 +232,7 @@ def _references(measured: DataFrame) -> DataFrame:
 
     names = [f"{c}{i}" for c, n in size.items() for i in range(n)]
     parts = [part(c, i) for c, n in size.items() for i in range(n)]
-    texts = measured.filter(~F.col("base_failed")).select("_lang", "digest", weight.alias("_weight"), *parts)
+    texts = measured.filter(~F.col("base_failed") & (F.col("_lang") != "")).select("_lang", "digest", weight.alias("_weight"), *parts)
     once = texts.groupBy("_lang", "digest").agg(*[F.max(c).alias(c) for c in ("_weight", *names)])
     sums = once.groupBy("_lang").agg(F.sum("_weight").alias("_words"), *[F.sum(c).alias(c) for c in names])
     arrays = [F.array(*[F.col(f"{c}{i}") for i in range(n)]).alias(f"_{c}") for c, n in size.items()]
@@ -213,16 +242,22 @@ def _references(measured: DataFrame) -> DataFrame:
 def judge(measured: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """Hold measured documents against the references that they make together; ``carried`` columns stay."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    measured = checkpointed(measured.withColumns({"_lang": _key(F.col("lang")), "base_failed": base_failed}))
+    measured = checkpointed(measured.withColumns({"_lang": F.col("key"), "base_failed": base_failed}))
     references = checkpointed(_references(measured))
     if references.count() <= MAX_BROADCAST_LANGUAGES:
         references = F.broadcast(references)
+    # At most a row for each language in COMMON_WORDS.
+    known = {r._lang[1:]: r for r in references.filter(F.col("_lang").isin([f"+{k}" for k in COMMON_WORDS])).collect()}
+    known = {k: r for k, r in known.items() if r._words >= MIN_REFERENCE_WORDS}
+    least_chars = [(0, r._chars) for r in known.values()]
+    least_words = [(list(COMMON_WORDS).index(k) * (N_COMMON + 1), r._commons) for k, r in known.items()]
+    nameless = F.col("lang").isNull()
     enough = F.col("_words") >= MIN_REFERENCE_WORDS
     joined = measured.join(references, "_lang", "left")
-    char_distance = F.when(enough & (F.col("n_words") >= MIN_WORDS_CHARS), _distance("chars", "_chars"))
-    word_distance = F.when(
-        enough & (F.col("n_words") >= MIN_WORDS_COMMON), _distance("commons", "_commons")
-    )
+    chars = _distance(F.col("chars"), F.when(enough, F.col("_chars")), F.when(nameless, F.col("chars")), least_chars)
+    words = _distance(F.col("commons"), F.when(enough, F.col("_commons")), F.col("guesses"), least_words)
+    char_distance = F.when(F.col("n_words") >= MIN_WORDS_CHARS, chars)
+    word_distance = F.when(F.col("n_words") >= MIN_WORDS_COMMON, words)
     far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > MAX_CHAR_DISTANCE) | (
         F.coalesce(F.col("word_distance"), F.lit(0.0)) > MAX_WORD_DISTANCE
     )

@@ -235,3 +235,17 @@ def test_quality_references_with_a_third_of_copies(spark):
         got = {r.doc_id: r for r in quality.quality_report(corpus.frame(spark, good + copies)).collect()}
         assert all(got[i].kept for i in range(100))
         assert not any(got[1000 + i].kept for i in range(50))
+
+
+def test_quality_of_texts_without_a_language(spark):
+    rng = random.Random(6)
+    sizes = {"en": 90, "de": 25, "fr": 25, "es": 25}
+    texts = [_prose(rng, lang) for lang, n in sizes.items() for _ in range(n)]
+    clean = [(i, t, None, None, None, "", "", "") for i, t in enumerate(texts)]
+    junk = [(1000, " ".join(f"{rng.choice('xyz')}{i}%%%$$$" for i in range(150)), None, None, None, "", "", "")]
+    junk += [(1001, " ".join("".join(rng.choice("qwrtzp") for _ in range(6)) for _ in range(150)), None, None, None, "", "", "")]
+    labelled = [(2000 + i, _prose(rng, "en"), "en", None, None, "", "", "") for i in range(40)]
+    for more in ([], labelled):
+        got = {r.doc_id: r.kept for r in quality.quality_report(corpus.frame(spark, clean + junk + more)).collect()}
+        assert {i for i, kept in got.items() if not kept} == {1000, 1001}
+    assert quality.keep_good(corpus.frame(spark, clean + junk)).count() == len(clean)
