@@ -5,7 +5,8 @@ runs.  Beside them, runs of key characters are measured under a byte-level BPE
 vocabulary: natural words and identifiers take several characters a token,
 random strings few.  A run is kept as ``random`` when its characters per token
 are below a ratio, after known digests (hexadecimal runs of digest length, UUIDs)
-and identifiers (words joined by separators, paths, numbers) are excluded.
+and identifiers (words joined by separators, paths, numbers) are excluded.  Parts of
+one case are an identifier only if their letters, too, reach the ratio.
 
 Cases: a null text is empty and has no spans; repeated rows get the same spans;
 texts are scanned whole, however long; further columns are left out of the
@@ -43,6 +44,7 @@ _RUN = re.compile(rf"[A-Za-z0-9+/_.-]{{{MIN_RUN - 2},}}={{0,2}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I | re.A)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.I | re.A)
 _WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_./=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[_./=+-]*\Z")
+_LETTERS = re.compile(r"[A-Za-z]+")
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -64,8 +66,23 @@ def counter(data: bytes) -> Callable[[str], int]:
 
 
 def is_known(run: str) -> bool:
-    """A digest, a UUID, or words and numbers joined by separators."""
-    return bool(_DIGEST.match(run) or _UUID.match(run) or _WORDS.match(run))
+    """A digest or a UUID."""
+    return bool(_DIGEST.match(run) or _UUID.match(run))
+
+
+def is_identifier(run: str, tokens: Callable[[str], int]) -> bool:
+    """Words and numbers joined by separators: the letters, as they are or in lower case, reach the ratio."""
+    if not _WORDS.match(run):
+        return False
+    parts = _LETTERS.findall(run)
+    least = sum(min(tokens(w), tokens(w.lower())) for w in parts)
+    return sum(map(len, parts)) >= MAX_CHARS_PER_TOKEN * least
+
+
+def is_random(run: str, tokens: Callable[[str], int]) -> bool:
+    if len(run) < MIN_RUN or is_known(run) or is_identifier(run, tokens):
+        return False
+    return len(run) < MAX_CHARS_PER_TOKEN * tokens(run)
 
 
 def find_spans(text: str | None, tokens: Callable[[str], int]) -> list[tuple[int, int, str]]:
@@ -80,10 +97,8 @@ def find_spans(text: str | None, tokens: Callable[[str], int]) -> list[tuple[int
     spans += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     for m in _RUN.finditer(text):
         run = m[0].lstrip(".-/_+").rstrip(".-/_+")
-        if len(run) < MIN_RUN or is_known(run):
-            continue
-        start = m.start() + m[0].index(run)
-        if len(run) < MAX_CHARS_PER_TOKEN * tokens(run):
+        if is_random(run, tokens):
+            start = m.start() + m[0].index(run)
             spans.append((start, start + len(run), "random"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 

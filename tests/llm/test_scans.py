@@ -249,3 +249,14 @@ def test_quality_of_texts_without_a_language(spark):
         got = {r.doc_id: r.kept for r in quality.quality_report(corpus.frame(spark, clean + junk + more)).collect()}
         assert {i for i, kept in got.items() if not kept} == {1000, 1001}
     assert quality.keep_good(corpus.frame(spark, clean + junk)).count() == len(clean)
+
+
+def test_random_runs_of_one_case():
+    kinds = lambda t: {k for _, _, k in secrets.find_spans(t, TOKENS)}
+    rng = random.Random(7)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        draws = ["".join(rng.choice(letters) for _ in range(24)) for _ in range(100)]
+        assert sum("random" in kinds(f"see {w} end") for w in draws) >= 99
+        assert sum("random" in kinds(f"see {w[:6]}-{w[6:12]}-{w[12:18]}-{w[18:]} end") for w in draws) >= 98
+    for name in ("internationalisation-of-the-configuration", "LICENSE_AGREEMENT_VERSION_TWO", "us-east-1-prod-vpc-subnet-private", "4111-1111-1111-1111-1111", "github.com/kubernetes/kubernetes/pkg/kubelet"):
+        assert kinds(name) == set(), name
