@@ -6,7 +6,9 @@ vocabulary: natural words and identifiers take several characters a token,
 random strings few.  A run is kept as ``random`` when its characters per token
 are below a ratio, after known digests (hexadecimal runs of digest length, UUIDs)
 and identifiers (words joined by separators, paths, numbers) are excluded.  Parts of
-one case are an identifier only if their letters, too, reach the ratio.
+one case are an identifier only if their letters, too, reach the ratio.  A run that
+isn't random as a whole is cut at its separators, ``/`` first and ``-`` last, and its
+parts of 20 characters and more are measured alone.
 
 Cases: a null text is empty and has no spans; repeated rows get the same spans;
 texts are scanned whole, however long; further columns are left out of the
@@ -44,6 +46,8 @@ _RUN = re.compile(rf"[A-Za-z0-9+/_.-]{{{MIN_RUN - 2},}}={{0,2}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I | re.A)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.I | re.A)
 _WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_./=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[_./=+-]*\Z")
+#: Separators at which a run is cut, the outermost first; each cut includes those before it.
+_CUTS = [re.compile(f"[^{c}]+") for c in ("/", "/.", "/.+=", "/.+=_", "/.+=_-")]
 _LETTERS = re.compile(r"[A-Za-z]+")
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -85,6 +89,22 @@ def is_random(run: str, tokens: Callable[[str], int]) -> bool:
     return len(run) < MAX_CHARS_PER_TOKEN * tokens(run)
 
 
+def random_parts(run: str, tokens: Callable[[str], int], cut: int = 0) -> list[tuple[int, int]]:
+    """(start, end) of the run if it is random, or else of the outermost parts between separators that are."""
+    inner = run.lstrip(".-/_+").rstrip(".-/_+")
+    if len(inner) < MIN_RUN or is_known(inner):
+        return []
+    start = run.index(inner)
+    if is_random(inner, tokens):
+        return [(start, start + len(inner))]
+    while cut < len(_CUTS):
+        parts = list(_CUTS[cut].finditer(inner))
+        cut += 1
+        if len(parts) > 1 or len(parts[0][0]) < len(inner):
+            return [(start + m.start() + a, start + m.start() + b) for m in parts for a, b in random_parts(m[0], tokens, cut)]
+    return []
+
+
 def find_spans(text: str | None, tokens: Callable[[str], int]) -> list[tuple[int, int, str]]:
     """(start, end, kind) of everything found, by start and then kind as listed."""
     text = text or ""
@@ -96,10 +116,7 @@ def find_spans(text: str | None, tokens: Callable[[str], int]) -> list[tuple[int
         spans += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     spans += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     for m in _RUN.finditer(text):
-        run = m[0].lstrip(".-/_+").rstrip(".-/_+")
-        if is_random(run, tokens):
-            start = m.start() + m[0].index(run)
-            spans.append((start, start + len(run), "random"))
+        spans += [(m.start() + a, m.start() + b, "random") for a, b in random_parts(m[0], tokens)]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -260,3 +260,15 @@ def test_random_runs_of_one_case():
         assert sum("random" in kinds(f"see {w[:6]}-{w[6:12]}-{w[12:18]}-{w[18:]} end") for w in draws) >= 98
     for name in ("internationalisation-of-the-configuration", "LICENSE_AGREEMENT_VERSION_TWO", "us-east-1-prod-vpc-subnet-private", "4111-1111-1111-1111-1111", "github.com/kubernetes/kubernetes/pkg/kubelet"):
         assert kinds(name) == set(), name
+
+
+def test_random_parts_of_longer_runs():
+    rng = random.Random(8)
+    spans = lambda t: {t[a:b] for a, b, k in secrets.find_spans(t, TOKENS) if k == "random"}
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+        for path in ("hooks.example.com/services/notifications/production/{}", "config/application/production/credentials/{}/settings", "org.apache.application.configuration.{}.production"):
+            for _ in range(50):
+                key = "".join(rng.choice(letters) for _ in range(24))
+                assert any(key in s for s in spans(f"at {path.format(key)} end")), path.format(key)
+    assert spans("application/production/configuration/downloads/internationalisation/documentation/123e4567-E89B-12d3-A456-426614174000/settings") == set()
+    assert spans("https://example.com/blog/2024/01/how-to-configure-the-server.html") == set()
