@@ -8,10 +8,16 @@ diagonal bands of e + 1, two neighbours at a time, and only bands that reach the
 bound are retained.  A banded alignment of the whole item against the region of
 the band verifies it.
 
+A quoted part of an item counts as well: an item of more than ``WINDOW_WORDS`` words
+is also cut into windows of so many at every half window, and each window is looked for
+in the same way.  So a run of one and a half windows' words of a longer item is always
+found; of shorter items, and of those without spaces, only the whole is.  Where the whole
+item is found, its windows aren't listed.
+
 A document is scanned in one pass with numpy: its q-grams are 64-bit numbers that a
 bit table sorts out before they are looked up.  Documents are never shuffled.
 The benchmark's q-grams are sent to the executors in blocks of at most
-``BLOCK_BYTES`` of text; a larger benchmark takes several passes over the documents.
+``BLOCK_BYTES`` of text, windows included; a larger benchmark takes several passes over the documents.
 
 Cases: null and empty texts and items match nothing; an item too short for a
 q-gram matches as a run of whole words; repeated rows of documents give one match,
@@ -33,6 +39,7 @@ from .common import checkpointed, packed, unpacked
 
 Q = 8
 EDIT_SHARE = 12
+WINDOW_WORDS = 24
 #: Bytes of benchmark text that are sent to the executors at once.
 BLOCK_BYTES = 4 << 20
 _TABLE_BITS = 20
@@ -45,6 +52,15 @@ def normalise(text: str | None) -> bytes:
     return _NO_WORD.sub(" ", (text or "").lower()).strip().encode()
 
 
+def windows(item: bytes) -> list[bytes]:
+    """Overlapping windows of a normalised item that is longer than a window; the last ends with the item."""
+    words = item.split(b" ")
+    last = len(words) - WINDOW_WORDS
+    if last <= 0:
+        return []
+    return [b" ".join(words[at : at + WINDOW_WORDS]) for at in [*range(0, last, WINDOW_WORDS // 2), last]]
+
+
 def budget(m: int) -> int:
     """Edits that an item of m bytes may have; fewer if the lemma's bound would be under a quarter of a q-gram's bytes."""
     edits = m // EDIT_SHARE
@@ -107,11 +123,13 @@ def align(item: bytes, region: bytes, edits: int) -> tuple[int, int, int] | None
 
 
 class Index:
-    """The q-grams of a block of items, with the items and places that have them."""
+    """The q-grams of a block of items and then of their windows, with the items and places that have them."""
 
     def __init__(self, items: list[tuple[int, bytes]]) -> None:
         self.short = [(i, b" " + t + b" ") for i, t in items if 0 < len(t) < Q]
         self.items = [(i, t) for i, t in items if len(t) >= Q]
+        self.whole = len(self.items)
+        self.items += [(i, w) for i, t in self.items for w in windows(t) if len(w) >= Q]
         parts = [grams(t) for _, t in self.items]
         lengths = np.array([len(p) for p in parts], dtype=np.int64)
         codes = np.concatenate([*parts, np.empty(0, dtype=np.uint64)])
@@ -132,19 +150,22 @@ class Index:
             return (codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
 
     def find(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, edits) in the normalised text; of places that overlap the best one."""
+        """(item_id, start, end, edits) in the normalised text; of places that overlap a whole item or else the best window."""
         found = []
         if self.short:
             padded = b" " + text + b" "
             for item, word in self.short:
                 if (at := padded.find(word)) >= 0:
-                    found.append((item, at, at + len(word) - 2, 0))
-        for item, low, high in self._bands(text):
+                    found.append((item, at, at + len(word) - 2, 0, False))
+        for item, low, high in self._bands(text):  # whole items come first
             name, data = self.items[item]
+            part, middle = item >= self.whole, (low + high) // 2
+            if part and any(f[0] == name and not f[4] and f[1] <= middle < f[2] for f in found):
+                continue
             if hit := align(data, text[low:high], int(self.edits[item])):
-                found.append((name, low + hit[1], low + hit[2], hit[0]))
+                found.append((name, low + hit[1], low + hit[2], hit[0], part))
         best: list[tuple[int, int, int, int]] = []
-        for name, start, end, edits in sorted(found, key=lambda f: (f[0], f[3], f[1], f[2])):
+        for name, start, end, edits, _ in sorted(found, key=lambda f: (f[0], f[4], f[3], f[1], f[2])):
             if all(name != o[0] or end <= o[1] or start >= o[2] for o in best):
                 best.append((name, start, end, edits))
         return best
@@ -217,12 +238,14 @@ def _scan(block):
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, start, end, edits): every place of a benchmark item in a document, in code points."""
+    """(doc_id, item_id, start, end, edits): every place of a benchmark item or of a window of it in a document, in code points."""
     spark = docs.sparkSession
     items = checkpointed(
         benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("text is not null").distinct()
     )
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Windows have twice the bytes of an item, and a last one.
+    cut = F.when(F.size(F.split("text", r"\W+")) > WINDOW_WORDS, 4).otherwise(1)
+    total = items.agg(F.sum(F.octet_length("text") * cut)).first()[0] or 0
     blocks = -(-total // block_bytes)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = spark.createDataFrame([], "doc_id long, item_id long, start long, end long, edits long")

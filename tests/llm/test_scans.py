@@ -272,3 +272,29 @@ def test_random_parts_of_longer_runs():
                 assert any(key in s for s in spans(f"at {path.format(key)} end")), path.format(key)
     assert spans("application/production/configuration/downloads/internationalisation/documentation/123e4567-E89B-12d3-A456-426614174000/settings") == set()
     assert spans("https://example.com/blog/2024/01/how-to-configure-the-server.html") == set()
+
+
+def test_quoted_parts_of_long_items_are_found():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n)).encode()
+    items = [(i, text(n)) for i, n in enumerate([40, 60, 100, 300])]
+    index = decontaminate.Index(items)
+    for name, item in items:
+        words = item.split(b" ")
+        half = b" ".join(words[: len(words) // 2 + 16])
+        for part in (half, b" ".join(words[: len(words) * 9 // 10]), b" ".join(words[-36:])):
+            assert {f[0] for f in index.find(text(80) + b" " + part + b" " + text(80))} == {name}
+        for at in range(0, len(words) - 35, 7):
+            assert {f[0] for f in index.find(text(30) + b" " + b" ".join(words[at : at + 36]) + b" " + text(30))} == {name}
+        assert [f[3] for f in index.find(text(20) + b" " + item + b" " + text(20))] == [0]
+        assert index.find(b" ".join(words[:12]) + b" " + text(60)) == []
+
+
+def test_contamination_by_a_half_quoted_item(spark):
+    item = " ".join(f"{w}{i}" for i, w in enumerate(["river", "stone", "window", "paper"] * 30))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    half = "Intro words. " + " ".join(item.split(" ")[30:80]) + ". Outro words"
+    docs = corpus.frame(spark, [(1, half, *[None] * 6), (2, "clean " * 60, *[None] * 6)])
+    assert {r.doc_id for r in decontaminate.contamination_report(docs, bench).collect()} == {1}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [2]
