@@ -19,15 +19,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder in spark.checkpoint.dir, with the lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a folder of its own only on a single machine that names none, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
 
-    A folder of its own is made only where the session names none, as in tests.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, with the lineage cut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -90,3 +96,34 @@ def running_totals(
     rows = rows.join(cells, [group, "_cell"])
     kept = [c for c in df.columns if c != "_cell"]
     return rows.select(*kept, *[(F.col(f"_b_{m}") + F.col(f"_r_{m}")).alias(name) for m, name in measures.items()])
+
+
+def ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows dealt to partitions by ranges of a total order, written, with the partition's number as ``_part``."""
+    return checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def ordered_totals(df: DataFrame, order: list[Column], measures: dict[str, str]) -> DataFrame:
+    """Add for each measure its sum over all rows before this one; df comes from :func:`ranged` by the same order.
+
+    The one window without a partition goes over a row for each partition.
+    """
+    before = (Window.unboundedPreceding, -1)
+    over_parts = Window.orderBy("_part").rowsBetween(*before)
+    over_rows = Window.partitionBy("_part").orderBy(*order).rowsBetween(*before)
+    zero = F.lit(0).cast("long")
+    parts = df.groupBy("_part").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
+    parts = parts.select("_part", *[F.coalesce(F.sum(f"_s_{m}").over(over_parts), zero).alias(f"_b_{m}") for m in measures])
+    rows = df.withColumns({f"_r_{m}": F.coalesce(F.sum(m).over(over_rows), zero) for m in measures})
+    rows = rows.join(F.broadcast(parts), "_part")  # as many rows as there are partitions
+    return rows.select(*df.columns, *[(F.col(f"_b_{m}") + F.col(f"_r_{m}")).alias(name) for m, name in measures.items()])
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; those that can't be hashed themselves, as maps, are hashed as JSON."""
+
+    def plain(field) -> Column:
+        column = F.col(f"`{field.name}`")
+        return F.to_json(F.struct(column.alias("c"))) if "map<" in field.dataType.simpleString() else column
+
+    return F.xxhash64(*[plain(f) for f in df.schema.fields])

@@ -10,69 +10,96 @@ bit-reverse(j), so every source gets exactly its number of slots, evenly
 spread.  Slots are ranked within their source, and rank r takes block r of the
 line, passing over the line again after its end.
 
-Everything after the word count moves numbers only.  Ranks and places on the
+Everything after the word count moves numbers only.  Rows alike in source,
+doc_id and text are one entry of the line with a count, so that a hot group of
+copies is one row until it is dealt out again in chunks.  Ranks and places on the
 line come from running totals over hashed cells, so a source with a third of
-all rows is spread over all tasks.  One window runs over the table of sources.
+all rows is spread over all tasks; the table of sources is dealt by ranges, so it may be long too.
 
 Cases: a null or empty text has no words and is never taken; a null source is a
-source; rows alike in doc_id and source are ranked by size and get their own
-blocks; an empty table gives an empty result; further columns are left out of
+source; repeated rows get their own blocks each; an empty table gives an empty result;
+texts are counted whole; further columns are left out of
 the report and kept, whatever their names, by :func:`mix_documents`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BITS, cell_bits, checkpointed, packed, running_totals, uniform, unpacked, word_count
+from .common import (
+    HASH_BITS,
+    cell_bits,
+    checkpointed,
+    ordered_totals,
+    packed,
+    ranged,
+    row_hash,
+    running_totals,
+    uniform,
+    unpacked,
+    word_count,
+)
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 BLOCK_WORDS = 512
-#: Slots that one row of the expanding step makes.
-SLOT_CHUNK = 4096
+#: Slots or copies that one row of an expanding step makes.
+CHUNK = 4096
 
 
 def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("+"), source.cast("string")), F.lit(""))
 
 
+def _text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")))
+
+
+_BY_NAME = ("_nameless", "_source")
+_BY_RATIO = ("_ratio", *_BY_NAME)
+
+
 def source_targets(
-    rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP
+    sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP
 ) -> DataFrame:
-    """(_source, source_size, target) from rows of (_source, size).
+    """(_source, source_size, target) and the columns of the order by ratio, from one row of (_source, source_size) a source.
 
     Sharing the excess again by weight until no target is above its cap ends at
-    min(cap, level * weight) for one level.  Sorted by cap / weight, the capped
-    sources come first, so running sums give the level.
+    min(cap, level * weight) for one level.  Sorted by cap / weight, sources are full up to
+    some place.  The level that is left to the others when all before a place are full rises up to
+    that place and falls after it, so the level sought is the greatest at a place that isn't full.
     """
-    sizes = rows.groupBy("_source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("_source") == "", "_source")
-    everything = Window.partitionBy()
-    ordered = sizes.select(
-        "_source",
-        "source_size",
-        F.element_at(
-            F.array(*[F.lit(w) for w in weights]),
-            F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))).cast("int") + 1,
-        ).alias("_weight"),
-        (F.col("source_size") * cap).alias("_cap"),
-        (F.sum("source_size").over(everything) * F.lit(share)).alias("_all"),
+    named = ranged(
+        sizes.select("_source", "source_size", (F.col("_source") == "").alias("_nameless"), F.lit(1).alias("_one")),
+        *map(F.col, _BY_NAME),
     )
-    by_ratio = Window.orderBy(F.col("_cap") / F.col("_weight"), F.col("_source") == "", "_source")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    levelled = ordered.withColumn(
-        "_level", (F.col("_all") - F.coalesce(F.sum("_cap").over(before), F.lit(0))) / F.sum("_weight").over(after)
-    ).withColumn("_full", F.col("_cap") <= F.col("_level") * F.col("_weight"))
-    level = F.min(F.when(~F.col("_full"), F.col("_level"))).over(everything)
-    return levelled.select(
+    named = ordered_totals(named, list(map(F.col, _BY_NAME)), {"_one": "_place"}).select(
         "_source",
         "source_size",
-        F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(level * F.col("_weight")).alias("target"),
+        "_nameless",
+        F.element_at(F.array(*map(F.lit, weights)), F.pmod("_place", F.lit(len(weights))).cast("int") + 1).alias("_weight"),
+        (F.col("source_size") * cap).alias("_cap"),
     )
+    rows = ranged(named.withColumn("_ratio", F.col("_cap") / F.col("_weight")), *map(F.col, _BY_RATIO))
+    rows = ordered_totals(rows, list(map(F.col, _BY_RATIO)), {"_cap": "_caps", "_weight": "_weights"})
+    words, weight = rows.agg(F.sum("source_size"), F.sum("_weight")).first()
+    level = (F.lit((words or 0) * share) - F.col("_caps")) / (F.lit(weight or 0) - F.col("_weights"))
+    rows = rows.withColumn("_level", level).withColumn("_full", F.col("_cap") <= F.col("_level") * F.col("_weight"))
+    water = rows.filter(~F.col("_full")).agg(F.max("_level")).first()[0]
+    target = F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(F.lit(water) * F.col("_weight"))
+    return rows.select("_source", "source_size", target.alias("target"), *_BY_RATIO[:2], "_part")
+
+
+def _chunked(rows: DataFrame, count: str, *keys: str) -> DataFrame:
+    """A row for each number from 0 below ``count``, as ``_i``; long counts are dealt out in chunks."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(CHUNK).cast("long")))
+    many = F.col(count) > CHUNK
+    parts = rows.filter(many).withColumn("_first", first).repartition(*keys, "_first")
+    parts = parts.unionByName(rows.filter(~many & (F.col(count) > 0)).withColumn("_first", F.lit(0).cast("long")))
+    last = F.least(F.col("_first") + CHUNK, F.col(count)) - 1
+    return parts.withColumn("_i", F.explode(F.sequence(F.col("_first"), last))).drop("_first")
 
 
 def _slots(targets: DataFrame, block: int) -> DataFrame:
@@ -87,28 +114,15 @@ def _slots(targets: DataFrame, block: int) -> DataFrame:
             + F.ceil(F.pmod(F.col("_goal"), F.col("source_size")) / block),
         )
     )
-    before = Window.orderBy("_source").rowsBetween(Window.unboundedPreceding, -1)
-    plan = plan.withColumn("_from", F.coalesce(F.sum("_slots").over(before), F.lit(0))).withColumn(
-        "_bits", F.greatest(F.lit(1), F.ceil(F.log2(F.sum("_slots").over(Window.partitionBy()))).cast("int"))
-    )
-    chunks = plan.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slots") - 1, F.lit(SLOT_CHUNK).cast("long")))
-    ).repartition("_source", "_chunk")
-    last = F.least(F.col("_chunk") + SLOT_CHUNK, F.col("_slots")) - 1
-    points = chunks.withColumn("_j", F.explode(F.sequence(F.col("_chunk"), last)))
-    binary = F.bin(F.col("_j") + F.col("_from"))
-    reverse = F.conv(F.reverse(F.lpad(binary, F.col("_bits"), F.lit("0"))), 2, 10).cast("long")
+    total = plan.agg(F.sum("_slots")).first()[0] or 0
+    bits = max(1, (total - 1).bit_length())
+    plan = ordered_totals(plan, list(map(F.col, _BY_RATIO)), {"_slots": "_from"})
+    points = _chunked(plan, "_slots", "_source")
+    binary = F.lpad(F.bin(F.col("_i") + F.col("_from")), bits, "0")
     points = points.select(
-        "_source",
-        "source_size",
-        "_goal",
-        "_blocks",
-        "_bits",
-        reverse.alias("slot"),
-        F.lit(1).cast("long").alias("_one"),
-    ).withColumn("_place", F.expr(f"shiftleft(slot, {HASH_BITS} - _bits)"))
-    points = checkpointed(points)
-    ranked = running_totals(points, "_source", "_place", [], {"_one": "_rank"}, cell_bits(points.count()))
+        "_source", "source_size", "_goal", "_blocks", F.conv(F.reverse(binary), 2, 10).cast("long").alias("slot"), F.lit(1).cast("long").alias("_one")
+    ).withColumn("_place", F.shiftleft("slot", HASH_BITS - bits))
+    ranked = running_totals(checkpointed(points), "_source", "_place", [], {"_one": "_rank"}, cell_bits(total))
     ranked = ranked.withColumn("_pass", F.floor(F.col("_rank") / F.col("_blocks"))).withColumn(
         "_block", F.pmod(F.col("_rank"), F.col("_blocks"))
     )
@@ -119,15 +133,21 @@ def _slots(targets: DataFrame, block: int) -> DataFrame:
 
 
 def _lined(docs: DataFrame) -> DataFrame:
-    """Each document's words and place on its source's line."""
-    rows = checkpointed(
-        docs.select(
-            F.col("doc_id").cast("long"), _source_key(F.col("source")).alias("_source"), word_count(F.col("text")).alias("size")
-        ).withColumn("_place", uniform(F.col("doc_id")))
-    ).withColumn("_one", F.lit(1).cast("long"))
+    """Rows alike in source, doc_id and text as one row with their number, words and place on the source's line."""
+    rows = docs.select(
+        F.col("doc_id").cast("long"),
+        _source_key(F.col("source")).alias("_source"),
+        word_count(F.col("text").cast("string")).alias("size"),
+        _text_key(F.col("text")).alias("_digest"),
+    )
+    groups = checkpointed(
+        rows.groupBy("_source", "doc_id", "_digest", "size")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumns({"_words": F.col("_n") * F.col("size"), "_place": uniform(F.col("doc_id"), F.col("_digest"))})
+    )
     return running_totals(
-        rows, "_source", "_place", ["doc_id", "size"], {"size": "_start", "_one": "_ordinal"}, cell_bits(rows.count())
-    ).drop("_place", "_one")
+        groups, "_source", "_place", ["doc_id", "_digest"], {"_words": "_start", "_n": "_ordinal"}, cell_bits(groups.count())
+    ).drop("_place")
 
 
 def schedule(
@@ -137,89 +157,137 @@ def schedule(
     cap: int = CAP,
     block: int = BLOCK_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents with targets, pieces).
+    """(rows with targets, pieces).
 
-    Pieces are (_source, _ordinal, slot, first word within the document, words):
-    read in slot order they are the mix.
+    Rows are (_source, _ordinal, doc_id, _digest, _n, size, source_size, target), one for each document.
+    Pieces are (_source, _ordinal, slot, _pass, first word within the document, words, whether the middle word is
+    among them): read in slot order they are the mix.
     """
     lined = checkpointed(_lined(docs))
-    targets = checkpointed(source_targets(lined, weights, share, cap))
-    lined = lined.join(targets, "_source")
+    sizes = lined.groupBy("_source").agg(F.sum("_words").alias("source_size"))
+    targets = source_targets(sizes, weights, share, cap)
+    lined = lined.join(targets.select("_source", "source_size", "target"), "_source")
+    each = _chunked(lined, "_n", "_source", "doc_id", "_digest").select(
+        "_source",
+        (F.col("_ordinal") + F.col("_i")).alias("_ordinal"),
+        (F.col("_start") + F.col("_i") * F.col("size")).alias("_start"),
+        "doc_id",
+        "_digest",
+        "_n",
+        "size",
+        "source_size",
+        "target",
+    )
     end = F.col("_start") + F.col("size")
     cut = (
-        lined.filter("size > 0")
-        .select("_source", "_ordinal", "_start", end.alias("_end"))
+        each.filter("size > 0")
+        .select("_source", "_ordinal", "_start", end.alias("_end"), (F.col("_start") + F.floor(F.col("size") / 2)).alias("_middle"))
         .withColumn(
             "_block", F.explode(F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block)))
         )
     )
     first = F.greatest(F.col("_start"), F.col("_block") * block)
-    words = F.least(F.col("_end"), F.col("_block") * block + F.col("_take")) - first
+    last = F.least(F.col("_end"), F.col("_block") * block + F.col("_take"))
     pieces = (
         cut.join(_slots(targets, block), ["_source", "_block"])
-        .select("_source", "_ordinal", "slot", "_pass", (first - F.col("_start")).alias("first_word"), words.alias("words"))
+        .select(
+            "_source",
+            "_ordinal",
+            "slot",
+            "_pass",
+            (first - F.col("_start")).alias("first_word"),
+            (last - first).alias("words"),
+            ((F.col("_middle") >= first) & (F.col("_middle") < last)).alias("middle"),
+        )
         .filter("words > 0")
     )
-    return lined, pieces
+    return each.drop("_start"), pieces
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for each document."""
-    lined, pieces = schedule(docs)
+    each, pieces = schedule(docs)
     taken = pieces.groupBy("_source", "_ordinal").agg(F.sum("words").alias("taken"))
-    return lined.join(taken, ["_source", "_ordinal"], "left").select(
+    return each.join(taken, ["_source", "_ordinal"], "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as the schedule takes its first word.
+    """The documents of the mix with all their columns, each as often as the schedule takes its middle word.
 
-    Rows alike in doc_id, source and word count share their copies evenly, rounded up.
+    A pass over a source's line ends within one document, which is taken or left as a whole, so the words
+    of a source are within half a document of its target.  Rows alike in source, doc_id and text share the copies of
+    their group, those with the least hash of all columns taking what can't be shared evenly.  The rows come in
+    no order; :func:`schedule` has the slots.
     """
-    lined, pieces = schedule(docs)
-    starts = pieces.filter("first_word = 0").groupBy("_source", "_ordinal").agg(F.count(F.lit(1)).alias("_n"))
-    copies = (
-        lined.join(starts, ["_source", "_ordinal"])
-        .groupBy("_source", F.col("doc_id").alias("_doc"), F.col("size").alias("_size"))
-        .agg(F.ceil(F.avg("_n")).cast("int").alias("_copies"))
+    each, pieces = schedule(docs)
+    whole = pieces.filter("middle").groupBy("_source", "_ordinal").agg(F.count(F.lit(1)).alias("_k"))
+    copies = checkpointed(
+        each.join(whole, ["_source", "_ordinal"])
+        .groupBy("_source", F.col("doc_id").alias("_doc"), "_digest", "_n")
+        .agg(F.sum("_k").alias("_k"))
+        .select("_source", "_doc", "_digest", F.floor(F.col("_k") / F.col("_n")).alias("_base"), F.pmod("_k", "_n").alias("_extra"))
     )
-    keyed = packed(docs, _id=F.col("doc_id").cast("long"), _key=_source_key(F.col("source")), _words=word_count(F.col("text")))
-    same = (
-        (F.col("_key") == F.col("_source")) & F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_words") == F.col("_size"))
+    keyed = packed(
+        docs,
+        _id=F.col("doc_id").cast("long"),
+        _key=_source_key(F.col("source")),
+        _mark=_text_key(F.col("text")),
+        _hash=row_hash(docs),
     )
-    return unpacked(
-        keyed.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs.columns
+    same = (
+        (F.col("_key") == F.col("_source")) & F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_digest"))
     )
+    even = keyed.drop("_hash").join(copies.filter("_extra = 0"), same)
+    mixed = even.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_base")))).select("_row")
+    uneven = copies.filter("_extra > 0")  # groups of several rows in which a pass ends
+    if uneven.take(1):
+        group = ["_source", "_id", "_mark"]
+        alike = checkpointed(
+            keyed.join(uneven, same)
+            .groupBy(*group, "_hash")
+            .agg(F.first("_row").alias("_row"), F.count(F.lit(1)).alias("_m"), F.first("_base").alias("_base"), F.first("_extra").alias("_extra"))
+            .withColumns({"_group": F.xxhash64(*group), "_place": uniform(F.col("_hash"))})
+        )
+        ranked = running_totals(alike, "_group", "_place", ["_hash"], {"_m": "_before"}, cell_bits(alike.count()))
+        more = F.greatest(F.lit(0), F.least(F.col("_m"), F.col("_extra") - F.col("_before")))
+        ranked = ranked.withColumn("_copies", F.col("_m") * F.col("_base") + more)
+        mixed = mixed.unionByName(_chunked(ranked, "_copies", "_hash").select("_row"))
+    return unpacked(mixed, docs.columns)
 
 
+#: Written from the contract: targets from the breakpoints of the water level, words taken as prefixes of each source's line.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS place
+         md5(coalesce(text, '')) AS digest,
+         substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', md5(coalesce(text, '')))), 1, 15) AS place
   FROM documents),
 s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2 * CAST(sum(size) AS BIGINT) AS cap,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
   FROM d GROUP BY source),
-r AS (
-  SELECT *, 2 * source_size AS cap,
-         ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE
-          - coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-         / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-  FROM s WINDOW o AS (ORDER BY 2 * source_size / weight::DOUBLE, source NULLS LAST)),
+goal AS (SELECT 1.5::DOUBLE * sum(source_size) AS words FROM s),
+breaks AS (  -- what all sources take together when the level stands at each source's breakpoint
+  SELECT k.cap / k.weight::DOUBLE AS level,
+         sum(least(j.cap::DOUBLE, k.cap::DOUBLE * j.weight / k.weight)) AS words
+  FROM s AS k, s AS j GROUP BY k.source, k.cap, k.weight),
+reached AS (SELECT coalesce(max(level), -1) AS level FROM breaks WHERE words <= (SELECT words FROM goal) * (1 + 1e-12)),
+f AS (SELECT s.*, cap / weight::DOUBLE <= (SELECT level FROM reached) AS filled FROM s),
 t AS (
   SELECT source, source_size,
-         CASE WHEN cap <= level * weight THEN cap::DOUBLE
-              ELSE (SELECT min(level) FROM r WHERE cap > level * weight) * weight END AS target
-  FROM r),
+         CASE WHEN filled THEN cap::DOUBLE
+              ELSE ((SELECT words FROM goal) - (SELECT coalesce(sum(cap), 0) FROM f WHERE filled))
+                   / (SELECT sum(weight) FROM f WHERE NOT filled) * weight END AS target
+  FROM f),
 l AS (
-  SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS goal,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size
+  SELECT d.*, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS words,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, digest
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(start + size, goal) - start)
-            + greatest(0, least(start + size, goal - source_size) - start) AS BIGINT) AS taken
+       CAST(greatest(0, least(start + size, words) - start)
+            + greatest(0, least(start + size, words - source_size) - start) AS BIGINT) AS taken
 FROM l
 """

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cloakwork.llm import mixing, sharding
 
@@ -53,6 +56,87 @@ def test_mix_report(spark):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def _sizes(kind: str) -> dict[str | None, int]:
+    rng = random.Random(kind)
+    if kind == "equal":
+        return {f"s{i}": 100 for i in range(20)}
+    if kind == "alike":
+        return {f"s{i}": 90 + rng.randrange(20) for i in range(20)}
+    if kind == "steep":
+        return {f"s{i}": 3**i % 100_003 for i in range(12)} | {None: 7}
+    if kind == "empty ones":
+        return {f"s{i}": rng.choice([0, 0, 5, 800]) for i in range(15)}
+    if kind == "one":
+        return {"s": 10}
+    return {f"{rng.choice('aZé')}{i}": int(10 ** rng.uniform(0, 5)) for i in range(rng.randint(2, 40))} | {None: rng.randint(1, 5000)}
+
+
+KINDS = ["equal", "alike", "steep", "empty ones", "one", *[f"random {i}" for i in range(6)]]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_targets_against_the_contracts_loop(spark, kind):
+    sizes = _sizes(kind)
+    key = lambda s: "" if s is None else f"+{s}"
+    table = spark.createDataFrame([(key(s), n) for s, n in sizes.items()], "_source string, source_size long").repartition(5)
+    got = {r._source: r.target for r in mixing.source_targets(table).collect()}
+    want = targets(sizes)
+    assert got == {key(s): pytest.approx(t) for s, t in want.items()}
+    assert all(0 <= got[key(s)] <= 2 * n for s, n in sizes.items())
+    assert sum(got.values()) == pytest.approx(min(1.5 * sum(sizes.values()), 2 * sum(sizes.values())))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, s, "w " * n) for i, (s, n) in enumerate(sizes.items())])
+    by_sql = dict(con.execute(f"SELECT doc_id, target FROM ({mixing.ORACLE})").fetchall())
+    assert by_sql == {i: pytest.approx(want[s]) for i, s in enumerate(sizes)}
+
+
+def _copies_of(rows) -> Counter:
+    return Counter(tuple(r) for r in rows)
+
+
+def test_mixed_documents_against_brute_force(spark):
+    """Twenty sources, one hot, with repeated rows that differ only in a column that isn't asked for, and a long text."""
+    rng = random.Random(3)
+    data = [(i, "w " * rng.randint(1, 60), None, f"s{rng.randrange(20)}", i, "", "", "") for i in range(300)]
+    data += [(None, "same words here", None, "hot", i, "", "", "") for i in range(150)]
+    data += [(None, "same words here", None, "hot", 7, "", "", "") for i in range(50)]
+    data += [(9000, "long " * 40_000, None, "long", 1, "", "", ""), (9001, None, None, "s1", 1, "", "", ""), (9002, "", None, None, 1, "", "", "")]
+    sizes: dict = defaultdict(int)
+    for _, t, _, source, *_ in data:
+        sizes[source] += len((t or "").split())
+    want = targets(sizes)
+    docs = corpus.frame(spark, data)
+    mixed = mixing.mix_documents(docs).collect()
+    words: dict = defaultdict(int)
+    for r in mixed:
+        words[r.source] += len(r.text.split())
+    biggest: dict = defaultdict(int)
+    for _, t, _, source, *_ in data:
+        biggest[source] = max(biggest[source], len((t or "").split()))
+    assert set(words) == {s for s in sizes if sizes[s]}
+    for source, n in words.items():
+        assert abs(n - want[source]) <= biggest[source] / 2 + 1
+    assert max(Counter((r.doc_id, r.n_chars) for r in mixed if r.doc_id is not None).values()) <= 2
+    hot = Counter(r.n_chars for r in mixed if r.source == "hot")
+    assert max(n for c, n in hot.items() if c != 7) - min(hot[i] for i in range(150) if i != 7) <= 1
+    again = mixing.mix_documents(docs.repartition(9)).collect()
+    assert _copies_of(mixed) == _copies_of(again)
+    report = mixing.mix_report(docs).collect()
+    taken: dict = defaultdict(int)
+    for r in report:
+        taken[r.source_size, r.target] += r.taken
+    assert len(report) == len(data)
+    for (_, target), n in taken.items():
+        assert n % int(target or 1) == 0 or n == int(target)
+
+
+def test_mix_takes_rows_with_maps(spark):
+    docs = corpus.frame(spark).withColumn("tags", F.create_map(F.lit("a"), F.col("lang")))
+    assert mixing.mix_documents(docs).columns == docs.columns
+    assert mixing.mix_documents(docs).count() > 0
+
+
 def test_pieces_read_each_slot_once_and_in_order(spark):
     lined, pieces = mixing.schedule(corpus.frame(spark), block=16)
     slots = defaultdict(int)
