@@ -66,6 +66,12 @@ def _automaton() -> ahocorasick.Automaton:
     return found
 
 
+def is_byte(digits: str) -> bool:
+    """Whether digits, of which there may be any number, are at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def passes_luhn(digits: str) -> bool:
     total = sum(map(int, digits[-1::-2])) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
     return total % 10 == 0
@@ -92,7 +98,7 @@ def find_spans(text: str | None) -> list[tuple[int, int, str]]:
                 digits_end += 1
             if start >= ip_end and (m := _IP.match(text, start)):
                 ip_end = m.end()
-                if all(int(p) <= 255 for p in m[0].split(".")):
+                if all(is_byte(p) for p in m[0].split(".")):
                     spans.append((start, ip_end, "ip"))
             if start >= card_end and (m := _CARD.match(text, start)):
                 card_end = m.end()
