@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 
@@ -13,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in a cell of running_totals(), about.
 CELL_ROWS = 512
 HASH_BITS = 60
+#: A key with more than one in so many rows is hot.
+HOT_PARTS = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let the driver drop finished steps now, so that Spark's cleaner deletes their shuffle files from the executors' disks.
+
+    Files go when the driver's garbage collector finds their steps unused, which on a driver with little to do may be hours later.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def packed(docs: DataFrame, **columns: Column) -> DataFrame:
     """The rows as one struct ``_row`` beside the given columns, so that no name of theirs can clash."""
     row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("_row")
@@ -127,3 +139,18 @@ def row_hash(df: DataFrame) -> Column:
         return F.to_json(F.struct(column.alias("c"))) if "map<" in field.dataType.simpleString() else column
 
     return F.xxhash64(*[plain(f) for f in df.schema.fields])
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, key: str, count: str, number: int) -> DataFrame:
+    """Inner join of rows with a table of one row a key, whose ``count`` says how many of the ``number`` rows have the key.
+
+    Keys with more than a part in ``HOT_PARTS`` of the rows, fewer than HOT_PARTS therefore, are joined by broadcast, so
+    that no task gets all rows of one; the others by a shuffle.
+    """
+    names = [c for c in totals.columns if c not in (key, count)]
+    limit = F.lit(number / HOT_PARTS)
+    hot = totals.filter(F.col(count) > limit).select(key, F.struct(*names).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), key, "left")
+    first = marked.filter(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col("_hot").getField(n).alias(n) for n in names])
+    rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns)
+    return first.unionByName(rest.join(totals.filter(F.col(count) <= limit).select(key, *names), key).select(*rows.columns, *names))

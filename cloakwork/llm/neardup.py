@@ -17,8 +17,9 @@ are the most frequent, is compared with the others, after which lists with the
 same centre are one and linked members are one component.  Pairs that pass the
 union-sketch estimate are verified on the full sets.  Where the members of a
 centre are then in several components, those outside the largest are dealt into
-blocks and compared on their full sets with blocks of all members; a pair of
-blocks returns only as many links as join its components.
+blocks and the sketches of each block are compared with those of blocks of all members.
+Full sets go only to the pairs of blocks, and there only of the members, whose estimate
+asks for it; a pair of blocks returns only as many links as join its components.
 
 Cases: a text without words (or null) is linked with nothing; a text with fewer
 words than a shingle has its whole sequence as one; rows that share a doc_id are
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, packed, unpacked
+from .common import checkpointed, join_totals, packed, released, unpacked
 from .graph import components
 
 SKETCH = 48
@@ -235,14 +236,67 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return shared
 
 
+def _sides(key: tuple[pa.Scalar, ...], members: pa.Table, column: str) -> tuple[list[pa.Table], list[list[np.ndarray]]]:
+    """The members on both sides of a pair of blocks and their arrays; both sides are the same where a block meets itself."""
+    sides = [members.filter(pc.equal(members.column("side"), side)) for side in (0, 1)]
+    if key[1] == key[2]:
+        sides[1] = sides[0]
+    return sides, [[x.values.to_numpy() for x in side.column(column)] for side in sides]
+
+
+def _likely(a: np.ndarray, b: np.ndarray, k: int, floor: int, percent: int) -> bool:
+    """The union-sketch estimate: whether two sketches have as many values of their union's sketch in common as a link would."""
+    union = np.union1d(a, b)
+    whole = len(a) < k and len(b) < k
+    both = np.intersect1d(a, b, assume_unique=True)
+    if whole:
+        return 100 * len(both) >= percent * len(union)
+    union = union[:k]
+    return int((both <= union[-1]).sum()) >= min(floor, len(union))
+
+
+def _block_candidates(k: int, floor: int, percent: int):
+    """(hub, i, j, side, node, root): members that by the estimate may be linked with one of another component in the other block."""
+
+    def run(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
+        sides, sketches = _sides(key, members, "sketch")
+        wanted: list[set[int]] = [set(), set()]
+        if sides[0].num_rows and sides[1].num_rows:
+            shared = _shared(*sketches)
+            lengths = [np.array([len(x) for x in side]) for side in sketches]
+            names = [side.column("root").to_pylist() for side in sides]
+            ids = {r: n for n, r in enumerate(dict.fromkeys(names[0] + names[1]))}
+            roots = [np.array([ids[r] for r in side]) for side in names]
+            # Shared values are at least those shared within the union's sketch.
+            small = np.minimum(lengths[0][:, None], lengths[1][None, :])
+            least = np.where(small < k, np.minimum(floor, np.ceil(small * percent / 100)), floor)
+            for i, j in zip(*np.nonzero((shared >= least) & (roots[0][:, None] != roots[1][None, :])), strict=True):
+                if (i not in wanted[0] or j not in wanted[1]) and _likely(sketches[0][i], sketches[1][j], k, floor, percent):
+                    wanted[0].add(i)
+                    wanted[1].add(j)
+        parts = [side.take(pa.array(sorted(want), pa.int64())) for side, want in zip(sides, wanted, strict=True)]
+        sizes = [p.num_rows for p in parts]
+        both = pa.concat_tables([p.select(["node", "root"]) for p in parts])
+        n = both.num_rows
+        return pa.table(
+            {
+                "hub": pa.array([key[0].as_py()] * n, pa.binary()),
+                "i": pa.array([key[1].as_py()] * n, pa.int32()),
+                "j": pa.array([key[2].as_py()] * n, pa.int32()),
+                "side": pa.array([0] * sizes[0] + [1] * sizes[1], pa.int32()),
+                "node": both.column("node"),
+                "root": both.column("root"),
+            }
+        )
+
+    return run
+
+
 def _block_links(percent: int):
     def run(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
-        sides = [members.filter(pc.equal(members.column("side"), side)) for side in (0, 1)]
-        if key[1] == key[2]:
-            sides[1] = sides[0]
+        sides, sets = _sides((key[0], pa.scalar(0), pa.scalar(1)), members, "shingles")
         pairs: list[tuple[bytes, bytes]] = []
         if sides[0].num_rows and sides[1].num_rows:
-            sets = [[x.values.to_numpy() for x in side.column("shingles")] for side in sides]
             n_a, n_b = (np.array([len(x) for x in side], dtype=np.float64) for side in sets)
             shared = _shared(*sets)
             linked = 100 * shared >= percent * (n_a[:, None] + n_b[None, :] - shared)
@@ -264,8 +318,8 @@ def _block_links(percent: int):
     return run
 
 
-def _dealt(stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members of centres with several components, dealt to pairs of blocks (hub, i, j).
+def _dealt(stars: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The sketches of members of centres with several components, dealt to pairs of blocks (hub, i, j).
 
     Members of the largest component meet the blocks of the others only.
     """
@@ -282,7 +336,7 @@ def _dealt(stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
             F.ceil((F.col("all") - F.col("giant.size")) / BLOCK).cast("int").alias("blocks"),
         )
     )
-    split = rooted.join(_anew(giants, "hub"), "hub").join(sets, "node")
+    split = rooted.join(_anew(giants, "hub"), "hub").join(sketches, "node")
     inside = F.col("root") == F.col("giant")
     block = F.pmod(F.xxhash64("node", F.lit("block")), F.when(inside, F.col("giant_blocks")).otherwise(F.col("blocks"))).cast("int")
     pair = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
@@ -296,7 +350,7 @@ def _dealt(stars: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     )
     split = split.withColumn("block", block)
     places = F.when(inside, for_giant).otherwise(F.concat(with_giant, with_small))
-    return split.select("hub", "node", "root", "shingles", F.inline(places))
+    return split.select("hub", "node", "root", "sketch", F.inline(places))
 
 
 def link_classes(docs: DataFrame, width: int, percent: int, k: int = SKETCH) -> tuple[DataFrame, DataFrame]:
@@ -325,14 +379,16 @@ def link_classes(docs: DataFrame, width: int, percent: int, k: int = SKETCH) ->
             .join(chosen.select("node", "rep", "digest").alias("c"), same)
             .select("node", "text")
         )
+        released(docs.sparkSession)
         sets = checkpointed(wanted.mapInArrow(_full_sets(width), "node binary, shingles array<long>").dropDuplicates(["node"]))
         roots = _components_of(lists, chosen.select("node", "sketch"), sets, k, floor, percent)
     found = classes.select("node", "rep")
     if roots is None:
         return rows, found.select("node", F.col("node").alias("root"), F.col("rep").alias("component_id"))
     grouped = checkpointed(found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    smallest = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rows, grouped.join(smallest, "root").select("node", "root", "component_id")
+    smallest = grouped.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    released(docs.sparkSession)
+    return rows, join_totals(grouped.select("node", "root"), smallest, "root", "_n", grouped.count())
 
 
 def _components_of(lists: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, floor: int, percent: int) -> DataFrame:
@@ -353,8 +409,13 @@ def _components_of(lists: DataFrame, sketches: DataFrame, sets: DataFrame, k: in
     )
     links = checkpointed(_verified(pairs, sketches, sets, k, floor, percent))
     roots = checkpointed(components(links))
-    found = _dealt(stars, roots, sets).groupBy("hub", "i", "j").applyInArrow(_block_links(percent), "a binary, b binary")
-    more = checkpointed(found)
+    released(lists.sparkSession)
+    wanted = checkpointed(
+        _dealt(stars, roots, sketches)
+        .groupBy("hub", "i", "j")
+        .applyInArrow(_block_candidates(k, floor, percent), "hub binary, i int, j int, side int, node binary, root binary")
+    )
+    more = checkpointed(wanted.join(sets, "node").groupBy("hub", "i", "j").applyInArrow(_block_links(percent), "a binary, b binary"))
     if not more.take(1):
         return roots
     return checkpointed(components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
@@ -380,10 +441,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, that with the smallest doc_id, with all its columns."""
     found = near_duplicates(docs, width, percent).filter("kept")
-    winners = found.groupBy(F.col("group"), F.col("doc_id").alias("_doc")).agg(F.min("digest").alias("_want"))
-    keyed = packed(docs, _id=F.col("doc_id").cast("long"), _mark=_digest(F.col("text")))
-    same = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_mark") == F.col("_want"))
-    return unpacked(keyed.join(winners, same).dropDuplicates(["_id", "_mark"]), docs.columns)
+    identity = lambda doc: {"_null": doc.isNull(), "_id": F.coalesce(doc, F.lit(0).cast("long"))}
+    winners = found.groupBy("group", "doc_id").agg(F.min("digest").alias("_mark")).withColumns(identity(F.col("doc_id")))
+    winners = checkpointed(winners.select("_null", "_id", "_mark").distinct())
+    released(docs.sparkSession)
+    keyed = packed(docs, **identity(F.col("doc_id").cast("long")), _mark=_digest(F.col("text")))
+    # Repeated rows meet within each task first; the join needs no further shuffle of the rows.
+    once = keyed.dropDuplicates(["_null", "_id", "_mark"])
+    return unpacked(once.join(winners, ["_null", "_id", "_mark"], "left_semi"), docs.columns)
 
 
 def near_report(docs: DataFrame) -> DataFrame:
