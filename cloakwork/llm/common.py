@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in a cell of running_totals(), about.
 CELL_ROWS = 512
 HASH_BITS = 60
+#: Rows that one row of an expanding step makes.
+CHUNK = 4096
 #: A key with more than one in so many rows is hot.
 HOT_PARTS = 1000
 
@@ -110,6 +112,16 @@ def running_totals(
     return rows.select(*kept, *[(F.col(f"_b_{m}") + F.col(f"_r_{m}")).alias(name) for m, name in measures.items()])
 
 
+def repeated(rows: DataFrame, count: str, *keys: str) -> DataFrame:
+    """A row for each number from 0 below ``count``, as ``_i``; long counts are dealt out in chunks."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(CHUNK).cast("long")))
+    many = F.col(count) > CHUNK
+    parts = rows.filter(many).withColumn("_first", first).repartition(*keys, "_first")
+    parts = parts.unionByName(rows.filter(~many & (F.col(count) > 0)).withColumn("_first", F.lit(0).cast("long")))
+    last = F.least(F.col("_first") + CHUNK, F.col(count)) - 1
+    return parts.withColumn("_i", F.explode(F.sequence(F.col("_first"), last))).drop("_first")
+
+
 def ranged(df: DataFrame, *order: Column) -> DataFrame:
     """The rows dealt to partitions by ranges of a total order, written, with the partition's number as ``_part``."""
     return checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
@@ -131,14 +143,14 @@ def ordered_totals(df: DataFrame, order: list[Column], measures: dict[str, str])
     return rows.select(*df.columns, *[(F.col(f"_b_{m}") + F.col(f"_r_{m}")).alias(name) for m, name in measures.items()])
 
 
-def row_hash(df: DataFrame) -> Column:
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
     """A hash of all columns; those that can't be hashed themselves, as maps, are hashed as JSON."""
 
     def plain(field) -> Column:
         column = F.col(f"`{field.name}`")
         return F.to_json(F.struct(column.alias("c"))) if "map<" in field.dataType.simpleString() else column
 
-    return F.xxhash64(*[plain(f) for f in df.schema.fields])
+    return F.xxhash64(F.lit(seed), *[plain(f) for f in df.schema.fields])
 
 
 def join_totals(rows: DataFrame, totals: DataFrame, key: str, count: str, number: int) -> DataFrame:

@@ -34,6 +34,7 @@ from .common import (
     ordered_totals,
     packed,
     ranged,
+    repeated,
     row_hash,
     running_totals,
     uniform,
@@ -45,8 +46,6 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 BLOCK_WORDS = 512
-#: Slots or copies that one row of an expanding step makes.
-CHUNK = 4096
 
 
 def _source_key(source: Column) -> Column:
@@ -92,16 +91,6 @@ def source_targets(
     return rows.select("_source", "source_size", target.alias("target"), *_BY_RATIO[:2], "_part")
 
 
-def _chunked(rows: DataFrame, count: str, *keys: str) -> DataFrame:
-    """A row for each number from 0 below ``count``, as ``_i``; long counts are dealt out in chunks."""
-    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(CHUNK).cast("long")))
-    many = F.col(count) > CHUNK
-    parts = rows.filter(many).withColumn("_first", first).repartition(*keys, "_first")
-    parts = parts.unionByName(rows.filter(~many & (F.col(count) > 0)).withColumn("_first", F.lit(0).cast("long")))
-    last = F.least(F.col("_first") + CHUNK, F.col(count)) - 1
-    return parts.withColumn("_i", F.explode(F.sequence(F.col("_first"), last))).drop("_first")
-
-
 def _slots(targets: DataFrame, block: int) -> DataFrame:
     """(_source, _block, _take, slot, _pass): which words of which block each slot of the schedule takes."""
     plan = (
@@ -117,7 +106,7 @@ def _slots(targets: DataFrame, block: int) -> DataFrame:
     total = plan.agg(F.sum("_slots")).first()[0] or 0
     bits = max(1, (total - 1).bit_length())
     plan = ordered_totals(plan, list(map(F.col, _BY_RATIO)), {"_slots": "_from"})
-    points = _chunked(plan, "_slots", "_source")
+    points = repeated(plan, "_slots", "_source")
     binary = F.lpad(F.bin(F.col("_i") + F.col("_from")), bits, "0")
     points = points.select(
         "_source", "source_size", "_goal", "_blocks", F.conv(F.reverse(binary), 2, 10).cast("long").alias("slot"), F.lit(1).cast("long").alias("_one")
@@ -167,7 +156,7 @@ def schedule(
     sizes = lined.groupBy("_source").agg(F.sum("_words").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
     lined = lined.join(targets.select("_source", "source_size", "target"), "_source")
-    each = _chunked(lined, "_n", "_source", "doc_id", "_digest").select(
+    each = repeated(lined, "_n", "_source", "doc_id", "_digest").select(
         "_source",
         (F.col("_ordinal") + F.col("_i")).alias("_ordinal"),
         (F.col("_start") + F.col("_i") * F.col("size")).alias("_start"),
@@ -253,7 +242,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         ranked = running_totals(alike, "_group", "_place", ["_hash"], {"_m": "_before"}, cell_bits(alike.count()))
         more = F.greatest(F.lit(0), F.least(F.col("_m"), F.col("_extra") - F.col("_before")))
         ranked = ranked.withColumn("_copies", F.col("_m") * F.col("_base") + more)
-        mixed = mixed.unionByName(_chunked(ranked, "_copies", "_hash").select("_row"))
+        mixed = mixed.unionByName(repeated(ranked, "_copies", "_hash").select("_row"))
     return unpacked(mixed, docs.columns)
 
 

@@ -205,3 +205,47 @@ def test_growing_moves_a_bounded_part(spark):
     place = lambda n: {r.doc_id: r.shard for r in sharding.shard(rows, n, slack=0.25).collect()}
     a, b = place(24), place(25)
     assert sum(a[i] != b[i] for i in a) < 0.12 * len(a)
+
+
+def brute_shards(spark, rows, shards):
+    """Rows by shard when each point's rows go clockwise, point after point and round after round, to the next shard with room."""
+    nodes = sharding.ring_nodes(spark, shards)
+    room = dict(enumerate(sharding.load_bounds(len(rows), shards)))
+    waiting = {p: n for p, n in sorted(Counter(r["_point"] for r in rows).items())}
+    counts: Counter = Counter()
+    tried: dict = defaultdict(list)
+    while any(waiting.values()):
+        for point in waiting:
+            if not waiting[point]:
+                continue
+            clockwise = [s for p, s in nodes if p >= point] + [s for p, s in nodes if p < point]
+            shard = next(s for s in clockwise if s not in tried[point])
+            tried[point].append(shard)
+            n = min(waiting[point], room[shard])
+            counts[point, shard] += n
+            room[shard] -= n
+            waiting[point] -= n
+    return {k: n for k, n in counts.items() if n}
+
+
+def test_plan_against_brute_force_with_hot_keys(spark):
+    """A key with a third of the rows, half of them alike in all columns, is spread over cells and shards."""
+    data = [(i, f"text {i}") for i in range(3000)] + [(None, f"t{i}") for i in range(1500)] + [(None, "same")] * 1500
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("tags", F.create_map(F.lit("a"), F.col("text")))
+    point = sharding._point(F.lit("key"), sharding.row_hash(docs.select("doc_id"))).alias("_point")
+    out = sharding.shard(docs, 7)
+    got = out.select("*", point).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(data)
+    assert Counter((r["_point"], r.shard) for r in got) == brute_shards(spark, docs.select(point).collect(), 7)
+    by_shard = defaultdict(list)
+    for r in got:
+        by_shard[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+    key = lambda frame: Counter((r.doc_id, r.text, r.shard, r.slot) for r in frame.collect())
+    assert key(out) == key(sharding.shard(docs.repartition(11), 7))
+
+
+def test_shards_of_a_long_text(spark):
+    docs = corpus.frame(spark, [(1, "é" * 2_000_000, *[None] * 6), (2, None, *[None] * 6)])
+    got = {r.doc_id: r for r in sharding.shard_report(docs).collect()}
+    assert got[1]["size"] == 4_000_008 and got[2]["size"] == 8 and got[2].text_crc32 == 0
