@@ -4,28 +4,42 @@ A response record holds the HTTP headers and body of a page.  For each response
 builder makes a metadata record (fields about the source) and a conversion
 record (the page's text); both refer to the response by its record id and keep
 its target address, HTTP headers and payload digest.  All record ids come from MD5 of
-what the record is about, so reruns give the same ids.  The derivation is a
-projection without a shuffle.
-
-Cases: a null page body or address is empty; repeated rows give repeated records;
-an empty table gives no records; bodies are converted whole; further columns are left out.
+what the record is about, its content included, so reruns give the same ids.  The derivation is a
+projection without a shuffle; named and numeric references are resolved in Arrow batches by the
+standard library's table.
+
+WARC files are read record by record: Spark's text reader decompresses them and cuts them at the
+line that begins a record, and pieces are put together again up to the record's Content-Length.  Header lines
+may lack the blank after the colon or be folded, and bytes that aren't UTF-8 become U+FFFD.
+
+Cases: a null page body or address is empty; repeated rows give repeated records with one id; rows that share an
+address but not a body have ids of their own;
+an empty table gives no records; bodies are converted whole, and markup that isn't closed
+runs to the end, so the time is linear in the length; further columns are left out.
 """
 
 from __future__ import annotations
 
 import gzip
-from collections.abc import Iterator
+import html as markup
+import html.entities
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DATE = "1970-01-01T00:00:00Z"
 
 # Elements that end a line of text, in the pattern's form.
-_BLOCK = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)(?:[\s/][^>]*)?>"
-_HIDDEN = (r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>", r"(?is)<style(?:\s[^>]*)?>.*?</style\s*>", r"(?s)<!--.*?-->")
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+_BLOCK = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)(?:[\s/][^>]*)?(?:>|\z)"
+_HIDDEN = (r"(?is)<script(?:\s[^>]*)?>.*?(?:</script\s*>|\z)", r"(?is)<style(?:\s[^>]*)?>.*?(?:</style\s*>|\z)", r"(?s)<!--.*?(?:-->|\z)")
+_TAG = r"</?[A-Za-z!?][^>]*(?:>|\z)"
+_TITLE = r"(?i)<title[^<>]*>([^<]*)"
+_LANG = r"(?i)<html[^<>]*\slang=[\"']?([A-Za-z-]+)"
+_LINK = r"(?i)<a\s[^<>]*href="
 
 
 def _uuid(*parts: Column) -> Column:
@@ -35,20 +49,24 @@ def _uuid(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+@F.pandas_udf(T.StringType())
+def _resolved(text: pd.Series) -> pd.Series:
+    """The text with its named and numeric references resolved, once."""
+    return text.map(lambda t: markup.unescape(t) if t and "&" in t else t)
+
+
 def _digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
 def plain_text(html: Column) -> Column:
-    """The text of a page: no scripts, styles, comments or tags, entities resolved, a line for each block."""
+    """The text of a page: no scripts, styles, comments or tags, references resolved, a line for each block."""
     text = html
     for pattern in _HIDDEN:
         text = F.regexp_replace(text, pattern, " ")
     text = F.regexp_replace(text, _BLOCK, "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    for name, value in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
+    text = _resolved(F.regexp_replace(text, _TAG, ""))
+    text = F.regexp_replace(text, "[ \t\r\f\u00a0]+", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.btrim(text, F.lit(" \n"))
 
@@ -68,7 +86,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     ).select(
         "page_id",
         F.lit("response").alias("warc_type"),
-        _uuid(F.lit("response"), F.col("_page"), F.col("target_uri")).alias("record_id"),
+        _uuid(F.lit("response"), F.col("_page"), F.col("target_uri"), F.sha2("payload", 256)).alias("record_id"),
         F.lit("").alias("refers_to"),
         "target_uri",
         F.lit(date).alias("warc_date"),
@@ -86,14 +104,15 @@ def derive(records: DataFrame) -> DataFrame:
     ``source_digest`` the payload digest of the response.
     """
     source = records.filter(F.col("warc_type") == "response")
-    title = F.btrim(F.regexp_extract(F.col("payload"), r"(?is)<title[^>]*>(.*?)</title\s*>", 1))
-    lang = F.regexp_extract(F.col("payload"), r"(?i)<html[^>]*\slang=[\"']?([A-Za-z-]+)", 1)
-    links = F.regexp_count(F.col("payload"), F.lit(r"(?i)<a\s[^>]*href="))
+    title = _resolved(F.regexp_extract(F.col("payload"), _TITLE, 1))
+    title = F.btrim(F.regexp_replace(title, r"[ \t\r\n\f\u00a0]+", " "))
+    lang = F.regexp_extract(F.col("payload"), _LANG, 1)
+    links = F.regexp_count(F.col("payload"), F.lit(_LINK))
     fields = F.concat(
         F.lit("source-record: "), F.col("record_id"),
         F.lit("\r\nsource-length: "), F.octet_length("payload").cast("string"),
         F.lit("\r\nsource-digest: "), F.col("payload_digest"),
-        F.lit("\r\ntitle: "), F.regexp_replace(title, r"\s+", " "),
+        F.lit("\r\ntitle: "), title,
         F.lit("\r\nlanguage: "), lang,
         F.lit("\r\noutlinks: "), links.cast("string"), F.lit("\r\n"),
     )
@@ -102,10 +121,11 @@ def derive(records: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("warc_type"), F.lit(content_type).alias("content_type"), block.alias("payload"))
 
     made = F.array(
-        record("metadata", "application/warc-fields", fields),
-        record("conversion", "text/plain; charset=utf-8", plain_text(F.col("payload"))),
+        record("metadata", "application/warc-fields", F.col("_fields")),
+        record("conversion", "text/plain; charset=utf-8", F.col("_text")),
     )
-    return source.withColumn("made", F.explode(made)).select(
+    blocks = source.withColumns({"_fields": fields, "_text": plain_text(F.col("payload"))})
+    return blocks.withColumn("made", F.explode(made)).select(
         "page_id",
         F.col("made.warc_type").alias("warc_type"),
         _uuid(F.col("made.warc_type"), F.col("record_id")).alias("record_id"),
@@ -161,22 +181,69 @@ def to_bytes(record: dict) -> bytes:
     return head.encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+_CUT = b"\r\n\r\nWARC/1."
+_KEYS = {name.lower(): key for name, key in _FIELDS} | {"x-source-digest": "source_digest"}
+_NAMES = [key for _, key in _FIELDS] + ["source_digest", "http_headers", "payload"]
+
+
+def _header(head: bytes) -> dict[str, str]:
+    """Fields by lower-cased name; a line that begins with white space continues the one before, the first of a name counts."""
+    found: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t"):
+            if name:
+                found[name] += f" {line.strip()}"
+            continue
+        name, colon, value = line.partition(":")
+        name = name.strip().lower() if colon and name.strip().lower() not in found else ""
+        if name:
+            found[name] = value.strip()
+    return found
+
+
+def _record(fields: dict[str, str], body: bytes, complete: bool) -> dict:
+    record = {key: fields.get(name, "") for name, key in _KEYS.items()} | {"http_headers": "", "complete": complete}
+    if record["warc_type"] == "response":
+        headers, _, body = body.partition(b"\r\n\r\n")
+        record["http_headers"] = headers.decode("utf-8", "replace") + "\r\n"
+    return record | {"payload": body.decode("utf-8", "replace")}
+
+
+def parse_pieces(pieces: Iterable[tuple[object, bytes]]) -> Iterator[dict]:
+    """The records of pieces of files, cut at _CUT, with the file each comes from.
+
+    A block may itself hold what looks like the beginning of a record, so pieces are added up to the block's length.
+    Without a length the piece is the block.
+    """
+    source, fields, parts, have, length = None, None, [], 0, 0
+    for origin, piece in pieces:
+        if fields is not None and origin == source:
+            parts += [_CUT, piece]
+            have += len(_CUT) + len(piece)
+        else:
+            if fields is not None:
+                yield _record(fields, b"".join(parts), False)
+            source = origin
+            head, _, body = piece.partition(b"\r\n\r\n")
+            fields, parts, have = _header(head), [body], len(body)
+            if not fields:
+                fields = None
+                continue
+            given = fields.get("content-length", "")
+            length = int(given) if given.isdecimal() and len(given) < 19 else len(body.removesuffix(b"\r\n\r\n"))
+        if have >= length:
+            yield _record(fields, b"".join(parts)[:length], True)
+            fields = None
+    if fields is not None:
+        yield _record(fields, b"".join(parts), False)
+
+
 def parse_bytes(data: bytes) -> Iterator[dict]:
     """The records of WARC bytes, plain or as gzip members."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        names = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
-        start = end + 4
-        body = data[start : start + int(names["Content-Length"])]
-        at = start + len(body) + 4
-        record = {key: names.get(name, "") for name, key in _FIELDS} | {"source_digest": names.get("X-Source-Digest", "")}
-        if record["warc_type"] == "response":
-            headers, _, body = body.partition(b"\r\n\r\n")
-            record["http_headers"] = headers.decode() + "\r\n"
-        yield record | {"payload": body.decode()}
+    return parse_pieces(("", piece) for piece in data.split(_CUT))
 
 
 def to_members(records: DataFrame) -> DataFrame:
@@ -197,56 +264,90 @@ def to_members(records: DataFrame) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files under a path, a file to a task."""
-    names = ["warc_type", "record_id", "warc_date", "target_uri", "refers_to", "content_type", "payload_digest", "source_digest", "http_headers", "payload"]
+    """The records of the WARC files under a path, one by one.
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                part: list[dict] = []
-                for record in parse_bytes(content.as_py()):
-                    part.append(record)
-                    if len(part) == 200:
-                        yield pa.RecordBatch.from_pydict({n: pa.array([r.get(n, "") for r in part], pa.string()) for n in names})
-                        part = []
-                if part:
-                    yield pa.RecordBatch.from_pydict({n: pa.array([r.get(n, "") for r in part], pa.string()) for n in names})
+    ``complete`` is false for a record that its file, or the part of an uncompressed file that Spark gives a task,
+    ends within; a part never ends within a record unless a block holds the beginning of a record.
+    """
+    names = [*_NAMES, "complete"]
+    types = {n: pa.string() for n in _NAMES} | {"complete": pa.bool_()}
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(unpack, ", ".join(f"{n} string" for n in names))
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pieces() -> Iterator[tuple[object, bytes]]:
+            for batch in batches:
+                for origin, start, value in zip(*batch.columns, strict=True):
+                    yield (origin.as_py(), start.as_py()), value.as_py()
+
+        part: list[dict] = []
+        size = 0
+        for record in parse_pieces(pieces()):
+            part.append(record)
+            size += len(record["payload"])
+            if len(part) == 200 or size > 1 << 24:
+                yield pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in part], t) for n, t in types.items()})
+                part, size = [], 0
+        if part:
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[n] for r in part], t) for n, t in types.items()})
+
+    pieces = spark.read.text(path, lineSep=_CUT.decode()).select(
+        "_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary").alias("value")
+    )
+    return pieces.mapInArrow(unpack, ", ".join(f"{n} {'boolean' if n == 'complete' else 'string'}" for n in names))
 
 
 def _oracle() -> str:
+    """SQL that resolves references by itself: the text is cut at each ampersand, and the longest name that begins a piece counts."""
+    quoted = lambda x: x.replace(chr(39), chr(39) * 2)
+    names = ", ".join(f"('{n}', '{quoted(v)}')" for n, v in markup.entities.html5.items())
     text = "html"
     for pattern in _HIDDEN:
         text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
     text = f"regexp_replace({text}, '{_BLOCK}', chr(10), 'g')"
-    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
-    for name, value in _ENTITIES:
-        text = f"replace({text}, '{name}', '{value.replace(chr(39), chr(39) * 2)}')"
-    text = f"regexp_replace({text}, '[ \\t\\r\\f]+', ' ', 'g')"
-    text = f"trim(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+    text = f"regexp_replace({text}, '{_TAG}', '', 'g')"
     uuid = lambda x: (
         f"'<urn:uuid:' || concat_ws('-', substr({x}, 1, 8), substr({x}, 9, 4), substr({x}, 13, 4), substr({x}, 17, 4), substr({x}, 21, 12)) || '>'"
     )
     crlf = "chr(13) || chr(10)"
     return rf"""
-WITH p AS (
-  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
-         md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '')) AS h
+WITH names(name, value) AS (VALUES {names}),
+p AS (
+  SELECT row_number() OVER () AS n, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+         md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || coalesce(url, '') || '|' || sha256(coalesce(html, ''))) AS h
   FROM pages),
+raw AS (
+  SELECT n, 'text' AS what, {text} AS t FROM p UNION ALL
+  SELECT n, 'title', regexp_extract(html, '{_TITLE}', 1) FROM p),
+cut AS (SELECT n, what, unnest(string_split(t, '&')) AS piece, unnest(range(len(string_split(t, '&')))) AS i FROM raw),
+kinds AS (SELECT DISTINCT regexp_extract(piece, '^[A-Za-z][A-Za-z0-9]*;?') AS word FROM cut WHERE i > 0),
+best AS (
+  SELECT word, arg_max(name, length(name)) AS name, arg_max(value, length(name)) AS value
+  FROM kinds JOIN names ON starts_with(word, name) GROUP BY word),
+solved AS (
+  SELECT n, what, i, CASE
+    WHEN i = 0 THEN piece
+    WHEN regexp_matches(piece, '^#[0-9]+') THEN chr(CAST(regexp_extract(piece, '^#([0-9]+)', 1) AS INTEGER)) || regexp_replace(piece, '^#[0-9]+;?', '')
+    WHEN regexp_matches(piece, '^#[xX][0-9a-fA-F]+')
+      THEN chr(CAST('0x' || regexp_extract(piece, '^#[xX]([0-9a-fA-F]+)', 1) AS INTEGER)) || regexp_replace(piece, '^#[xX][0-9a-fA-F]+;?', '')
+    WHEN name IS NOT NULL THEN value || substr(piece, length(name) + 1)
+    ELSE '&' || piece END AS piece
+  FROM cut LEFT JOIN best ON i > 0 AND regexp_extract(piece, '^[A-Za-z][A-Za-z0-9]*;?') = word),
+joined AS (
+  SELECT n, string_agg(piece, '' ORDER BY i) FILTER (what = 'text') AS body, string_agg(piece, '' ORDER BY i) FILTER (what = 'title') AS title
+  FROM solved GROUP BY n),
 r AS (
-  SELECT page_id, url, {uuid("h")} AS rid, html, 'sha256:' || sha256(html) AS digest, strlen(html) AS n,
+  SELECT page_id, url, {uuid("h")} AS rid, html, 'sha256:' || sha256(html) AS digest, strlen(html) AS size,
+         trim(regexp_replace(title, '[ \t\r\n\f\x{{00a0}}]+', ' ', 'g')) AS title,
+         trim(regexp_replace(regexp_replace(body, '[ \t\r\f\x{{00a0}}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS body,
          'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(html) || {crlf} AS headers
-  FROM p),
+  FROM p JOIN joined USING (n)),
 m AS (
   SELECT r.*, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
-         'source-record: ' || rid || {crlf} || 'source-length: ' || n || {crlf} || 'source-digest: ' || digest || {crlf}
-         || 'title: ' || regexp_replace(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1)), '\s+', ' ', 'g') || {crlf}
-         || 'language: ' || regexp_extract(html, '(?i)<html[^>]*\slang=["'']?([A-Za-z-]+)', 1) || {crlf}
-         || 'outlinks: ' || len(regexp_extract_all(html, '(?i)<a\s[^>]*href=')) || {crlf} AS block
+         'source-record: ' || rid || {crlf} || 'source-length: ' || size || {crlf} || 'source-digest: ' || digest || {crlf}
+         || 'title: ' || title || {crlf}
+         || 'language: ' || regexp_extract(html, '{quoted(_LANG)}', 1) || {crlf}
+         || 'outlinks: ' || len(regexp_extract_all(html, '{_LINK}')) || {crlf} AS block
   FROM r UNION ALL
-  SELECT r.*, 'conversion', 'text/plain; charset=utf-8', {text} FROM r),
+  SELECT r.*, 'conversion', 'text/plain; charset=utf-8', body FROM r),
 d AS (SELECT *, md5(warc_type || '|' || rid) AS k FROM m)
 SELECT page_id, warc_type, {uuid("k")} AS record_id, rid AS refers_to, url AS target_uri, content_type,
        strlen(block) AS content_length, 'sha256:' || sha256(block) AS payload_digest, digest AS source_digest,

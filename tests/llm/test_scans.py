@@ -6,7 +6,9 @@ import gzip
 import hashlib
 import random
 import re
+from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -213,7 +215,7 @@ def test_warc_round_trip(spark, tmp_path):
     members = [r.member for r in warc.to_members(every).collect()]
     (tmp_path / "x.warc.gz").write_bytes(b"".join(members))
     back = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / "x.warc.gz")).collect()}
-    assert len(back) == 6
+    assert len(back) == 6 and all(b.complete for b in back.values())
     for r in every.collect():
         b = back[r.record_id]
         assert (b.warc_type, b.refers_to, b.target_uri, b.payload, b.payload_digest) == (r.warc_type, r.refers_to, r.target_uri, r.payload, r.payload_digest)
@@ -298,3 +300,90 @@ def test_contamination_by_a_half_quoted_item(spark):
     docs = corpus.frame(spark, [(1, half, *[None] * 6), (2, "clean " * 60, *[None] * 6)])
     assert {r.doc_id for r in decontaminate.contamination_report(docs, bench).collect()} == {1}
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [2]
+
+
+class _Plain(HTMLParser):
+    """The text of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        self.out.append("\n" if re.fullmatch(warc._BLOCK.replace(r"\z", r"\Z"), f"<{tag}>") else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style")
+        self.handle_starttag("x" if tag in ("script", "style") else tag, [])
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+    def text(self, page):
+        self.feed(page)
+        self.close()
+        lines = (" ".join(x.replace("\xa0", " ").split(" ")) for x in re.sub(r"[ \t\r\f\xa0]+", " ", "".join(self.out)).split("\n"))
+        return "\n".join(x.strip(" ") for x in lines if x.strip(" "))
+
+
+PAGES = [
+    "<p>caf&eacute; &#8217;quoted&#x2019; &copy;&middot;&nbsp;2020 &mdash; R&amp;D &amp;lt; &lt;p&gt; &notit; &unknown; &amp</p>",
+    '<html lang="de"><title>A &ndash; B</title><body><div>one<br/>two</div><ul><li>x<li>y</ul><!-- <p>no</p> --><style>p{}</style>z</body>',
+    "5 < 6 and 7 > 2 <b>bold</b><script>if (a < b) { x() }</script> end",
+    "",
+]
+
+
+def test_text_of_pages_against_a_parser(spark):
+    made = warc.derive(warc.responses(spark.createDataFrame([(i, "http://a", t) for i, t in enumerate(PAGES)], "page_id long, url string, html string")))
+    got = {r.page_id: r.payload for r in made.filter("warc_type = 'conversion'").collect()}
+    assert got == {i: _Plain().text(t) for i, t in enumerate(PAGES)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, 'http://a', ?)", list(enumerate(PAGES)))
+    con.execute("INSERT INTO pages VALUES (9, NULL, NULL)")
+    frame = warc.warc_report(spark.createDataFrame([*((i, "http://a", t) for i, t in enumerate(PAGES)), (9, None, None)], "page_id long, url string, html string"))
+    assert sorted(map(tuple, frame.collect())) == sorted(con.execute(f"SELECT {', '.join(frame.columns)} FROM ({warc.ORACLE})").fetchall())
+
+
+def test_ids_of_pages_that_share_an_address(spark):
+    pages = spark.createDataFrame([(1, "http://a", "x"), (1, "http://a", "y"), (1, "http://a", "y")], "page_id long, url string, html string")
+    assert [len({r.record_id for r in f.collect()}) for f in (warc.responses(pages), warc.derive(warc.responses(pages)))] == [2, 4]
+
+
+def test_long_and_unclosed_pages(spark):
+    pieces = ["<p ", "<", "<script>", "<!-- ", "<title>", "<a ", "&", "&#", "word "]
+    pages = spark.createDataFrame([(i, "u", t * (2_000_000 // len(t))) for i, t in enumerate(pieces)], "page_id long, url string, html string")
+    got = {r.page_id: r.content_length for r in warc.warc_report(pages.repartition(9)).filter("warc_type = 'conversion'").collect()}
+    assert got[8] == 1_999_999 and got[1] == 2_000_000 and got[0] == got[2] == got[3] == 0
+
+
+def test_reading_faulty_warc_files(spark, tmp_path):
+    def record(head, body, size=None):
+        return b"WARC/1.1\r\n" + head + b"\r\nContent-Length:" + str(len(body) if size is None else size).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    inner = b"a block\r\n\r\nWARC/1.1\r\nWARC-Type: fake\r\n\r\nwith a record in it"
+    parts = [
+        record(b"WARC-Type:resource\r\nwarc-record-id:<a>", b"no blank"),
+        record(b"WARC-Type: resource\r\nWARC-Record-ID: <b>\r\nX: folded\r\n line", "caf\u00e9".encode("latin-1")),
+        record(b"WARC-Type: resource\r\nWARC-Record-ID: <c>", b""),
+        record(b"WARC-Type: resource\r\nWARC-Record-ID: <d>", inner),
+        record(b"WARC-Type: response\r\nWARC-Record-ID: <e>", b"HTTP/1.1 404 Not Found\r\nA: b\r\n\r\nbody"),
+        record(b"no colon here\r\nWARC-Record-ID: <f>", b"last"),
+    ]
+    want = {
+        "<a>": ("resource", "no blank"), "<b>": ("resource", "caf\ufffd"), "<c>": ("resource", ""), "<d>": ("resource", inner.decode()), "<e>": ("response", "body"), "<f>": ("", "last"),
+    }
+    many = [record(f"WARC-Type: resource\r\nWARC-Record-ID: <{i}>".encode(), b"0123456789" * (i % 7000)) for i in range(300)]
+    want |= {f"<{i}>": ("resource", "0123456789" * (i % 7000)) for i in range(300)}
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, many)))
+    got = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert {k: (r.warc_type, r.payload) for k, r in got.items()} == want
+    assert got["<e>"].http_headers == "HTTP/1.1 404 Not Found\r\nA: b\r\n" and all(r.complete for r in got.values())
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "cut.warc").write_bytes(parts[0] + record(b"WARC-Record-ID: <z>", b"short", 99).rstrip())
+    assert {(r.record_id, r.complete) for r in warc.read_warc(spark, str(tmp_path / "c")).collect()} == {("<a>", True), ("<z>", False)}
+    assert [r["payload"] for r in warc.parse_bytes(b"".join(parts))] == [p for _, p in list(want.values())[:6]]
