@@ -1,53 +1,51 @@
 """License scans by MinHash bands over overlapping text windows.
 
-A text is normalised to words, two-word shingles are hashed, and windows of
-four shingles overlap by one, so a run of two shingles lies inside a window.
-The templates are cut into windows at every shingle.  A band is one
-minimum of the window's hashes under an exclusive-or seed: two windows with
-Jaccard similarity J share a band with probability J, and with 20 bands a
-similarity of a half or more is missed less than once in a million; every
-place of a template has a window with a half in common, or two with two fifths.  Windows that
-share a band with a template are candidates, and exact containment of the
-template's shingles in the text around the window verifies them.
-
-The whole scan is one pass of DataFrame functions without a shuffle before the
-matches.  The table of template bands is small by the size of the template list,
-which is checked; longer lists are joined instead of being put into the plan.
+A text is normalised to words and its three-word shingles are hashed.  Windows of
+four shingles overlap by one; the templates are cut into windows at every shingle.  A band is the
+minimum of a window's shingles under one of ``BANDS`` independent hash functions, so two windows with
+Jaccard similarity J share a band with probability J, and all are missed with (1 - J) ** BANDS.  A text that contains
+``CONTAINED`` of a template has a window that shares with one of the template's windows
+
+* 1 of 4 shingles if the template has one shingle,
+* 2 of 4 if it has two, and 2 of 5, twice, if it has three,
+* 3 of 5 if it has more: fewer than one shingle in ten is missing, so some run of four is whole.
+
+With 64 bands the worst of these is missed less than once in 10 ** 7.  A template that shares a band with a window is a
+candidate for the stretch of text around it: the text is cut into stretches as long as
+the template or a window, and the template is there if the stretch and its neighbours hold enough of its shingles.
+
+The plan: one projection keeps the shingles that any template has, which most texts have none of, and the windows with such a
+shingle, as no others can share a band; these are written, taken to the bands and joined with the small table of template bands; shingles and
+candidates are then counted by text, template and stretch, where a set is no larger than its template.
+Longer lists of templates than ``MAX_SHINGLES`` take several passes.
 
 Cases: a null, empty or short text has no match; a template has three words or more;
-repeated rows get the same matches; a doc_id that several rows share gets the matches
-of all; an empty table gives an empty result; texts are scanned whole.
+repeated rows get the same matches; a doc_id that several rows share, null too, gets the matches
+of all; an empty table gives an empty result; texts are scanned whole; further columns are left out.
 """
 
 from __future__ import annotations
 
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Names of licenses and the wording that announces them.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("Proprietary", "All rights reserved"),
-]
-
-SHINGLE = 2
+from .common import checkpointed
+from .license_texts import TEMPLATES
+
+SHINGLE = 3
 WINDOW = 4
 STRIDE = 3
-BANDS = 20
+BANDS = 64
 CONTAINED = 0.9
-#: Longest list of template windows that is put into the plan.
-MAX_INLINE = 5000
+#: Shingles of templates that one pass looks for; they are part of the plan.
+MAX_SHINGLES = 50_000
+
+
+def plain_words(text: str) -> list[str]:
+    """The words of a template: letters and digits, lower-cased."""
+    return re.sub(r"[\W_]+", " ", text.lower()).split()
 
 
 def _words(text: Column) -> Column:
@@ -63,72 +61,101 @@ def _shingles(words: str) -> Column:
     return F.when(F.size(w) >= SHINGLE, full).otherwise(F.array().cast("array<long>"))
 
 
-def _seeds() -> list[int]:
-    """Numbers spread over 63 bits: multiples of the golden ratio."""
-    return [(i * 0x9E3779B97F4A7C15) % (1 << 63) for i in range(1, BANDS + 1)]
+def _window(shingles: str, at: Column) -> Column:
+    """A window as a struct of its place and its shingles, null beyond the end."""
+    return F.struct(at.alias("at"), *[F.get(F.col(shingles), at + j).alias(f"h{j}") for j in range(WINDOW)])
 
 
-def _bands(hashes: list[Column]) -> list[Column]:
-    return [F.least(*[h.bitwiseXOR(F.lit(s)) for h in hashes]) for s in _seeds()]
+def _bands() -> Column:
+    """All (band, value) of a window h0, h1, ...; no hash of a missing shingle is ever the least."""
+    hashed = lambda i: F.least(*[F.when(F.col(f"h{j}").isNotNull(), F.xxhash64(f"h{j}", F.lit(i))) for j in range(WINDOW)])
+    return F.inline(F.array(*[F.struct(F.lit(i).alias("band"), hashed(i).alias("value")) for i in range(BANDS)]))
 
 
-def _windows(shingles: str, stride: int, full: bool) -> Column:
-    """Windows as an array of structs: first shingle and the hashes, null beyond the end."""
-    s = F.col(shingles)
-    last = F.greatest(F.lit(0), F.size(s) - (WINDOW if full else 1))
-    one = lambda p: F.struct(p.alias("at"), *[F.get(s, p + j).alias(f"h{j}") for j in range(WINDOW)])
-    windows = F.transform(F.sequence(F.lit(0), last, F.lit(stride)), one)
-    return F.filter(windows, lambda x: x["h0"].isNotNull())
+def miss_chance(similarity: float, bands: int = BANDS) -> float:
+    """How likely two windows of a similarity share no band."""
+    return (1 - similarity) ** bands
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> tuple[DataFrame, list[tuple]]:
-    """(template bands as a table, the same as rows): (license, wording, n_template, template, band, value)."""
-    if any(len(text.split()) < 3 for _, text in templates):
+def template_shingles(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    """(license, wording, template): the distinct shingle hashes of each template, in order."""
+    if any(len(plain_words(text)) < SHINGLE for _, text in templates):
         raise ValueError("a template has three words or more")
     rows = [(name, i, text) for i, (name, text) in enumerate(templates)]
-    base = (
-        spark.createDataFrame(rows, "license string, wording int, text string")
-        .withColumn("w", _words(F.col("text")))
-        .withColumn("template", F.array_distinct(_shingles("w")))
-        .select("license", "wording", "template", F.inline(_windows("template", 1, True)))
+    table = spark.createDataFrame(rows, "license string, wording int, text string").withColumn("w", _words(F.col("text")))
+    return table.select("license", "wording", F.array_distinct(_shingles("w")).alias("template"))
+
+
+def _one_pass(docs: DataFrame, table: DataFrame, contained: float) -> DataFrame:
+    """Matches of a table of templates with MAX_SHINGLES shingles or little more."""
+    spark = docs.sparkSession
+    listed = table.collect()
+    if not listed:
+        return spark.createDataFrame([], "doc_id long, license string, wording int, stretch int, share double")
+    sizes = [(r.license, r.wording, len(r.template)) for r in listed]
+    sizes = spark.createDataFrame(sizes, "license string, wording int, n int")
+    wanted = ", ".join(str(h) for h in sorted({h for r in listed for h in r.template}))
+    members = spark.createDataFrame([(h, r.wording, len(r.template)) for r in listed for h in r.template], "h long, wording int, n int")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("template") - WINDOW))
+    windows = table.select("wording", F.size("template").alias("n"), F.inline(F.transform(starts, lambda p: _window("template", p))))
+    bands = windows.select("wording", "n", _bands()).distinct()
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("digest"), _words(text).alias("w")).select(
+        "doc_id", "digest", _shingles("w").alias("s")
+    )
+    hits = F.expr(f"filter(transform(s, (h, i) -> struct(i AS at, h AS h)), x -> x.h IN ({wanted}))")
+    # Through the explode of one array nothing is pushed down that would take the hits, and the words, again for each use.
+    marked = hashed.select("doc_id", "digest", "s", F.explode(F.array(hits)).alias("hits")).filter(F.size("hits") > 0)
+    # A shingle is in the window that begins at the last multiple of STRIDE, and the first of that one in the window before too.
+    place = lambda x: x["at"] - F.pmod(x["at"], F.lit(STRIDE))
+    both = F.filter("hits", lambda x: (F.pmod(x["at"], F.lit(STRIDE)) < WINDOW - STRIDE) & (x["at"] >= STRIDE))
+    places = F.array_distinct(F.concat(F.transform("hits", place), F.transform(both, lambda x: place(x) - STRIDE)))
+    marked = checkpointed(marked.select("doc_id", "digest", "hits", F.transform(places, lambda p: _window("s", p)).alias("windows")))
+    found = marked.select("doc_id", "digest", F.inline("windows"))
+    # The templates' tables have at most BANDS rows for each of MAX_SHINGLES shingles, and one.
+    found = found.select("doc_id", "digest", "at", _bands()).join(F.broadcast(bands), ["band", "value"])
+    stretch = F.floor(F.col("at") / F.greatest(F.col("n"), F.lit(WINDOW))).cast("int")
+    candidates = found.select("doc_id", "digest", "wording", stretch.alias("stretch"), F.lit(None).cast("long").alias("h"))
+    hits = marked.select("doc_id", "digest", F.inline("hits")).join(F.broadcast(members), "h")
+    near = F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")
+    counted = (
+        candidates.unionByName(hits.select("doc_id", "digest", "wording", near, "h"))
+        .groupBy("doc_id", "digest", "wording", "stretch")
+        .agg(F.size(F.collect_set("h")).alias("held"), F.max(F.col("h").isNull()).alias("found"))
+        .filter("found")
     )
-    bands = [F.struct(F.lit(i).alias("band"), b.alias("value")) for i, b in enumerate(_bands([F.col(f"h{j}") for j in range(WINDOW)]))]
-    table = base.select("license", "wording", "template", F.inline(F.array(*bands))).distinct()
-    return table, table.collect() if len(templates) <= MAX_INLINE else []
+    share = F.col("held") / F.col("n")
+    return (
+        counted.join(F.broadcast(sizes), "wording").withColumn("share", share).filter(F.col("share") >= contained)
+        .select("doc_id", "license", "wording", "stretch", "share")
+    )
 
 
 def find_licenses(
-    docs: DataFrame, templates: list[tuple[str, str]] | None = None, contained: float = CONTAINED
+    docs: DataFrame, templates: list[tuple[str, str]] | None = None, contained: float = CONTAINED, max_shingles: int = MAX_SHINGLES
 ) -> DataFrame:
-    """(doc_id, license, wording, word, share): each place where a text holds a template.
+    """(doc_id, license, wording, stretch, share): each stretch of a text that, with its neighbours, holds a template.
 
-    ``word`` is the first word of the window that found it, ``share`` the part of the template's shingles there.
+    ``stretch`` counts pieces of the template's length, ``share`` is the part of the template's shingles there.
     """
-    table, rows = template_table(docs.sparkSession, templates or TEMPLATES)
-    hashed = docs.select(F.col("doc_id").cast("long"), _words(F.col("text").cast("string")).alias("w")).select(
-        "doc_id", _shingles("w").alias("s")
-    )
-    windows = hashed.select("doc_id", "s", F.inline(_windows("s", STRIDE, False)))
-    bands = _bands([F.col(f"h{j}") for j in range(WINDOW)])
-    if rows and len(rows) <= MAX_INLINE * BANDS:
-        known = [sorted({r.value for r in rows if r.band == i}) for i in range(BANDS)]
-        any_band = bands[0].isin(known[0])
-        for band, values in zip(bands[1:], known[1:], strict=True):
-            any_band = any_band | band.isin(values)
-        windows = windows.filter(any_band)
-        table = F.broadcast(table)  # at most MAX_INLINE * BANDS rows
-    pairs = F.inline(F.array(*[F.struct(F.lit(i).alias("band"), b.alias("value")) for i, b in enumerate(bands)]))
-    candidates = windows.select("doc_id", "s", "at", pairs).join(table, ["band", "value"])
-    length = F.size("template")
-    first = F.greatest(F.lit(0), F.col("at") - length)
-    around = F.slice("s", first + 1, F.col("at") - first + WINDOW + length)
-    share = F.size(F.array_intersect("template", around)) / length
-    return (
-        candidates.withColumn("share", share)
-        .filter(F.col("share") >= contained)
-        .select("doc_id", "license", "wording", F.col("at").alias("word"), "share")
-        .distinct()
-    )
+    templates = TEMPLATES if templates is None else templates
+    table = template_shingles(docs.sparkSession, templates)
+    sizes = [max(0, len(plain_words(text)) - SHINGLE + 1) for _, text in templates]
+    found, first, held = None, 0, 0
+    for last, size in enumerate(sizes, 1):
+        held += size
+        if held >= max_shingles or last == len(sizes):
+            part = _one_pass(docs, table.filter((F.col("wording") >= first) & (F.col("wording") < last)), contained)
+            found = part if found is None else found.unionByName(part)
+            first, held = last, 0
+    return found if found is not None else _one_pass(docs, table, contained)
+
+
+def read_templates(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(file name, text) of the license texts in a folder, to be used as templates; the driver holds them."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1).alias("name"), "value")
+    return [(r["name"], r["value"]) for r in rows.collect() if len(plain_words(r["value"])) >= SHINGLE]
 
 
 def license_report(docs: DataFrame) -> DataFrame:
@@ -141,13 +168,26 @@ def license_report(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
+    """Every stretch with a template's shingle is counted, without bands."""
+    rows = ", ".join("('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
     plain = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-    rows = ", ".join(f"('{name}', {i}, '{text}')" for i, (name, text) in enumerate(TEMPLATES))
     return f"""
 WITH t(license, wording, phrase) AS (VALUES {rows}),
-n AS (SELECT doc_id, ' ' || {plain("coalesce(text, '')")} || ' ' AS words FROM documents)
-SELECT doc_id, license, count(DISTINCT wording) AS wordings, 1.0::DOUBLE AS share
-FROM n JOIN t ON contains(words, ' ' || {plain("phrase")} || ' ')
+tw AS (SELECT wording, string_split({plain("phrase")}, ' ') AS w FROM t),
+tp AS (SELECT wording, w, unnest(range(len(w) - {SHINGLE - 1})) AS pos FROM tw),
+ts AS (SELECT DISTINCT wording, w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] AS sh FROM tp),
+tn AS (SELECT wording, count(*) AS n FROM ts GROUP BY wording),
+dw AS (SELECT doc_id, row_number() OVER () AS id, string_split({plain("coalesce(text, '')")}, ' ') AS w FROM documents),
+dp AS (SELECT doc_id, id, w, unnest(range(len(w) - {SHINGLE - 1})) AS pos FROM dw WHERE len(w) >= {SHINGLE}),
+ds AS (SELECT doc_id, id, pos, w[pos + 1] || ' ' || w[pos + 2] || ' ' || w[pos + 3] AS sh FROM dp),
+hits AS (SELECT doc_id, id, wording, n, pos // greatest(n, {WINDOW}) AS stretch, sh FROM ds JOIN ts USING (sh) JOIN tn USING (wording)),
+near AS (
+  SELECT c.doc_id, c.id, c.wording, c.stretch, count(DISTINCT h.sh) / max(c.n)::DOUBLE AS share
+  FROM (SELECT DISTINCT doc_id, id, wording, n, stretch FROM hits) AS c
+  JOIN hits AS h ON h.id = c.id AND h.wording = c.wording AND h.stretch BETWEEN c.stretch - 1 AND c.stretch + 1
+  GROUP BY c.doc_id, c.id, c.wording, c.stretch)
+SELECT doc_id, license, count(DISTINCT wording) AS wordings, max(share) AS share
+FROM near JOIN (SELECT license, wording FROM t) USING (wording) WHERE share >= {CONTAINED}
 GROUP BY doc_id, license
 """
 

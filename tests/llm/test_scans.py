@@ -92,10 +92,12 @@ def test_secret_report(spark):
 
 def test_licenses(spark):
     data = [(1, "x " * 50 + "LICENSED under the Apache License,\nVersion 2.0! " + "y " * 50, *[None] * 6), (2, "all rights reserved", *[None] * 6), (3, "the mit license under released", *[None] * 6), (4, None, *[None] * 6), (5, "one", *[None] * 6),
-            (6, "a b c this work is licensed under the gnu general public license version 3 d e f", *[None] * 6)]
+            (6, "a b c this work is licensed under the gnu general public license version 3 d e f", *[None] * 6), (7, "", *[None] * 6), (8, "// SPDX-License-Identifier: GPL-2.0-or-later\n", *[None] * 6),
+            (9, "All rights reserved. " * 3, *[None] * 6), (9, "All rights reserved. " * 3, *[None] * 6), (None, "Released under the MIT license", *[None] * 6), (None, "w " * 400_000 + "licensed under CC BY 4.0", *[None] * 6)]
     got = {(r.doc_id, r.license) for r in licenses.license_report(corpus.frame(spark, data)).collect()}
-    assert got == {(1, "Apache-2.0"), (2, "Proprietary"), (6, "GPL-3.0")}
+    assert got == {(1, "Apache-2.0"), (2, "Proprietary"), (6, "GPL-3.0"), (8, "GPL-2.0-or-later"), (9, "Proprietary"), (None, "MIT"), (None, "CC-BY-4.0")}
     assert licenses.license_report(corpus.empty(spark)).count() == 0
+    assert licenses.find_licenses(corpus.frame(spark, data), []).count() == 0
     with pytest.raises(ValueError):
         licenses.find_licenses(corpus.frame(spark), [("x", "two words")])
 
@@ -104,6 +106,56 @@ def test_licenses_at_every_offset(spark):
     data = [(i, " ".join(["pad"] * i + ["released under the MIT license"] + ["end"] * (i % 7)), *[None] * 6) for i in range(60)]
     got = {r.doc_id for r in licenses.license_report(corpus.frame(spark, data)).collect()}
     assert got == set(range(60))
+    short = [(i, " ".join([f"p{k}" for k in range(i)] + ["all rights reserved"] + [f"e{k}" for k in range(i % 5)]), *[None] * 6) for i in range(60)]
+    assert {r.doc_id for r in licenses.license_report(corpus.frame(spark, short)).collect()} == set(range(60))
+
+
+def held(template, text):
+    """The share of a template's shingles in the best stretch and its neighbours, counted plainly."""
+    cut = lambda t: [tuple(w[i : i + 3]) for w in [licenses.plain_words(t)] for i in range(len(w) - 2)]
+    want, have = set(cut(template)), cut(text)
+    size = max(len(want), licenses.WINDOW)
+    return max((len(want & set(have[max(0, b - size) : b + 2 * size])) / len(want) for b in range(0, max(1, len(have)), size)), default=0)
+
+
+def test_edited_licenses_against_brute_force(spark):
+    """Copies of every template with up to so many edits: each one that still holds nine tenths is found, and no other."""
+    rng = random.Random(11)
+    texts = [(name, text) for name, text in licenses.TEMPLATES]
+    rows = []
+    for wording, (_, text) in enumerate(texts):
+        for edits in (0, 1, 2, 5):
+            words = text.split()
+            for _ in range(edits if len(words) > 15 else 0):
+                k, o = rng.randrange(len(words)), rng.random()
+                words[k : k + 1] = [[], [f"new{rng.randrange(99)}"], [words[k], "more"]][int(3 * o)]
+            pad = lambda: [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60))]
+            rows.append((len(rows), " ".join([*pad(), *words, *pad()]), *[None] * 6))
+    found: dict = {}
+    for r in licenses.find_licenses(corpus.frame(spark, rows)).collect():
+        found[r.doc_id, r.wording] = max(found.get((r.doc_id, r.wording), 0), r.share)
+    want = {(i, w): s for i, text, *_ in rows for w, (_, t) in enumerate(texts) if (s := held(t, text)) >= 0.9}
+    assert len(want) > 300 and sum(s < 1 for s in want.values()) > 30
+    assert {k: pytest.approx(s) for k, s in found.items()} == want
+    few = licenses.find_licenses(corpus.frame(spark, rows[:40]), licenses.TEMPLATES[:30], max_shingles=40)  # several passes
+    assert {(r.doc_id, r.wording) for r in few.collect()} == {k for k in want if k[0] < 40 and k[1] < 30}
+
+
+def test_bands_collide_as_often_as_stated(spark):
+    rng = random.Random(12)
+    rows = []
+    for shared, own, other in ((1, 0, 3), (2, 1, 2), (3, 1, 1)):
+        for _ in range(400):
+            h = [rng.getrandbits(63) for _ in range(shared + own + other)]
+            pair = [h[: shared + own], h[:shared] + h[shared + own :]]
+            rows += [(len(rows) // 2, shared, k, *(w + [None] * 4)[:4]) for k, w in enumerate(pair)]
+    table = spark.createDataFrame(rows, "pair int, shared int, side int, h0 long, h1 long, h2 long, h3 long")
+    bands = table.select("pair", "shared", "side", licenses._bands())
+    equal = bands.groupBy("pair", "shared", "band").agg((F.count_distinct("value") == 1).alias("same")).groupBy("pair", "shared").agg(F.sum(F.col("same").cast("int")).alias("n"))
+    got = {r.shared: (r.least, r.mean / licenses.BANDS) for r in equal.groupBy("shared").agg(F.min("n").alias("least"), F.avg("n").alias("mean")).collect()}
+    for shared, similarity in ((1, 1 / 4), (2, 2 / 5), (3, 3 / 5)):
+        assert got[shared][0] > 0 and abs(got[shared][1] - similarity) < 0.02
+    assert licenses.miss_chance(1 / 4) < 1e-7
 
 
 def sellers(p, t):
