@@ -104,20 +104,17 @@ def _one_pass(docs: DataFrame, table: DataFrame, contained: float) -> DataFrame:
     hashed = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("digest"), _words(text).alias("w")).select(
         "doc_id", "digest", _shingles("w").alias("s")
     )
-    hits = F.expr(f"filter(transform(s, (h, i) -> struct(i AS at, h AS h)), x -> x.h IN ({wanted}))")
-    # Through the explode of one array nothing is pushed down that would take the hits, and the words, again for each use.
-    marked = hashed.select("doc_id", "digest", "s", F.explode(F.array(hits)).alias("hits")).filter(F.size("hits") > 0)
-    # A shingle is in the window that begins at the last multiple of STRIDE, and the first of that one in the window before too.
-    place = lambda x: x["at"] - F.pmod(x["at"], F.lit(STRIDE))
-    both = F.filter("hits", lambda x: (F.pmod(x["at"], F.lit(STRIDE)) < WINDOW - STRIDE) & (x["at"] >= STRIDE))
-    places = F.array_distinct(F.concat(F.transform("hits", place), F.transform(both, lambda x: place(x) - STRIDE)))
-    marked = checkpointed(marked.select("doc_id", "digest", "hits", F.transform(places, lambda p: _window("s", p)).alias("windows")))
-    found = marked.select("doc_id", "digest", F.inline("windows"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("s") - 1), F.lit(STRIDE))
+    windows = hashed.select("doc_id", "digest", F.inline(F.transform(starts, lambda p: _window("s", p))))
+    # Every shingle is in a window, so windows with a template's shingle hold all of a text's hits.
+    marked = checkpointed(windows.filter(" OR ".join(f"h{j} IN ({wanted})" for j in range(WINDOW))))
+    found = marked
     # The templates' tables have at most BANDS rows for each of MAX_SHINGLES shingles, and one.
     found = found.select("doc_id", "digest", "at", _bands()).join(F.broadcast(bands), ["band", "value"])
     stretch = F.floor(F.col("at") / F.greatest(F.col("n"), F.lit(WINDOW))).cast("int")
     candidates = found.select("doc_id", "digest", "wording", stretch.alias("stretch"), F.lit(None).cast("long").alias("h"))
-    hits = marked.select("doc_id", "digest", F.inline("hits")).join(F.broadcast(members), "h")
+    each = F.inline(F.array(*[F.struct((F.col("at") + j).alias("at"), F.col(f"h{j}").alias("h")) for j in range(WINDOW)]))
+    hits = marked.select("doc_id", "digest", each).join(F.broadcast(members), "h")
     near = F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("stretch")
     counted = (
         candidates.unionByName(hits.select("doc_id", "digest", "wording", near, "h"))
