@@ -169,7 +169,7 @@ def sellers(p, t):
 
 
 def edited(rng, data, n, letters):
-    q = bytearray(data)
+    q = list(data)
     for _ in range(n):
         k, o = rng.randrange(len(q)), rng.random()
         if o < 0.33 and len(q) > 1:
@@ -178,28 +178,30 @@ def edited(rng, data, n, letters):
             q.insert(k, rng.choice(letters))
         else:
             q[k] = rng.choice(letters)
-    return bytes(q)
+    return "".join(q)
 
 
 def test_banded_alignment_against_the_full_table():
     rng = random.Random(3)
     for _ in range(600):
-        p = bytes(rng.choice(b"abcd ") for _ in range(rng.randint(8, 50)))
+        letters = rng.choice(["abcd ", "aé漢д "])
+        p = "".join(rng.choice(letters) for _ in range(rng.randint(8, 50)))
         e = rng.randint(0, 6)
-        pad = lambda: bytes(rng.choice(b"abcd ") for _ in range(rng.randint(0, e)))  # noqa: B023, E731
-        t = pad() + edited(rng, p, rng.randint(0, 7), b"abcd ") + pad()
+        pad = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(0, e)))  # noqa: B023, E731
+        t = pad() + edited(rng, p, rng.randint(0, 7), letters) + pad()
         want, got = sellers(p, t), decontaminate.align(p, t, e)
         assert (got is None) == (want > e) and (got is None or got[0] == want)
 
 
-def test_planted_items_are_found_and_clean_texts_are_not():
+@pytest.mark.parametrize("letters", ["abcdefghij", "éабвгд漢字ñz"])
+def test_planted_items_are_found_and_clean_texts_are_not(letters):
     rng = random.Random(1)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
-    text = lambda n: " ".join(word() for _ in range(n)).encode()
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
     items = [(i, text(rng.randint(12, 60))) for i in range(50)]
     index = decontaminate.Index(items)
     for name, item in items:
-        planted = text(100) + b" " + edited(rng, item, decontaminate.budget(len(item)), b"abcdefghij") + b" " + text(100)
+        planted = text(100) + " " + edited(rng, item, decontaminate.budget(len(item)), letters) + " " + text(100)
         assert name in {f[0] for f in index.find(planted)}
         assert index.find(text(300)) == []
 
@@ -331,18 +333,18 @@ def test_random_parts_of_longer_runs():
 def test_quoted_parts_of_long_items_are_found():
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
-    text = lambda n: " ".join(word() for _ in range(n)).encode()
+    text = lambda n: " ".join(word() for _ in range(n))
     items = [(i, text(n)) for i, n in enumerate([40, 60, 100, 300])]
     index = decontaminate.Index(items)
     for name, item in items:
-        words = item.split(b" ")
-        half = b" ".join(words[: len(words) // 2 + 16])
-        for part in (half, b" ".join(words[: len(words) * 9 // 10]), b" ".join(words[-36:])):
-            assert {f[0] for f in index.find(text(80) + b" " + part + b" " + text(80))} == {name}
+        words = item.split(" ")
+        half = " ".join(words[: len(words) // 2 + 16])
+        for part in (half, " ".join(words[: len(words) * 9 // 10]), " ".join(words[-36:])):
+            assert {f[0] for f in index.find(text(80) + " " + part + " " + text(80))} == {name}
         for at in range(0, len(words) - 35, 7):
-            assert {f[0] for f in index.find(text(30) + b" " + b" ".join(words[at : at + 36]) + b" " + text(30))} == {name}
-        assert [f[3] for f in index.find(text(20) + b" " + item + b" " + text(20))] == [0]
-        assert index.find(b" ".join(words[:12]) + b" " + text(60)) == []
+            assert {f[0] for f in index.find(text(30) + " " + " ".join(words[at : at + 36]) + " " + text(30))} == {name}
+        assert [f[3] for f in index.find(text(20) + " " + item + " " + text(20))] == [0]
+        assert index.find(" ".join(words[:12]) + " " + text(60)) == []
 
 
 def test_contamination_by_a_half_quoted_item(spark):
@@ -439,3 +441,30 @@ def test_reading_faulty_warc_files(spark, tmp_path):
     (tmp_path / "c" / "cut.warc").write_bytes(parts[0] + record(b"WARC-Record-ID: <z>", b"short", 99).rstrip())
     assert {(r.record_id, r.complete) for r in warc.read_warc(spark, str(tmp_path / "c")).collect()} == {("<a>", True), ("<z>", False)}
     assert [r["payload"] for r in warc.parse_bytes(b"".join(parts))] == [p for _, p in list(want.values())[:6]]
+
+
+def test_items_of_common_grams_and_long_texts():
+    """Many items share most of their grams; what is found is what plain search finds, and counting stays in parts."""
+    rng = random.Random(13)
+    phrase = "the quick brown fox jumps over the lazy dog and"
+    items = [(i, f"{phrase} {' '.join(rng.choice(['red', 'blue', 'green']) + str(rng.randrange(99)) for _ in range(8))}") for i in range(300)]
+    items += [(1000, "na " * 40 + "batman"), (1001, phrase)]
+    items = [(i, decontaminate.normalise(t)) for i, t in items]
+    index = decontaminate.Index(items)
+    text = decontaminate.normalise(f"{items[7][1]} {'filler words ' * 200} {items[250][1]} {phrase} {'na ' * 30_000} end")
+    found = {f[0] for f in index.find(text)}
+    assert {7, 250, 1001} <= found and {i for i, t in items if t in text} <= found
+    assert index.find("word " * 400_000) == []
+    whole, decontaminate.PART = decontaminate.PART, 20_000
+    try:
+        assert {f[0] for f in index.find(text)} == found
+    finally:
+        decontaminate.PART = whole
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog, twice a day!")], "item_id long, text string")
+    leak = "the quick brown fox jumps over the lazy dog twice a day"
+    docs = corpus.frame(spark, [(None, leak, *[None] * 6), (None, "clean", *[None] * 6), (None, None, *[None] * 6), (5, "clean too", *[None] * 6), (5, f"so {leak}", *[None] * 6)])
+    for size in (1 << 20, 8):
+        assert sorted(str(r.text) for r in decontaminate.drop_contaminated(docs, bench, size).collect()) == ["None", "clean", "clean too"]
