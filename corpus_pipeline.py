@@ -2,18 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor
 kept, and returns the columns of documents; the last adds the shard and slot.
-Between stages the rows are written as Parquet and read again.
+Between stages the rows are written as Parquet to the shared folder and read again; a stage's rows are
+deleted when the next one's are written, so that only those of the last remain.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cloakwork.llm import decontaminate, mixing, neardup, quality, sharding
-from cloakwork.llm.common import read_table
+from cloakwork.llm.common import read_table, released, shared_folder
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +50,21 @@ STAGES = [
 ]
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:
+            _delete(spark, f"{folder}/{n - 1}")
+        released(spark)
     return docs
 
 
