@@ -1,12 +1,18 @@
 """Event and state operators as batch windows; streaming forms of the keyed ones are in cloakwork.streaming.
 
-Every order is made total by an event id.  Folds that a window can't express run over one key's ordered array of events.
+Every order is made total by an event id.  Folds that a window can't express run over one key's ordered events.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Longest life of a lease, reasons that end one, fields that an event may carry.
 LEASE_TTL_MS = 120_000
@@ -16,26 +22,45 @@ EVENT_FIELDS = "step actionType phase status provider model latencyMs piiDetecte
 
 
 def rate_limit(events: DataFrame, key: str, time: str, order: str, limit: int = 60, window_ms: int = 60_000) -> DataFrame:
-    """Events with ``allowed`` and ``remaining``: a key's window begins at its first event and again at the first one
-    that is ``window_ms`` or more after the beginning.
+    """Events with ``allowed``, ``remaining`` and ``retry_after_ms``: a key's window begins at its first event and again at
+    the first one that is ``window_ms`` or more after the beginning.
 
-    The beginning of each window depends on the one before, so a key's times are folded in order; a window
-    function then counts within windows.  A key with very many events is bound by its own array.
+    The beginning of each window depends on the one before, so a key's events pass one by one in order.  They are
+    sorted within tasks, on disk where memory is short, and stream through in Arrow batches; a task holds a batch and the
+    state of one key, however many events the key has.  Events without a time are left out; a null key is a key.
     """
-    starts = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(time, order))).alias("_all"))
-    # One pass without growing arrays: only the beginnings are kept, and each event takes the last one at or before it.
-    begin = lambda acc, e: F.when(
-        (F.size(acc) == 0) | (e[time] - F.element_at(acc, -1) >= window_ms), F.concat(acc, F.array(e[time]))
-    ).otherwise(acc)
-    begun = starts.select(key, F.aggregate("_all", F.expr("cast(array() as array<bigint>)"), begin).alias("_s"))
-    spans = begun.select(key, F.posexplode("_s").alias("_n", "_start"))
-    ends = spans.withColumn("_end", F.lead("_start").over(Window.partitionBy(key).orderBy("_n")))
-    joined = events.join(ends, key).filter((F.col(time) >= F.col("_start")) & (F.col("_end").isNull() | (F.col(time) < F.col("_end"))))
-    count = F.row_number().over(Window.partitionBy(key, "_start").orderBy(time, order))
-    return joined.withColumn("_count", count).select(
-        *events.columns, (F.col("_count") <= limit).alias("allowed"), F.greatest(F.lit(0), F.lit(limit) - F.col("_count")).alias("remaining"),
-        F.when(F.col("_count") > 1, F.greatest(F.lit(0), F.lit(window_ms) - (F.col(time) - F.col("_start")))).alias("retry_after_ms"),
-    )
+    added = T.StructType().add("allowed", "boolean").add("remaining", "long").add("retry_after_ms", "long")
+
+    def limited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begun, seen = (), 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            times = batch.column(time).to_numpy()
+            named = batch.column(key).dictionary_encode(null_encoding="encode")
+            codes = named.indices.to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), batch.num_rows]
+            count, since = np.empty(batch.num_rows, dtype=np.int64), np.empty(batch.num_rows, dtype=np.int64)
+            for first, end in pairwise(edges):
+                name, at = (named.dictionary[int(codes[first])].as_py(),), first
+                if name != last:
+                    last, begun, seen = name, int(times[first]), 0
+                while at < end:
+                    if times[at] - begun >= window_ms:
+                        begun, seen = int(times[at]), 0
+                    until = at + int(np.searchsorted(times[at:end], begun + window_ms))
+                    count[at:until] = np.arange(seen + 1, seen + 1 + until - at)
+                    since[at:until] = times[at:until] - begun
+                    seen, at = seen + until - at, until
+            columns = [
+                pa.array(count <= limit),
+                pa.array(np.maximum(0, limit - count)),
+                pa.array(np.maximum(0, window_ms - since), mask=count == 1),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added.names])
+
+    timed = events.filter(F.col(time).isNotNull()).withColumn(time, F.col(time).cast("long"))
+    return timed.repartition(key).sortWithinPartitions(key, time, order).mapInArrow(limited, T.StructType([*timed.schema.fields, *added.fields]))
 
 
 def session_valid(now: Column, issued: Column, origin: Column, session_origin: Column, token: Column, session_token: Column) -> Column:

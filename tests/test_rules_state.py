@@ -134,3 +134,21 @@ def test_wordpiece(spark):
     row = spark.createDataFrame([(["playing", "zz!"],), (["é"],)], "w array<string>").select(h.encode_words(F.col("w"), known).alias("e")).collect()
     assert row[0].e.ids == [1, 3, 4, 0, 5, 2] and row[0].e.words == [-1, 0, 0, 1, 1, -1]
     assert row[1].e.ids is None
+
+
+def test_rate_limit_of_a_key_with_a_million_events(spark):
+    """Windows of a hot key against a plain fold, and other keys, null too, beside it."""
+    hot = spark.range(1_000_000).selectExpr("id", "'hot' AS k", "id * 7 AS t")
+    few = spark.createDataFrame([(-1, None, 5), (-2, None, 6), (-3, "a", 0), (-4, "a", None)], "id long, k string, t long")
+    rows = state.rate_limit(hot.unionByName(few), "k", "t", "id", 3, 100)
+    begun, seen, allowed, wait = 0, 0, 0, 0
+    for t in range(0, 7_000_000, 7):
+        if t - begun >= 100:
+            begun, seen = t, 0
+        seen += 1
+        allowed += seen <= 3
+        wait += 100 - (t - begun) if seen > 1 else 0
+    got = rows.filter("k = 'hot'").selectExpr("count(*)", "count_if(allowed)", "sum(retry_after_ms)").first()
+    assert tuple(got) == (1_000_000, allowed, wait)
+    others = {r.id: (r.allowed, r.remaining, r.retry_after_ms) for r in rows.filter("k IS NULL OR k = 'a'").collect()}
+    assert others == {-1: (True, 2, None), -2: (True, 1, 99), -3: (True, 2, None)}
