@@ -5,7 +5,7 @@ builder makes a metadata record (fields about the source) and a conversion
 record (the page's text); both refer to the response by its record id and keep
 its target address, HTTP headers and payload digest.  All record ids come from MD5 of
 what the record is about, its content included, so reruns give the same ids.  The derivation is a
-projection without a shuffle; named and numeric references are resolved in Arrow batches by the
+projection without a shuffle; pages become text in Arrow batches, named and numeric references by the
 standard library's table.
 
 WARC files are read record by record: Spark's text reader decompresses them and cuts them at the
@@ -23,6 +23,7 @@ from __future__ import annotations
 import gzip
 import html as markup
 import html.entities
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -33,13 +34,24 @@ from pyspark.sql import types as T
 
 DATE = "1970-01-01T00:00:00Z"
 
-# Elements that end a line of text, in the pattern's form.
-_BLOCK = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)(?:[\s/][^>]*)?(?:>|\z)"
-_HIDDEN = (r"(?is)<script(?:\s[^>]*)?>.*?(?:</script\s*>|\z)", r"(?is)<style(?:\s[^>]*)?>.*?(?:</style\s*>|\z)", r"(?s)<!--.*?(?:-->|\z)")
-_TAG = r"</?[A-Za-z!?][^>]*(?:>|\z)"
-_TITLE = r"(?i)<title[^<>]*>([^<]*)"
-_LANG = r"(?i)<html[^<>]*\slang=[\"']?([A-Za-z-]+)"
-_LINK = r"(?i)<a\s[^<>]*href="
+# Elements that end a line of text.
+_BLOCKS = "address article aside blockquote br dd div dl dt footer form h[1-6] header hr li main nav ol option p pre section table td th title tr ul"
+# Markup that isn't closed runs to the end; {end} is how a pattern names the end.
+_HIDDEN = r"<(?:script(?:\s[^>]*)?>(?s:.*?)(?:</script\s*>|{end})|style(?:\s[^>]*)?>(?s:.*?)(?:</style\s*>|{end})|!--(?s:.*?)(?:-->|{end}))"
+_BLOCK = rf"</?(?:{_BLOCKS.replace(' ', '|')})(?:[\s/][^>]*)?(?:>|{{end}})"
+_TAG = r"</?[A-Za-z!?][^>]*(?:>|{end})"
+_TITLE = r"<title[^<>]*>([^<]*)"
+_LANG = r"<html[^<>]*\slang=[\"']?([A-Za-z-]+)"
+_LINK = r"<a\s[^<>]*href="
+
+
+def _own(pattern: str) -> re.Pattern:
+    return re.compile(pattern.replace("{end}", r"\Z"), re.I | re.A)
+
+
+_MARKS = [(_own(_HIDDEN), " "), (_own(_BLOCK), "\n"), (_own(_TAG), "")]
+_SPACES = [(re.compile("[ \t\r\f\u00a0]{2,}|[\t\r\f\u00a0]"), " "), (re.compile(r" ?\n[ \n]*"), "\n")]
+_TITLES, _LANGS, _LINKS = map(_own, (_TITLE, _LANG, _LINK))
 
 
 def _uuid(*parts: Column) -> Column:
@@ -49,26 +61,32 @@ def _uuid(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-@F.pandas_udf(T.StringType())
-def _resolved(text: pd.Series) -> pd.Series:
-    """The text with its named and numeric references resolved, once."""
-    return text.map(lambda t: markup.unescape(t) if t and "&" in t else t)
+def page_text(page: str) -> str:
+    """The text of a page: no scripts, styles, comments or tags, references resolved, a line for each block."""
+    for pattern, value in _MARKS:
+        page = pattern.sub(value, page)
+    page = markup.unescape(page)
+    for pattern, value in _SPACES:
+        page = pattern.sub(value, page)
+    return page.strip(" \n")
 
 
-def _digest(text: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(text, 256))
+def page_title(page: str) -> str:
+    found = _TITLES.search(page)
+    return re.sub("[ \t\r\n\f\u00a0]+", " ", markup.unescape(found[1])).strip(" ") if found else ""
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: no scripts, styles, comments or tags, references resolved, a line for each block."""
-    text = html
-    for pattern in _HIDDEN:
-        text = F.regexp_replace(text, pattern, " ")
-    text = F.regexp_replace(text, _BLOCK, "\n")
-    text = _resolved(F.regexp_replace(text, _TAG, ""))
-    text = F.regexp_replace(text, "[ \t\r\f\u00a0]+", " ")
-    text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
-    return F.btrim(text, F.lit(" \n"))
+@F.pandas_udf(T.StructType().add("text", "string").add("title", "string").add("lang", "string").add("links", "long"))
+def _converted(pages: pd.Series) -> pd.DataFrame:
+    rows = []
+    for page in pages:
+        lang = _LANGS.search(page)
+        rows.append((page_text(page), page_title(page), lang[1] if lang else "", sum(1 for _ in _LINKS.finditer(page))))
+    return pd.DataFrame(rows, columns=["text", "title", "lang", "links"])
+
+
+def _digest(text: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -104,17 +122,13 @@ def derive(records: DataFrame) -> DataFrame:
     ``source_digest`` the payload digest of the response.
     """
     source = records.filter(F.col("warc_type") == "response")
-    title = _resolved(F.regexp_extract(F.col("payload"), _TITLE, 1))
-    title = F.btrim(F.regexp_replace(title, r"[ \t\r\n\f\u00a0]+", " "))
-    lang = F.regexp_extract(F.col("payload"), _LANG, 1)
-    links = F.regexp_count(F.col("payload"), F.lit(_LINK))
     fields = F.concat(
         F.lit("source-record: "), F.col("record_id"),
         F.lit("\r\nsource-length: "), F.octet_length("payload").cast("string"),
         F.lit("\r\nsource-digest: "), F.col("payload_digest"),
-        F.lit("\r\ntitle: "), title,
-        F.lit("\r\nlanguage: "), lang,
-        F.lit("\r\noutlinks: "), links.cast("string"), F.lit("\r\n"),
+        F.lit("\r\ntitle: "), F.col("_page.title"),
+        F.lit("\r\nlanguage: "), F.col("_page.lang"),
+        F.lit("\r\noutlinks: "), F.col("_page.links").cast("string"), F.lit("\r\n"),
     )
 
     def record(kind: str, content_type: str, block: Column) -> Column:
@@ -122,9 +136,9 @@ def derive(records: DataFrame) -> DataFrame:
 
     made = F.array(
         record("metadata", "application/warc-fields", F.col("_fields")),
-        record("conversion", "text/plain; charset=utf-8", F.col("_text")),
+        record("conversion", "text/plain; charset=utf-8", F.col("_page.text")),
     )
-    blocks = source.withColumns({"_fields": fields, "_text": plain_text(F.col("payload"))})
+    blocks = source.withColumn("_page", _converted(F.coalesce("payload", F.lit("")))).withColumn("_fields", fields)
     return blocks.withColumn("made", F.explode(made)).select(
         "page_id",
         F.col("made.warc_type").alias("warc_type"),
@@ -299,11 +313,10 @@ def _oracle() -> str:
     """SQL that resolves references by itself: the text is cut at each ampersand, and the longest name that begins a piece counts."""
     quoted = lambda x: x.replace(chr(39), chr(39) * 2)
     names = ", ".join(f"('{n}', '{quoted(v)}')" for n, v in markup.entities.html5.items())
+    form = lambda p: quoted("(?i)" + p.replace("{end}", r"\z"))
     text = "html"
-    for pattern in _HIDDEN:
-        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
-    text = f"regexp_replace({text}, '{_BLOCK}', chr(10), 'g')"
-    text = f"regexp_replace({text}, '{_TAG}', '', 'g')"
+    for pattern, value in ((_HIDDEN, "' '"), (_BLOCK, "chr(10)"), (_TAG, "''")):
+        text = f"regexp_replace({text}, '{form(pattern)}', {value}, 'g')"
     uuid = lambda x: (
         f"'<urn:uuid:' || concat_ws('-', substr({x}, 1, 8), substr({x}, 9, 4), substr({x}, 13, 4), substr({x}, 17, 4), substr({x}, 21, 12)) || '>'"
     )
@@ -316,7 +329,7 @@ p AS (
   FROM pages),
 raw AS (
   SELECT n, 'text' AS what, {text} AS t FROM p UNION ALL
-  SELECT n, 'title', regexp_extract(html, '{_TITLE}', 1) FROM p),
+  SELECT n, 'title', regexp_extract(html, '{form(_TITLE)}', 1) FROM p),
 cut AS (SELECT n, what, unnest(string_split(t, '&')) AS piece, unnest(range(len(string_split(t, '&')))) AS i FROM raw),
 kinds AS (SELECT DISTINCT regexp_extract(piece, '^[A-Za-z][A-Za-z0-9]*;?') AS word FROM cut WHERE i > 0),
 best AS (
@@ -344,8 +357,8 @@ m AS (
   SELECT r.*, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
          'source-record: ' || rid || {crlf} || 'source-length: ' || size || {crlf} || 'source-digest: ' || digest || {crlf}
          || 'title: ' || title || {crlf}
-         || 'language: ' || regexp_extract(html, '{quoted(_LANG)}', 1) || {crlf}
-         || 'outlinks: ' || len(regexp_extract_all(html, '{_LINK}')) || {crlf} AS block
+         || 'language: ' || regexp_extract(html, '{form(_LANG)}', 1) || {crlf}
+         || 'outlinks: ' || len(regexp_extract_all(html, '{form(_LINK)}')) || {crlf} AS block
   FROM r UNION ALL
   SELECT r.*, 'conversion', 'text/plain; charset=utf-8', body FROM r),
 d AS (SELECT *, md5(warc_type || '|' || rid) AS k FROM m)

@@ -365,7 +365,7 @@ class _Plain(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.hidden += tag in ("script", "style")
-        self.out.append("\n" if re.fullmatch(warc._BLOCK.replace(r"\z", r"\Z"), f"<{tag}>") else "")
+        self.out.append("\n" if re.fullmatch(warc._BLOCKS.replace(" ", "|"), tag) else "")
 
     def handle_endtag(self, tag):
         self.hidden -= tag in ("script", "style")
