@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import random
 import re
 from html.parser import HTMLParser
@@ -468,3 +469,85 @@ def test_rows_are_judged_by_their_own_text(spark):
     docs = corpus.frame(spark, [(None, leak, *[None] * 6), (None, "clean", *[None] * 6), (None, None, *[None] * 6), (5, "clean too", *[None] * 6), (5, f"so {leak}", *[None] * 6)])
     for size in (1 << 20, 8):
         assert sorted(str(r.text) for r in decontaminate.drop_contaminated(docs, bench, size).collect()) == ["None", "clean", "clean too"]
+
+
+def test_personal_data_in_long_texts():
+    assert personal.find_spans("1" * 5000 + ".1.1.1") == []
+    assert personal.find_spans("0" * 5000 + "255.1.1.1") == [(0, 5009, "ip")]
+    assert personal.find_spans("1.1.1." + "2" * 5000) == []
+    long = "word " * 200_000 + "a@b.co"
+    assert personal.find_spans(long) == [(1_000_000, 1_000_006, "email")]
+
+
+def test_ibans_and_accounts_against_plain_search():
+    """Every place and length is tried: the longest IBAN there with the right remainder, and the identifier after each cue."""
+    rng = random.Random(14)
+    form = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
+
+    def ibans(t):
+        out, end = [], 0
+        for i in range(len(t)):
+            if t[max(0, i - 1) : i].isalnum():
+                continue
+            ends = [j for j in range(i + 12, min(len(t), i + 50) + 1) if form.fullmatch(t, i, j) and not t[j : j + 1].isalnum()]
+            value = t[i : max(ends)].replace(" ", "") if ends else ""
+            rest = 0
+            for c in value[4:] + value[:4]:
+                rest = (rest * (10 if c.isdigit() else 100) + int(c, 36)) % 97
+            if 15 <= len(value) <= 34 and rest == 1:
+                out.append((i, max(ends)))
+        return out
+
+    def made():
+        body = "".join(rng.choice("ABCD0123456789") for _ in range(rng.choice([11, 12, 14, 18])))
+        rest = int("".join(str(int(c, 36)) for c in body + "GB00")) % 97
+        value = f"GB{98 - rest:02d}{body}"
+        return " ".join(value[k : k + 4] for k in range(0, len(value), 4)) if rng.random() < 0.5 else value
+
+    found = 0
+    for _ in range(1500):
+        t = " ".join(rng.choice([made(), made()[:-1], "text", "GB12", "x" + made(), "99"]) for _ in range(rng.randint(1, 4)))
+        got = [(a, b) for a, b, k in personal.find_spans(t) if k == "iban"]
+        assert got == ibans(t), t
+        found += len(got)
+    assert found > 500
+    for cue in personal.CUES:
+        for value in ("12345", "AB-123456", "1234 5678 9012"):
+            t = f"so {cue.title()} number: {value} end"
+            assert (t.index(value), t.index(value) + len(value), "account") in personal.find_spans(t), t
+
+
+def test_random_spans_against_the_ratio():
+    """Each added span is over the length and under the ratio by itself, and no whole run that is so goes unseen."""
+    rng = random.Random(15)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words = ["configuration", "production", "example", "token", "service", "2024", "us-east"]
+    seen = 0
+    for _ in range(1500):
+        key = "".join(rng.choice(letters) for _ in range(rng.randint(10, 40)))
+        run = rng.choice(["/", "-", "_", "."]).join(rng.sample([key, *rng.sample(words, 2)], 3)) if rng.random() < 0.5 else key
+        t = f"see {run} end"
+        got = [(a, b) for a, b, k in secrets.find_spans(t, TOKENS) if k == "random"]
+        for a, b in got:
+            assert b - a >= secrets.MIN_RUN and b - a < secrets.MAX_CHARS_PER_TOKEN * TOKENS(t[a:b])
+        if run == key and len(key) >= secrets.MIN_RUN and len(key) < secrets.MAX_CHARS_PER_TOKEN * TOKENS(key) and not re.fullmatch("[0-9a-f]+", key):
+            assert got == [(4, 4 + len(key))]
+            seen += 1
+    assert seen > 300
+    assert secrets.find_spans("word " * 200_000, TOKENS) == []
+
+
+def test_distance_against_the_definition():
+    """Jensen-Shannon distance of rows of counts, term by term."""
+    rng = random.Random(16)
+    for _ in range(300):
+        p, q = ([rng.choice([0, 0, rng.randint(1, 99)]) for _ in range(7)] for _ in range(2))
+        p[0] += 1
+        q[1] += 1
+        a, b = ([x / sum(c) for x in c] for c in (p, q))
+        total = 0.0
+        for x, y in zip(a, b, strict=True):
+            m = (x + y) / 2
+            total += (x * math.log2(x / m) if x else 0) / 2 + (y * math.log2(y / m) if y else 0) / 2
+        got = quality._divergence(np.array([p], dtype=float), np.array([q], dtype=float))[0]
+        assert got == pytest.approx(math.sqrt(max(0.0, total)))
