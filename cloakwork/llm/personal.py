@@ -45,7 +45,7 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-_IDENTIFIER = re.compile(r"(?i:(?: ?(?:no\.?|number|nr\.?|id|#))?(?: is)?) ?[:=#]? ?([A-Z]{0,4}[0-9](?:-?[A-Z0-9]| [0-9]){4,18})(?![A-Za-z0-9])", re.A)
+_IDENTIFIER = re.compile(r"(?i:(?: ?(?:no\.?|number|nr\.?|id|#))?(?: is)?) ?[:=#]? ?((?:[A-Z]{1,4}[ -]?)?[0-9](?:-?[A-Z0-9]| [0-9]){4,18})(?![A-Za-z0-9])", re.A)
 _ADDRESS = re.compile(r"[^\s<>\"'`]+")
 _PERSONAL_ADDRESS = re.compile(r"[^/@\s]+@[^/\s]+|[^?#]*[?#](?:.*&)?(?:e-?mail|user|username|phone|account)=[^&#\s]+", re.I | re.A)
 
