@@ -55,6 +55,18 @@ def iou_sql(a: str, b: str) -> str:
     return f"CASE WHEN {union} > 0 THEN {inter_sql(a, b)} / {union} ELSE 0.0 END"
 
 
+def union_sql(arrays: str, name: str = "united") -> str:
+    """CTE (page, bs) of the boxes of (page, bs) after those that overlap have become one; for WITH RECURSIVE.
+
+    Every box grows to all that it touches, all at once, until nothing changes.
+    """
+    near = "list_filter(bs, lambda b: b = a OR (a.x1 < b.x2 AND a.x2 > b.x1 AND a.y1 < b.y2 AND a.y2 > b.y1))"
+    sides = ", ".join(f"'{n}': {f}(list_transform({near}, lambda b: b.{n}))" for n, f in (("x1", "list_min"), ("y1", "list_min"), ("x2", "list_max"), ("y2", "list_max")))
+    return f"""growing AS (SELECT page, 0 AS step, list_sort(list_distinct(bs)) AS bs FROM ({arrays})
+  UNION ALL SELECT page, step + 1, wider FROM (SELECT *, list_sort(list_distinct(list_transform(bs, lambda a: {{{sides}}}))) AS wider FROM growing) WHERE wider <> bs),
+{name} AS (SELECT page, arg_max(bs, step) AS bs FROM growing GROUP BY page)"""
+
+
 _PAIR_SQL = f"WITH {_BOXES} SELECT a.page, a.ref AS ra, c.ref AS rc, {{0}} AS v FROM b a JOIN b c ON a.page = c.page AND a.ref < c.ref"
 
 
@@ -163,6 +175,11 @@ def c16_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("page", F.size("u").cast("long").alias("n"), total.alias("area"))
 
 
+_LISTED = "list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2})"
+C16 = f"""WITH RECURSIVE {_BOXES}, {union_sql(f'SELECT page, {_LISTED} AS bs FROM b GROUP BY page')}
+SELECT page, len(bs) AS n, list_sum(list_transform(bs, lambda z: {area_sql('z')})) AS area FROM united"""
+
+
 def c18_bounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     around = g.bounding(F.transform("all", lambda a: a["box"]))
     return _page_arrays(spark, sf_dir).select("page", around.alias("m")).select("page", "m.*")
@@ -320,6 +337,18 @@ def f03_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("page", F.col("matched").cast("long").alias("matched"), p.alias("precision"), r.alias("recall")).withColumn("f1", m.f1_percent(F.col("precision"), F.col("recall")))
 
 
+_HALF_UP = "floor(({}) * 100 + 0.5) / 100"
+_SMALLER = f"{inter_sql('t', 'o')} / greatest(1.0, least({area_sql('t')}, {area_sql('o')}))"
+F03 = f"""WITH {_BOXES}, o AS (SELECT page, ref, tag, x1 + part % 3 AS x1, y1, x2 + part % 3 AS x2, y2 FROM b WHERE part % 4 <> 0),
+c AS (SELECT t.page, t.ref AS ti, o.ref AS oi, {_SMALLER} AS v FROM b t JOIN o ON o.page = t.page AND o.tag = t.tag AND {_SMALLER} >= 0.5),
+l AS (SELECT page, list([{{'ti': ti, 'oi': oi}}] ORDER BY ti, v DESC, oi) AS xs FROM c GROUP BY page),
+k AS (SELECT page, len(list_reduce(xs, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.ti = x[1].ti OR k.oi = x[1].oi)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS kept FROM l),
+n AS (SELECT page, count(*) AS nt FROM b GROUP BY page), q AS (SELECT page, count(*) AS no FROM o GROUP BY page),
+a AS (SELECT n.page, coalesce(kept, 0) AS matched, nt, coalesce(no, 0) AS no FROM n LEFT JOIN q ON q.page = n.page LEFT JOIN k ON k.page = n.page),
+r AS (SELECT page, matched, CASE WHEN no > 0 THEN {_HALF_UP.format('matched * 100 / no')} ELSE 0.0 END AS precision, {_HALF_UP.format('matched * 100 / nt')} AS recall FROM a)
+SELECT *, CASE WHEN precision + recall > 0 THEN {_HALF_UP.format('2 * precision * recall / (precision + recall)')} ELSE 0.0 END AS f1 FROM r"""
+
+
 def f09_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of two sides' boxes for each line number, on a grid of 100 by 70."""
     b = boxes(spark, sf_dir).withColumn("box", _xywh()).groupBy(F.col("part").alias("page")).agg(F.min(F.struct("box.x", "box.y", "box.width", "box.height")).alias("box"), F.max(F.struct("box.x", "box.y", "box.width", "box.height")).alias("other"))
@@ -346,6 +375,6 @@ ORACLE = {
     "c01_iou": _PAIR_SQL.format(iou_sql("a", "c")), "c02_box_iou": _C02,
     "c04_smaller": _PAIR_SQL.format(f"{inter_sql('a', 'c')} / greatest(1.0, least({area_sql('a')}, {area_sql('c')}))"),
     "c05_suppress": _suppressed_sql(0.3, 4), "c06_detector_suppress": _suppressed_sql(0.45, 64), "c09_scale": C09, "c10_map_box": C10, "c11_surface": _surface_sql(),
-    "c13_runs": C13, "c18_bounding": C18, "c19_outside": C19, "c20_scope": C20, "c21_covered": C21, "c22_fuse": C22, "c23_sources": C23, "c24_mask": C24,
-    "c27_frames": C27, "c29_preview": C29, "f01_match": _matched_sql(True), "f02_match_untagged": _matched_sql(False), "f09_pixels": _f09_sql(),
+    "c13_runs": C13, "c16_union": C16, "c18_bounding": C18, "c19_outside": C19, "c20_scope": C20, "c21_covered": C21, "c22_fuse": C22, "c23_sources": C23, "c24_mask": C24,
+    "c27_frames": C27, "c29_preview": C29, "f01_match": _matched_sql(True), "f02_match_untagged": _matched_sql(False), "f03_best": F03, "f09_pixels": _f09_sql(),
 }

@@ -9,9 +9,9 @@ from ..functions.text import with_once
 from ..operators import contracts as c
 from ..operators import geometry as g
 from ..operators import model_glue as h
-
 from ..sources import html as pages
 from ..sources.tables import spread, spread_by, table
+from .boxes import area_sql, union_sql
 from .privacy import PROBE, merged_ctes
 
 _TYPES = "CASE o_orderkey % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(["click", "type", "navigate", "media", "request_local_input", "dance", "scroll", "select"])) + " END"
@@ -316,6 +316,48 @@ def c14_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _word_pages(spark, sf_dir).select("page", F.explode(g.scan_run(F.col("words"), " ")).alias("b")).select("page", "b.*")
 
 
+def _words_sql(scale: str = "1.0", where: str = "true") -> str:
+    """CTE words(page, i, text, confidence, x1, y1, x2, y2) of an order's words, with coordinates times scale."""
+    box = {"x1": "l_partkey % 50 * 3", "y1": "l_suppkey % 4 * 12", "x2": "(l_partkey % 50 * 3 + 20)", "y2": "(l_suppkey % 4 * 12 + 10)"}
+    return f"""words AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS i,
+  CASE l_partkey % 5 WHEN 0 THEN 'a' || l_partkey || '@b.example' WHEN 1 THEN 'token:' ELSE 'word' || l_linenumber END AS text, 30 + l_quantity AS confidence,
+  {', '.join(f'CAST({v} * {scale} AS DOUBLE) AS {n}' for n, v in box.items())} FROM lineitem WHERE {where})"""
+
+
+# The words are of one height and their lines 12 apart, so that a row is the words of one line.
+C12 = f"""WITH {_words_sql()} SELECT page, row_number() OVER (PARTITION BY page ORDER BY y1) - 1 AS row, y1 AS top, max(y2) AS bottom, count(*) AS n FROM words GROUP BY page, y1"""
+
+_AROUND = "min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2"
+_SPANNED = "JOIN placed p ON p.src = m.src AND p.id = m.id AND m.start < p.stop AND m.stop > p.stop - length(p.text) GROUP BY m.src, m.id, m.start, m.stop"
+C14 = f"""WITH {merged_ctes(_words_sql() + """,
+placed AS (SELECT *, 'page' AS src, page AS id, sum(length(text) + 1) OVER (PARTITION BY page ORDER BY i) - 1 AS stop FROM words),
+texts AS (SELECT 'page' AS src, page AS id, string_agg(text, ' ' ORDER BY i) AS text FROM words GROUP BY page)""")}
+SELECT m.id AS page, {_AROUND} FROM merged m {_SPANNED}"""
+
+
+def _review_sql(words: str) -> str:
+    """CTEs that end in united(page, bs), the regions to mask of every page that has any; for WITH RECURSIVE."""
+    texts = f"""{words},
+gaps AS (SELECT *, max(x2) OVER (PARTITION BY page, y1 ORDER BY x1, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM words),
+run_of AS (SELECT *, sum(CASE WHEN x1 - edge > greatest(12, least(32, ceil((y2 - y1) * 0.75))) THEN 1 ELSE 0 END) OVER (PARTITION BY page, y1 ORDER BY x1, i) AS run FROM gaps),
+runs AS (SELECT *, dense_rank() OVER (ORDER BY page, y1, run) AS id, count(*) OVER g AS n, bool_or(confidence < 40) OVER g AS unsure FROM run_of WINDOW g AS (PARTITION BY page, y1, run)),
+placed AS (SELECT *, 'spaced' AS src, sum(length(text) + 1) OVER (PARTITION BY id ORDER BY x1, i) - 1 AS stop FROM runs WHERE NOT unsure
+  UNION ALL SELECT *, 'joined' AS src, sum(length(text)) OVER (PARTITION BY id ORDER BY x1, i) AS stop FROM runs WHERE NOT unsure AND n > 1),
+texts AS (SELECT src, id, CASE src WHEN 'spaced' THEN string_agg(text, ' ' ORDER BY x1, i) ELSE string_agg(text, '' ORDER BY x1, i) END AS text FROM placed GROUP BY src, id)"""
+    return f"""{merged_ctes(texts)},
+masks AS (SELECT min(p.page) AS page, {_AROUND} FROM merged m {_SPANNED}
+  UNION ALL SELECT page, {_AROUND} FROM runs WHERE unsure GROUP BY page, id),
+{union_sql("SELECT page, list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}) AS bs FROM masks GROUP BY page")}"""
+
+
+C15 = f"""WITH RECURSIVE {_review_sql(_words_sql())}
+SELECT w.page, false AS "full", coalesce(len(bs), 0) AS n, coalesce(list_sum(list_transform(bs, lambda z: {area_sql('z')})), 0) AS area
+FROM (SELECT DISTINCT page FROM words) w LEFT JOIN united u ON u.page = w.page"""
+# An image is shown at half its size; pages in an unknown space are masked in full.
+C17 = f"""WITH RECURSIVE {_review_sql(_words_sql('CASE l_orderkey % 3 WHEN 1 THEN 0.5 ELSE 1.0 END', 'l_orderkey % 3 < 2'))}
+SELECT w.page, w.page % 3 = 2 AS "full", coalesce(len(bs), 0) AS n FROM (SELECT DISTINCT l_orderkey AS page FROM lineitem) w LEFT JOIN united u ON u.page = w.page"""
+
+
 def c28_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.expr
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), e("l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)").alias("node"), e("CASE l_partkey % 4 WHEN 0 THEN 'img' WHEN 1 THEN 'canvas' ELSE 'div' END").alias("tag"), e("CASE WHEN l_partkey % 7 = 0 THEN 'url(x)' ELSE '' END").alias("background"), F.col("l_quantity").alias("width"), e("l_linenumber").alias("height"))
@@ -340,7 +382,7 @@ def c17_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kept_sql(rows: str, least: str, limit: int, threshold: float) -> str:
-    from .boxes import area_sql, iou_sql
+    from .boxes import iou_sql
 
     return f"""WITH b AS ({rows}),
 l AS (SELECT l_orderkey, list([{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] ORDER BY score DESC, k, s, p) AS xs FROM b WHERE {least} GROUP BY l_orderkey),
@@ -395,6 +437,12 @@ def h01_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.size("e.ids").cast("long").alias("n_ids"), F.array_join("e.words", ",").alias("words"))
 
 
+# Part names are plain words; of longer pieces only a leading "part" is known.
+H01 = """WITH w AS (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: CASE WHEN starts_with(x, 'part') THEN length(x) - 3 ELSE length(x) END) AS n FROM part),
+o AS (SELECT p_partkey, list_concat(list_concat([-1], flatten(list_transform(range(len(n)), lambda i: list_transform(range(n[i + 1]), lambda j: i)))), [-1]) AS words FROM w)
+SELECT p_partkey, len(words) AS n_ids, array_to_string(words, ',') AS words FROM o"""
+
+
 def h04_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.expr
     ok = h.bridged_predictions(e("p_partkey % 2 = 0"), e("p_partkey % 3 = 0"), F.split("p_name", " "), F.split("p_type", " "))
@@ -430,5 +478,5 @@ QUERIES = {
 ORACLE = {
     "b01_projection": B01, "b02_masked": B02, "b03_safe_text": B03, "b03_safe_url": B03_URL, "b04_without_telemetry": B04, "b11_planner_context": B11, "c07_faces": C07, "c08_controls": C08, "d15_links": D15, "b05_assessment": B05, "b06_assert": B06, "b07_image": B07, "b08_migrated": B08, "b09_sample": B09,
     "b10_audit": B10, "b12_projected": B12, "b13_action": B13, "b14_privacy": B14, "b15_consequential": B15, "b16_href": B16, "b17_diagnostic": B17, "b18_origin": B18, "b19_verified": B19,
-    "a33_numbers": A33, "a34_changed": A34, "a36_page_url": A36, "d14_cards": D14, "c25_opaque": C25, "c28_unreadable": C28, "h02_labels": H02, "h03_masked": H03, "h04_bridge": H04, "h05_words": H05,
+    "a33_numbers": A33, "a34_changed": A34, "a36_page_url": A36, "d14_cards": D14, "c12_rows": C12, "c14_scanned": C14, "c15_review": C15, "c17_planned": C17, "c25_opaque": C25, "c28_unreadable": C28, "h01_pieces": H01, "h02_labels": H02, "h03_masked": H03, "h04_bridge": H04, "h05_words": H05,
 }

@@ -135,12 +135,12 @@ def _detector_oracle(name: str) -> str:
     )
 
 
-def merged_ctes() -> str:
-    """CTEs that end in merged(src, id, start, stop, kind)."""
+def merged_ctes(source: str = _TEXTS) -> str:
+    """CTEs that end in merged(src, id, start, stop, kind); ``source`` ends in texts(src, id, text)."""
     every = " UNION ALL ".join(f"SELECT *, {n} AS ord FROM ({detector_sql(d.id)})" for n, d in enumerate(DETECTORS))
     held = r"\[(?:REDACTED(?:_[A-Z_]+)?|(?:" + "|".join(PRIORITY) + r")_\d+)\]"
     rank = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in PRIORITY.items()) + " END"
-    return f"""{_TEXTS},
+    return f"""{source},
 c0 AS ({every}),
 h0 AS (SELECT src, id, regexp_extract_all(text, '{held}') AS w, string_split_regex(text, '{held}') AS g FROM texts),
 h1 AS (SELECT src, id, w, g, unnest(range(len(w))) AS i FROM h0),

@@ -114,6 +114,21 @@ def d08_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mined.select("grp", "key", "place", "title", "price", F.array_join("specs", "|").alias("specs"), F.round("score", 6).alias("score"))
 
 
+_SPECS = s.SPECS.replace("'", "''")
+D08 = f"""WITH {_RAW}, t AS (SELECT grp, place, url, title, trim(title || chr(10) || title || ' laptop INR ' || CAST(CAST(trunc(coalesce(price, 1)) AS BIGINT) AS VARCHAR) || ' ' || (1 + place % 5) || ' out of 5') AS text FROM raw),
+m AS (SELECT grp, place, upper(regexp_extract(url, '(?i)/(?:dp|gp/product)/([A-Z0-9]{{10}})\\b', 1)) AS key, title, text,
+  list_transform(regexp_extract_all(text, '(?i)(?:₹|INR\\s*)\\s*([\\d,]{{3,}})', 1), lambda p: TRY_CAST(replace(p, ',', '') AS DOUBLE)) AS prices,
+  list_transform(regexp_extract_all(text, '(?i){_SPECS}'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS found,
+  coalesce(TRY_CAST(regexp_extract(text, '(?i)([1-5](?:\\.\\d)?)\\s+out of 5', 1) AS DOUBLE), 0) * 100 + coalesce(TRY_CAST(regexp_extract(text, '(?i)(\\d{{1,2}})\\s*GB\\s*(?:RAM)?', 1) AS DOUBLE), 0) * 3
+    + coalesce(TRY_CAST(regexp_extract(text, '(?i)(\\d{{3,4}})\\s*GB\\s*SSD', 1) AS DOUBLE), 0) / 100 AS score FROM t
+  WHERE regexp_matches(text, '(?i)\\blaptops?\\b') AND NOT regexp_matches(text, '(?i)\\b(?:sponsored|accessory|bag|sleeve|stand)\\b')),
+e AS (SELECT grp, key, place, substr(trim(regexp_replace(title, '\\s+', ' ', 'g')), 1, 180) AS title, list_filter(prices, lambda p: p > 5000 AND p <= {_LIMIT})[1] AS price,
+  list_filter(found, lambda x, i: list_position(found, x) = i)[1:5] AS specs, score FROM m WHERE key <> ''),
+l AS (SELECT grp, key, list({{'place': place, 'title': title, 'price': price, 'specs': specs, 'score': score}} ORDER BY place) AS xs FROM e WHERE price IS NOT NULL GROUP BY grp, key),
+b AS (SELECT grp, key, list_reduce(xs, lambda a, x: CASE WHEN length(x.title) > length(a.title) OR len(x.specs) > len(a.specs) THEN x ELSE a END) AS b FROM l)
+SELECT grp, key, b.place AS place, b.title AS title, b.price AS price, array_to_string(b.specs, '|') AS specs, round(b.score, 6) AS score FROM b"""
+
+
 def _choice(cheapest: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         best = s.select_candidates(_norm(spark, sf_dir), F.lit(_LIMIT), ["grp"])
@@ -499,7 +514,7 @@ QUERIES = {
     "e20_query": e20_query, "e21_label": e21_label, "e22_signature": e22_signature, "e23_visible": e23_visible, "a30_field": a30_field, "a31_local_field": a31_local_field,
 }
 ORACLE = {
-    "d01_normalised": D01, "d02_selected": D02, "d03_rejected": D03, "d04_diagnostics": D04, "d05_title": D05, "d06_detail": D06, "d07_canonical": D07,
+    "d01_normalised": D01, "d02_selected": D02, "d03_rejected": D03, "d04_diagnostics": D04, "d05_title": D05, "d06_detail": D06, "d07_canonical": D07, "d08_mined": D08,
     "d09_cheapest": _choice_sql("price, confidence DESC"), "d09_strongest": _choice_sql("confidence DESC, price"), "d10_band": D10, "d11_websites": D11, "d12_results": D12, "d13_videos": D13, "d16_unique": D16,
     "d17_first": _first_sql(""), "g14_last": _first_sql("DESC"), "d18_media": D18, "d19_origin": D19, "e01_command": f"WITH {_CMD} SELECT c_custkey, command FROM cmd", "e02_terms": E02, "e03_url": E03,
     "e04_sites": E04, "e05_on_site": E05, "e06_label": E06, "e07_plan": E07, "e08_shopping": E08, "e09_failure": E09, "e10_strategies": E10, "e11_changes": E11, "e12_challenge": E12, "e13_category": E13,
