@@ -232,20 +232,22 @@ def runs_of(words: Column) -> Column:
     return F.aggregate(words, F.filter(F.array(words), lambda x: F.lit(False)), step)
 
 
-def scan_run(words: Column, separator: str) -> Column:
+def scan_run(words: Column, separator: str | Column) -> Column:
     """Boxes of the spans in the words joined by the separator: each span's box is around the words that it touches."""
+    separator = F.lit(separator) if isinstance(separator, str) else separator
 
     def place(acc: Column, w: Column) -> Column:
-        start = F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.element_at(acc, -1)["stop"] + len(separator))
+        start = F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.element_at(acc, -1)["stop"] + F.length(separator))
         one = F.struct(start.cast("int").alias("start"), (start + F.length(w["text"])).cast("int").alias("stop"), w["box"].cast(CORNERS).alias("box"))
         return F.concat(acc, F.array(one))
 
     places = F.aggregate(words, F.expr(f"cast(array() as array<struct<start:int,stop:int,box:{CORNERS}>>)"), place)
-    text = F.array_join(F.transform(words, lambda w: w["text"]), separator)
+    # array_join() takes constants only as its separator.
+    text = F.concat_ws("", F.transform(words, lambda w, i: F.concat(F.when(i > 0, separator).otherwise(""), w["text"])))
     return let(
         places,
         lambda p: F.transform(
-            find_spans(text),
+            let(text, find_spans),
             lambda s: bounding(F.transform(F.filter(p, lambda o: (s["start"] < o["stop"]) & (s["end"] > o["start"])), lambda o: o["box"])),
         ),
     )
@@ -268,8 +270,10 @@ def review_words(words: Column, width: Column, height: Column, least: float = 40
     )
     sure = lambda w: (w["confidence"] >= least) & w["text"].rlike(r"^[\x20-\x7e]+\z")
     box = lambda w: w["box"].cast(CORNERS)
+    # The detectors are written once and applied to each joined form: of a single word both forms are alike.
+    forms = lambda run: F.slice(F.array(F.lit(" "), F.lit("")), F.lit(1), F.least(F.lit(2), F.size(run)))
     masks = lambda run: F.when(F.exists(run, lambda w: ~sure(w)), F.array(bounding(F.transform(run, box)))).otherwise(
-        F.when(F.size(run) > 1, F.concat(scan_run(run, " "), scan_run(run, ""))).otherwise(scan_run(run, " "))
+        F.flatten(F.transform(forms(run), lambda s: scan_run(run, s)))
     )
     regions = union_boxes(F.flatten(F.flatten(F.transform(group_rows(words), lambda r: F.transform(runs_of(r["words"]), masks)))))
     none = F.expr(f"cast(array() as array<{CORNERS}>)")
