@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -132,3 +133,44 @@ def test_best_overlap_matching_against_a_mirror(spark):
     rows = spark.createDataFrame([(i, t, o) for i, (t, o) in enumerate(pages)], f"i int, t {kind}, o {kind}")
     got = rows.select("i", m.match_best(F.col("t"), F.col("o")).alias("n")).orderBy("i").collect()
     assert [r.n for r in got] == [mirror(t, o) for t, o in pages]
+
+
+def _rows_mirror(words):
+    """Rows of words (text, confidence, box) by the stated rule, with plain lists."""
+    rows = []
+    for n in sorted(range(len(words)), key=lambda n: (words[n][2][1] + words[n][2][3], words[n][2][0], n)):
+        x1, y1, _, y2 = words[n][2]
+        for row in rows:
+            low, high = row["top"], row["bottom"]
+            shared, near = min(y2, high) - max(y1, low), abs((y1 + y2) / 2 - (low + high) / 2)
+            if shared >= 0.45 * min(y2 - y1, high - low) and near <= 0.6 * max(y2 - y1, high - low):
+                row.update(top=min(low, y1), bottom=max(high, y2), words=[*row["words"], (x1, y1, n)])
+                break
+        else:
+            rows.append({"top": y1, "bottom": y2, "words": [(x1, y1, n)]})
+    return [(r["top"], r["bottom"], [words[n][0] for _, _, n in sorted(r["words"])]) for r in rows]
+
+
+def _runs_mirror(words):
+    runs = []
+    for w in words:
+        if runs:
+            edge = max(runs[-1], key=lambda r: r[2][2])  # the first of those that reach as far
+            tall = max(b[3] - b[1] for b in (edge[2], w[2]))
+            if w[2][0] - edge[2][2] <= max(12, min(32, math.ceil(0.75 * tall))):
+                runs[-1].append(w)
+                continue
+        runs.append([w])
+    return [[w[0] for w in run] for run in runs]
+
+
+def test_uneven_rows_and_runs_as_mirrored(spark):
+    rng = random.Random(5)
+    pages = [[]]
+    for _ in range(60):
+        boxes = [(float(rng.randrange(150)), float(rng.randrange(60)), rng.randrange(4, 50), rng.randrange(3, 40)) for _ in range(rng.randrange(1, 12))]
+        pages.append([(f"w{i}", 90.0, (x, y, x + w, y + h)) for i, (x, y, w, h) in enumerate(boxes)])
+    rows = spark.createDataFrame(list(enumerate(pages)), f"i int, w array<struct<text:string,confidence:double,box:{BOX}>>")
+    for r in rows.select("i", g.group_rows(F.col("w")).alias("rows"), g.runs_of(F.col("w")).alias("runs")).collect():
+        assert [(x.top, x.bottom, [w.text for w in x.words]) for x in r.rows] == _rows_mirror(pages[r.i])
+        assert [[w.text for w in run] for run in r.runs] == _runs_mirror(pages[r.i])
