@@ -3,13 +3,14 @@
 Every document gets the base counts and two histograms: character classes and
 the common words of its language.  A language's reference is made of all its
 distinct texts that pass the base rule: each text counts once, however often it
-is repeated, as shares that weigh its words but no more than ``MAX_WEIGHT``.  A document
-fails when the Jensen-Shannon distance to its reference is over a threshold.  Guards keep texts that are too short to judge, and languages whose
-reference has too few words.
+is repeated, as shares that weigh its words but no more than ``MAX_WEIGHT``.  To these come
+``PRIOR_WORDS`` words spread as those of all languages together are, which count in a rare language and vanish in a
+frequent one, so every language has a verdict.  A document fails when the Jensen-Shannon distance to its reference is
+over a threshold.  Guards keep texts that are too short to judge.
 
 Cases: a null text has no words and fails the base rule; an unknown
 language is a language of its own whose common-word histogram is the pooled
-list; a null language is judged by the least distance to the references of the
+list, held against its own texts only; a null language is judged by the least distance to the references of the
 languages in ``COMMON_WORDS``, and its text helps to make the reference of the one whose
 common words are a tenth of its words or more; repeated rows are judged each for itself; further columns are left out of
 the report and kept by :func:`keep_good`; an empty table gives an empty result.
@@ -42,7 +43,8 @@ CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other")
 
 MIN_WORDS_CHARS = 50
 MIN_WORDS_COMMON = 100
-MIN_REFERENCE_WORDS = 2000
+#: Words that the reference of all languages together weighs in the reference of each.
+PRIOR_WORDS = 2000
 #: Words that a text weighs in its language's reference at most.
 MAX_WEIGHT = 200
 #: Shares in references are whole parts of this, so that sums don't depend on the order.
@@ -73,6 +75,8 @@ _OUT_SQL = (
     "n_repeat_words long, chars array<long>, commons array<long>, digest long, "
     "key string, guesses array<long>"
 )
+#: The length of each histogram.
+_SIZES = {"chars": len(CLASSES), "commons": N_COMMON + 1}
 _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -222,40 +226,54 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def _references(measured: DataFrame) -> DataFrame:
-    """(_lang, _words, _chars, _commons): shares of the distinct texts that pass the base rule, summed by language."""
-    size = {"chars": len(CLASSES), "commons": N_COMMON + 1}
+    """(_lang, _chars, _commons): shares of the distinct texts that pass the base rule, summed by language."""
     weight = F.least(F.col("n_words"), F.lit(MAX_WEIGHT))
 
     def part(column: str, i: int) -> Column:
         total = F.aggregate(column, F.lit(0).cast("long"), lambda a, x: a + x)
         return F.floor(F.col(column)[i] * weight * SHARE_UNIT / total).alias(f"{column}{i}")
 
-    names = [f"{c}{i}" for c, n in size.items() for i in range(n)]
-    parts = [part(c, i) for c, n in size.items() for i in range(n)]
-    texts = measured.filter(~F.col("base_failed") & (F.col("_lang") != "")).select("_lang", "digest", weight.alias("_weight"), *parts)
-    once = texts.groupBy("_lang", "digest").agg(*[F.max(c).alias(c) for c in ("_weight", *names)])
-    sums = once.groupBy("_lang").agg(F.sum("_weight").alias("_words"), *[F.sum(c).alias(c) for c in names])
-    arrays = [F.array(*[F.col(f"{c}{i}") for i in range(n)]).alias(f"_{c}") for c, n in size.items()]
-    return sums.select("_lang", "_words", *arrays)
+    names = [f"{c}{i}" for c, n in _SIZES.items() for i in range(n)]
+    parts = [part(c, i) for c, n in _SIZES.items() for i in range(n)]
+    texts = measured.filter(~F.col("base_failed") & (F.col("_lang") != "")).select("_lang", "digest", *parts)
+    once = texts.groupBy("_lang", "digest").agg(*[F.max(c).alias(c) for c in names])
+    sums = once.groupBy("_lang").agg(*[F.sum(c).alias(c) for c in names])
+    return sums.select("_lang", *[F.array(*[F.col(f"{c}{i}") for i in range(n)]).alias(f"_{c}") for c, n in _SIZES.items()])
+
+
+def _with_prior(references: DataFrame) -> DataFrame:
+    """The references, each with the words of the prior added.
+
+    Common words are pooled by their places in the lists of ``COMMON_WORDS``; a language without a list has its own only.
+    """
+    listed = F.col("_lang").isin([f"+{k}" for k in COMMON_WORDS])
+    taken = {"chars": F.lit(True), "commons": listed}
+    exact = lambda c, i: F.when(taken[c], F.col(f"_{c}")[i]).cast("decimal(20,0)")
+    pooled = references.agg(*[F.sum(exact(c, i)).alias(f"{c}{i}") for c, n in _SIZES.items() for i in range(n)]).first()
+
+    def blended(c: str, n: int) -> Column:
+        sums = [float(pooled[f"{c}{i}"] or 0) for i in range(n)]
+        unit = PRIOR_WORDS * SHARE_UNIT / (sum(sums) or 1.0)
+        return F.array(*[F.col(f"_{c}")[i] + F.when(taken[c], F.lit(x * unit)).otherwise(0.0) for i, x in enumerate(sums)]).alias(f"_{c}")
+
+    return references.select("_lang", *[blended(c, n) for c, n in _SIZES.items()])
 
 
 def judge(measured: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """Hold measured documents against the references that they make together; ``carried`` columns stay."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = checkpointed(measured.withColumns({"_lang": F.col("key"), "base_failed": base_failed}))
-    references = checkpointed(_references(measured))
+    references = _with_prior(checkpointed(_references(measured)))
     if references.count() <= MAX_BROADCAST_LANGUAGES:
         references = F.broadcast(references)
     # At most a row for each language in COMMON_WORDS.
     known = {r._lang[1:]: r for r in references.filter(F.col("_lang").isin([f"+{k}" for k in COMMON_WORDS])).collect()}
-    known = {k: r for k, r in known.items() if r._words >= MIN_REFERENCE_WORDS}
     least_chars = [(0, r._chars) for r in known.values()]
     least_words = [(list(COMMON_WORDS).index(k) * (N_COMMON + 1), r._commons) for k, r in known.items()]
     nameless = F.col("lang").isNull()
-    enough = F.col("_words") >= MIN_REFERENCE_WORDS
     joined = measured.join(references, "_lang", "left")
-    chars = _distance(F.col("chars"), F.when(enough, F.col("_chars")), F.when(nameless, F.col("chars")), least_chars)
-    words = _distance(F.col("commons"), F.when(enough, F.col("_commons")), F.col("guesses"), least_words)
+    chars = _distance(F.col("chars"), F.col("_chars"), F.when(nameless, F.col("chars")), least_chars)
+    words = _distance(F.col("commons"), F.col("_commons"), F.col("guesses"), least_words)
     char_distance = F.when(F.col("n_words") >= MIN_WORDS_CHARS, chars)
     word_distance = F.when(F.col("n_words") >= MIN_WORDS_COMMON, words)
     far = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > MAX_CHAR_DISTANCE) | (

@@ -294,6 +294,30 @@ def test_quality_references_with_a_third_of_copies(spark):
         assert not any(got[1000 + i].kept for i in range(50))
 
 
+def test_quality_in_a_rare_language(spark):
+    """A language with a few texts, one of them junk, has a verdict; distances are those of plain sums."""
+    rng = random.Random(9)
+    texts = [(_prose(rng, "en"), "en") for _ in range(60)] + [(_prose(rng, "de"), "de") for _ in range(3)] + [(_prose(rng, "en"), "xx")]
+    texts += [(" ".join(f"{rng.choice('xyz')}{i}%%%$$$" for i in range(150)), "de"), texts[0], ("few words here", "de")]
+    rows = [(i, text, lang, None, None, "", "", "") for i, (text, lang) in enumerate(texts)]
+    got = {r.doc_id: r for r in quality.quality_report(corpus.frame(spark, rows)).collect()}
+    assert {i for i, r in got.items() if not r.kept} == {64, 66}
+    sums: dict = {}
+    for text, lang in dict.fromkeys(texts):
+        m = quality.measure(text, lang)
+        if m[0] >= 10:
+            each = sums.setdefault(lang, [np.zeros(7), np.zeros(21)])
+            for total, counts in zip(each, m[5:7], strict=True):
+                total += np.array(counts) / sum(counts) * min(m[0], quality.MAX_WEIGHT)
+    pooled = [sum(s[0] for s in sums.values()), sums["en"][1] + sums["de"][1]]
+    for i, (text, lang) in enumerate(texts[:66]):
+        m = quality.measure(text, lang)
+        for n, name in enumerate(("char_distance", "word_distance")):
+            prior = np.zeros(1) if n and lang == "xx" else pooled[n] / pooled[n].sum() * quality.PRIOR_WORDS
+            expected = quality._divergence(np.array([m[5 + n]], dtype=float), (sums[lang][n] + prior)[None])[0]
+            assert abs(got[i][name] - expected) < 1e-4, (i, name)
+
+
 def test_quality_of_texts_without_a_language(spark):
     rng = random.Random(6)
     sizes = {"en": 90, "de": 25, "fr": 25, "es": 25}
