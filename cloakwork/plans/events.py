@@ -9,6 +9,7 @@ from ..functions.text import half_up
 from ..operators import metrics as m
 from ..operators import state as g
 from ..sources.tables import table
+from ..streaming import files, limits
 
 _O = "PARTITION BY user_id ORDER BY ts, event_id"
 _ORDER = ["ts", "event_id"]
@@ -30,6 +31,16 @@ r AS (SELECT event_id, user_id, t, n, t AS s, 1 AS c FROM e WHERE n = 1
 SELECT event_id, c <= 2 AS allowed, CAST(greatest(0, 2 - c) AS BIGINT) AS remaining, CASE WHEN c > 1 THEN greatest(0, 86400000 - (t - s)) END AS retry_after_ms FROM r"""
 
 
+def g01_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same limiter as a stream: a file source, state by key in RocksDB and a file sink."""
+    limits.use_rocksdb(spark)
+    events = files.table_stream(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    return files.drained(limits.rate_limited(events, 2, 86_400_000))
+
+
+G01_STREAMED = G01[: G01.rindex("SELECT event_id")] + "SELECT user_id, event_id, c <= 2 AS allowed, CAST(greatest(0, 2 - c) AS BIGINT) AS remaining FROM r"
+
+
 def g02_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = F.expr("CASE WHEN event_id % 7 = 0 THEN 'short' ELSE repeat('aB', 32) END")
     ok = g.session_valid(F.col("t"), F.expr("t - event_id * 1000 % 7200000"), F.col("event_type"), F.expr("CASE WHEN event_id % 5 = 0 THEN 'other' ELSE event_type END"), token, F.lit("ab" * 32))
@@ -436,4 +447,4 @@ F31 = "SELECT l_returnflag, field, count(*) AS n, floor(quantile_disc(value, 0.5
 
 _NAMES = [n for n in list(globals()) if n[:1] in "fg" and n[1:3].isdigit()]
 QUERIES = {n: globals()[n] for n in _NAMES}
-ORACLE = {n: globals()[n[:3].upper()] for n in _NAMES if n[:3].upper() in globals()}
+ORACLE = {n: globals()[n[:3].upper()] for n in _NAMES if n[:3].upper() in globals()} | {"g01_streamed": G01_STREAMED}
