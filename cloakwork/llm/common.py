@@ -42,6 +42,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """The rows, written as Parquet to a folder in the shared one, and read again."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that :func:`stored` wrote."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def released(spark: SparkSession) -> None:
     """Let the driver drop finished steps now, so that Spark's cleaner deletes their shuffle files from the executors' disks.
 
