@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lines, mixing, neardup, personal, quality, secrets, sharding, vectors, warc
+from . import align, decontaminate, licenses, lines, mixing, neardup, personal, quality, secrets, sharding, vectors, warc
 from .common import read_table
 
 
@@ -55,6 +55,11 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.code_report(read_table(spark, sf_dir, "embeddings"))
 
 
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_decontaminate": op2_decontaminate,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_shards": op10_shards,
     "op11_codes": op11_codes,
+    "op13_align": op13_align,
 }
 
 ORACLE: dict[str, str] = {"op1_mix": mixing.ORACLE, "op3_licenses": licenses.ORACLE, "op6_warc": warc.ORACLE, "op7_lines": lines.ORACLE, "op11_codes": vectors.ORACLE}
