@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, decontaminate, licenses, lines, mixing, neardup, personal, quality, secrets, sharding, vectors, warc
+from . import align, classify, decontaminate, licenses, lines, mixing, neardup, personal, quality, secrets, sharding, vectors, warc
 from .common import read_table
 
 
@@ -56,6 +56,10 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op12_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_report(read_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_shards": op10_shards,
     "op11_codes": op11_codes,
+    "op12_classify": op12_classify,
     "op13_align": op13_align,
 }
 
