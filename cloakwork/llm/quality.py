@@ -237,34 +237,36 @@ def _references(measured: DataFrame) -> DataFrame:
     parts = [part(c, i) for c, n in _SIZES.items() for i in range(n)]
     texts = measured.filter(~F.col("base_failed") & (F.col("_lang") != "")).select("_lang", "digest", *parts)
     once = texts.groupBy("_lang", "digest").agg(*[F.max(c).alias(c) for c in names])
-    sums = once.groupBy("_lang").agg(*[F.sum(c).alias(c) for c in names])
+    # A text adds up to MAX_WEIGHT * SHARE_UNIT, so 5 * 10**10 of them are over a long.
+    sums = once.groupBy("_lang").agg(*[F.sum(F.col(c).cast("decimal(28,0)")).alias(c) for c in names])
     return sums.select("_lang", *[F.array(*[F.col(f"{c}{i}") for i in range(n)]).alias(f"_{c}") for c, n in _SIZES.items()])
 
 
-def _with_prior(references: DataFrame) -> DataFrame:
-    """The references, each with the words of the prior added.
+def _with_prior(references: DataFrame) -> tuple[DataFrame, int]:
+    """The references, each with the words of the prior added, and their number.
 
     Common words are pooled by their places in the lists of ``COMMON_WORDS``; a language without a list has its own only.
     """
     listed = F.col("_lang").isin([f"+{k}" for k in COMMON_WORDS])
     taken = {"chars": F.lit(True), "commons": listed}
-    exact = lambda c, i: F.when(taken[c], F.col(f"_{c}")[i]).cast("decimal(20,0)")
-    pooled = references.agg(*[F.sum(exact(c, i)).alias(f"{c}{i}") for c, n in _SIZES.items() for i in range(n)]).first()
+    exact = lambda c, i: F.when(taken[c], F.col(f"_{c}")[i])
+    pooled = references.agg(F.count("*").alias("number"), *[F.sum(exact(c, i)).alias(f"{c}{i}") for c, n in _SIZES.items() for i in range(n)]).first()
 
     def blended(c: str, n: int) -> Column:
         sums = [float(pooled[f"{c}{i}"] or 0) for i in range(n)]
         unit = PRIOR_WORDS * SHARE_UNIT / (sum(sums) or 1.0)
-        return F.array(*[F.col(f"_{c}")[i] + F.when(taken[c], F.lit(x * unit)).otherwise(0.0) for i, x in enumerate(sums)]).alias(f"_{c}")
+        own = lambda i: F.col(f"_{c}")[i].cast("double")
+        return F.array(*[own(i) + F.when(taken[c], F.lit(x * unit)).otherwise(0.0) for i, x in enumerate(sums)]).alias(f"_{c}")
 
-    return references.select("_lang", *[blended(c, n) for c, n in _SIZES.items()])
+    return references.select("_lang", *[blended(c, n) for c, n in _SIZES.items()]), pooled["number"]
 
 
 def judge(measured: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """Hold measured documents against the references that they make together; ``carried`` columns stay."""
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = checkpointed(measured.withColumns({"_lang": F.col("key"), "base_failed": base_failed}))
-    references = _with_prior(checkpointed(_references(measured)))
-    if references.count() <= MAX_BROADCAST_LANGUAGES:
+    references, number = _with_prior(checkpointed(_references(measured)))
+    if number <= MAX_BROADCAST_LANGUAGES:
         references = F.broadcast(references)
     # At most a row for each language in COMMON_WORDS.
     known = {r._lang[1:]: r for r in references.filter(F.col("_lang").isin([f"+{k}" for k in COMMON_WORDS])).collect()}
