@@ -25,8 +25,10 @@ The benchmark's grams are sent to the executors in blocks of at most
 ``BLOCK_BYTES`` of text, windows included.  With a larger benchmark one pass over the documents, with a table of all
 its grams, keeps those that share enough grams with it, and the passes for each block go over these.
 
-Cases: null and empty texts and items match nothing; an item too short for a
-gram matches as a run of whole words; repeated rows of documents give one match in the report,
+An item whose normal form is under ``LEAST_BYTES`` bytes of UTF-8 (four or five words of a Latin alphabet, eight ideographs)
+isn't looked for, as such phrases stand in clean text; :func:`items_left_out` lists them.
+
+Cases: null and empty texts and items match nothing; repeated rows of documents give one match in the report,
 and items with equal item_id and text count once; an empty table gives no
 matches; texts are scanned whole; further columns are kept by :func:`drop_contaminated`, which judges each row by its own
 text, whatever other rows share its doc_id or have none.
@@ -52,6 +54,8 @@ WINDOW_WORDS = 24
 BLOCK_BYTES = 4 << 20
 #: Places of a gram in a block beyond which it isn't counted, and places that are counted at once.
 PLACES = 64
+#: Bytes that an item's normal form must have to be looked for; no fewer than Q characters have them.
+LEAST_BYTES = 24
 PART = 1 << 22
 #: Bits of the table of all grams of a benchmark of several blocks, 16 MB at most.
 MAX_TABLE_BITS = 27
@@ -67,6 +71,10 @@ def normalise(text: str | None) -> str:
     return _NO_WORD.sub(" ", (text or "").lower()).strip()
 
 
+def is_long_enough(item: str) -> bool:
+    return len(item) >= Q and len(item.encode()) >= LEAST_BYTES
+
+
 def windows(item: str) -> list[str]:
     """Overlapping windows of a normalised item that is longer than a window; the last ends with the item."""
     words = item.split(" ")
@@ -157,8 +165,7 @@ class Index:
     """The grams of a block of items and then of their windows, with the items and places that have them."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.short = [(i, f" {t} ") for i, t in items if 0 < len(t) < Q]
-        self.items = [(i, t) for i, t in items if len(t) >= Q]
+        self.items = [(i, t) for i, t in items if is_long_enough(t)]
         self.whole = len(self.items)
         self.items += [(i, w) for i, t in self.items for w in windows(t) if len(w) >= Q]
         parts = [grams(t) for _, t in self.items]
@@ -187,11 +194,6 @@ class Index:
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) in the normalised text; of places that overlap a whole item or else the best window."""
         found = []
-        if self.short:
-            padded = f" {text} "
-            for item, word in self.short:
-                if (at := padded.find(word)) >= 0:
-                    found.append((item, at, at + len(word) - 2, 0, False))
         for item, low, high in self._bands(text):  # whole items come first
             name, data = self.items[item]
             part, middle = item >= self.whole, (low + high) // 2
@@ -245,7 +247,6 @@ class Index:
             k += 1
         return regions
 
-
     def _keys(self, at: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Item and diagonal band, as one number, of every place in the items that has a gram of the text."""
         counts = self.counts[where]
@@ -291,16 +292,14 @@ def _scan(block):
 
 
 def _sift(shipped):
-    """Rows whose texts share as many grams with a benchmark, or hold as short an item, as any match must."""
+    """Rows whose texts share as many grams with a benchmark as any match must."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed_table, bits, least, short = shipped.value
+        packed_table, bits, least = shipped.value
         table = np.unpackbits(np.frombuffer(packed_table, dtype=np.uint8)).view(bool)
 
         def keeps(value: str | None) -> bool:
             text = normalise(value)
-            if any(w in f" {text} " for w in short):
-                return True
             return least is not None and len(text) >= Q and int(table[_slot(grams(text), bits)].sum()) >= max(1, least)
 
         for batch in batches:
@@ -327,14 +326,13 @@ def _find(texts: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFrame
 
     if number > 1:
         bits = min(MAX_TABLE_BITS, max(16, (8 * total).bit_length()))
-        table, least, short = np.zeros(1 << bits, dtype=bool), None, set()
+        table, least = np.zeros(1 << bits, dtype=bool), None
         for n in range(number):
             index = Index(block(n))
             table[_slot(index.codes, bits)] = True
-            short |= {w for _, w in index.short}
             if index.items:
                 least = index.least if least is None else min(least, index.least)
-        shipped = spark.sparkContext.broadcast((np.packbits(table).tobytes(), bits, least, sorted(short)))
+        shipped = spark.sparkContext.broadcast((np.packbits(table).tobytes(), bits, least))
         texts = checkpointed(texts.mapInArrow(_sift(shipped), texts.schema))
     found = [texts.mapInArrow(_scan(spark.sparkContext.broadcast(block(n))), _PLACES_SQL) for n in range(number)]
     if number > 1:
@@ -352,6 +350,12 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
     return _find(_texts(docs), benchmark, block_bytes).drop("digest")
 
 
+def items_left_out(benchmark: DataFrame) -> DataFrame:
+    """The rows of the benchmark that are too short to be looked for, nulls included."""
+    short = F.udf(lambda text: not is_long_enough(normalise(text)), "boolean", useArrow=True)
+    return benchmark.filter(short(F.col("text").cast("string")))
+
+
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, places, start, end, edits) for each document that holds a benchmark item; the best place."""
     best = F.min(F.struct("edits", "start", "end")).alias("best")

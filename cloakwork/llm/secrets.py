@@ -5,8 +5,9 @@ runs.  Beside them, runs of key characters are measured under a byte-level BPE
 vocabulary: natural words and identifiers take several characters a token,
 random strings few.  A run is kept as ``random`` when its characters per token
 are below a ratio, after known digests (hexadecimal runs of digest length, UUIDs)
-and identifiers (words joined by separators, paths, numbers) are excluded.  Parts of
-one case are an identifier only if their letters, too, reach the ratio.  A run that
+identifiers and sequences are excluded.  An identifier is cut at its separators into codes of at most four
+characters, numbers, and parts made of words of three letters and more; the letters of these must reach the ratio, too,
+so groups of random letters aren't one.  A sequence repeats or counts on, as an alphabet does.  A run that
 isn't random as a whole is cut at its separators, ``/`` first and ``-`` last, and its
 parts of 20 characters and more are measured alone.
 
@@ -45,7 +46,15 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(rf"[A-Za-z0-9+/_.-]{{{MIN_RUN - 2},}}={{0,2}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I | re.A)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z", re.I | re.A)
-_WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_./=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[_./=+-]*\Z")
+#: Words of a part in camel case, and what separates parts.
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_SEPARATORS = re.compile(r"[_./=+-]+")
+#: Characters of a code, of a word, and the share of a part's letters that must be in words.
+CODE, LEAST_WORD, IN_WORDS = 4, 3, 0.8
+#: Letters that a number may have, as in a time or a size.
+MARKS = 2
+#: Share of steps from character to character in a sequence that are equal.
+STEADY = 0.75
 #: Separators at which a run is cut, the outermost first; each cut includes those before it.
 _CUTS = [re.compile(f"[^{c}]+") for c in ("/", "/.", "/.+=", "/.+=_", "/.+=_-")]
 _LETTERS = re.compile(r"[A-Za-z]+")
@@ -74,17 +83,30 @@ def is_known(run: str) -> bool:
     return bool(_DIGEST.match(run) or _UUID.match(run))
 
 
+def is_sequence(run: str) -> bool:
+    """Characters that repeat, or go on by one."""
+    steps = Counter(ord(b) - ord(a) for a, b in zip(run, run[1:]))
+    return max(steps[0], steps[1], steps[-1]) >= STEADY * (len(run) - 1)
+
+
 def is_identifier(run: str, tokens: Callable[[str], int]) -> bool:
-    """Words and numbers joined by separators: the letters, as they are or in lower case, reach the ratio."""
-    if not _WORDS.match(run):
-        return False
-    parts = _LETTERS.findall(run)
-    least = sum(min(tokens(w), tokens(w.lower())) for w in parts)
-    return sum(map(len, parts)) >= MAX_CHARS_PER_TOKEN * least
+    """Words, numbers and short codes joined by separators; the letters of long parts, as they are or in lower case, reach the ratio."""
+    letters = cost = 0
+    for part in _SEPARATORS.split(run):
+        found = _LETTERS.findall(part)
+        size = sum(map(len, found))
+        if len(part) <= CODE or size <= MARKS:
+            continue
+        words = [w for w in _WORD.findall(part) if len(w) >= LEAST_WORD]
+        if sum(map(len, words)) < IN_WORDS * size or len(part) - size > size:
+            return False
+        letters += size
+        cost += sum(min(tokens(w), tokens(w.lower())) for w in found)
+    return letters >= MAX_CHARS_PER_TOKEN * cost
 
 
 def is_random(run: str, tokens: Callable[[str], int]) -> bool:
-    if len(run) < MIN_RUN or is_known(run) or is_identifier(run, tokens):
+    if len(run) < MIN_RUN or is_known(run) or is_sequence(run) or is_identifier(run, tokens):
         return False
     return len(run) < MAX_CHARS_PER_TOKEN * tokens(run)
 
@@ -92,6 +114,8 @@ def is_random(run: str, tokens: Callable[[str], int]) -> bool:
 def random_parts(run: str, tokens: Callable[[str], int], cut: int = 0) -> list[tuple[int, int]]:
     """(start, end) of the run if it is random, or else of the outermost parts between separators that are."""
     inner = run.lstrip(".-/_+").rstrip(".-/_+")
+    if len(inner) < MIN_RUN:  # marks at its ends may be a random string's own
+        inner = run
     if len(inner) < MIN_RUN or is_known(inner):
         return []
     start = run.index(inner)
@@ -100,7 +124,7 @@ def random_parts(run: str, tokens: Callable[[str], int], cut: int = 0) -> list[t
     while cut < len(_CUTS):
         parts = list(_CUTS[cut].finditer(inner))
         cut += 1
-        if len(parts) > 1 or len(parts[0][0]) < len(inner):
+        if parts and (len(parts) > 1 or len(parts[0][0]) < len(inner)):
             return [(start + m.start() + a, start + m.start() + b) for m in parts for a, b in random_parts(m[0], tokens, cut)]
     return []
 
