@@ -23,12 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import checkpointed, packed, unpacked
 
 MIN_KEY_CHARS = 40
 MIN_DOCUMENTS = 5
-#: Parts into which the rows of each hash are dealt for the join with the shared hashes.
-SALTS = 16
+#: Documents with a line for which its hash has a salt in the join with the shared hashes, and hashes that have several.
+SALT_ROWS = 10_000
+HOT_LINES = 10_000
 _SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -79,11 +80,19 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_KEY_CHARS, min_docum
         pairs.groupBy("_hash")
         .agg(F.count(F.lit(1)).alias("_n"), F.max("_doc").alias("_keeper"))
         .filter(F.col("_n") >= min_documents)
-        .select("_hash", "_keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     )
+    shared = checkpointed(shared)
+    most = shared.filter(F.col("_n") > SALT_ROWS).orderBy(F.desc("_n"), "_hash").limit(HOT_LINES)
+    salts = checkpointed(most.select("_hash", F.ceil(F.col("_n") / SALT_ROWS).cast("int").alias("_salts")))
+
+    def salted(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(salts), "_hash", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+    keepers = salted(shared).select("_hash", "_keeper", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
     return (
-        lines.withColumn("_salt", F.pmod(F.xxhash64("_doc", "_at"), F.lit(SALTS)).cast("int"))
-        .join(shared, ["_hash", "_salt"])
+        salted(lines)
+        .withColumn("_salt", F.pmod(F.xxhash64("_doc", "_at"), F.col("_salts")).cast("int"))
+        .join(keepers, ["_hash", "_salt"])
         .filter(~F.col("_doc").eqNullSafe(F.col("_keeper")))
         .groupBy("_doc", "_digest")
         .agg(F.collect_set("_at").alias("_drops"))
