@@ -47,6 +47,8 @@ from .graph import components
 SKETCH = 48
 MISS = 1e-9
 BLOCK = 128
+#: Members whose full sets meet their hub's in one group, about.
+HUB_MEMBERS = 256
 #: Columns of the shared-value count that a block holds at once.
 CHUNK = 8192
 
@@ -189,34 +191,50 @@ def _anew(rows: DataFrame, column: str) -> DataFrame:
     return checkpointed(rows).withColumn(column, F.coalesce(F.col(column), F.col(column)))
 
 
-def _near_enough(percent: int) -> Column:
-    """Whether sets of sizes n_a and n_b can reach the similarity at all."""
-    return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+def _likely_pairs(pairs: DataFrame, sketches: DataFrame, k: int, floor: int, percent: int) -> DataFrame:
+    """The pairs (hub, node) that by the estimate on their sketches may be linked."""
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+    union = F.array_sort(F.array_union("sketch_hub", "sketch_node"))
+    whole = (F.size("sketch_hub") < k) & (F.size("sketch_node") < k)
+    union = F.when(whole, union).otherwise(F.slice(union, 1, k))
+    both = F.size(F.array_intersect(F.array_intersect("sketch_hub", "sketch_node"), F.col("union")))
+    least = F.when(whole, F.ceil(F.size("union") * percent / 100)).otherwise(F.least(F.lit(floor), F.size("union")))
+    return pairs.join(side("hub"), "hub").join(side("node"), "node").withColumn("union", union).filter(both >= least).select("hub", "node")
+
+
+def _hub_links(percent: int):
+    """The members whose full sets are as similar to their hub's as asked; the hub's set is there once."""
+
+    def run(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
+        hub = key[0].as_py()
+        nodes, sets = members.column("node").to_pylist(), members.column("shingles")
+        own = sets[nodes.index(hub)].values.to_numpy()
+        linked = []
+        for n, node in enumerate(nodes):
+            if node != hub:
+                other = sets[n].values.to_numpy()
+                place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                common = int((own[place] == other).sum())
+                if 100 * common >= percent * (len(own) + len(other) - common):
+                    linked.append(node)
+        return pa.table({"a": pa.array([hub] * len(linked), pa.binary()), "b": pa.array(linked, pa.binary())})
+
+    return run
 
 
 def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, floor: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked, after the estimate on their sketches."""
-    side = lambda t, x, c: t.select(F.col("node").alias(x), F.col(c).alias(f"{c}_{x}"))
-    union = F.array_sort(F.array_union("sketch_a", "sketch_b"))
-    whole = (F.size("sketch_a") < k) & (F.size("sketch_b") < k)
-    union = F.when(whole, union).otherwise(F.slice(union, 1, k))
-    both = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), F.col("union")))
-    least = F.when(whole, F.ceil(F.size("union") * percent / 100)).otherwise(F.least(F.lit(floor), F.size("union")))
-    likely = (
-        pairs.join(side(sketches, "a", "sketch"), "a")
-        .join(side(sketches, "b", "sketch"), "b")
-        .withColumn("union", union)
-        .filter(both >= least)
-        .select("a", "b")
-    )
-    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    union_size = F.size("shingles_a") + F.size("shingles_b") - common
-    return (
-        likely.join(side(sets, "a", "shingles"), "a")
-        .join(side(sets, "b", "shingles"), "b")
-        .filter(100 * common >= percent * union_size)
-        .select("a", "b")
-    )
+    """The pairs (a, b) whose full sets are as similar as asked, after the estimate on their sketches.
+
+    Members meet their hub in parts of about HUB_MEMBERS, so a set is sent once for each hub that a member
+    may be linked with, and a hub's set once for each part.
+    """
+    likely = checkpointed(_likely_pairs(pairs, sketches, k, floor, percent))
+    counts = checkpointed(likely.groupBy("hub").agg(F.count(F.lit(1)).alias("m")))
+    salts = F.ceil(F.col("m") / HUB_MEMBERS).cast("int").alias("salts")
+    dealt = join_totals(likely, counts.select("hub", "m", salts), "hub", "m", likely.count())
+    members = dealt.select("hub", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node")
+    hubs = counts.select("hub", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("hub").alias("node"))
+    return members.unionByName(hubs).join(sets, "node").groupBy("hub", "salt").applyInArrow(_hub_links(percent), "a binary, b binary")
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -400,12 +418,10 @@ def _components_of(lists: DataFrame, sketches: DataFrame, sets: DataFrame, k: in
     )
     pairs = (
         stars.filter(F.col("hub") != F.col("node"))
-        .select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), F.col("n").alias("n_a"), F.col("hub_n").alias("n_b")
-        )
-        .filter(_near_enough(percent))
-        .select("a", "b")
-        .distinct()
+        .filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+        .groupBy(F.least("node", "hub"), F.greatest("node", "hub"))
+        .agg(F.max_by(F.struct("hub", "node"), "hub").alias("pair"))
+        .select("pair.*")
     )
     links = checkpointed(_verified(pairs, sketches, sets, k, floor, percent))
     roots = checkpointed(components(links))
