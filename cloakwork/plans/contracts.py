@@ -255,16 +255,6 @@ def a36_page_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 A36 = r"SELECT page_id, CASE WHEN page_id % 4 < 2 THEN NULL ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '^(https?://[^/]+)$', '\1/') END AS shown FROM pages"
 
 
-def d14_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Product cards put into every page's HTML."""
-    card = F.expr("'<div data-key=\"K' || lpad(CAST(page_id AS STRING), 9, '0') || '\"><h2>Laptop ' || CAST(page_id AS STRING) || '</h2><span>INR ' || CAST(page_id * 10 AS STRING) || '</span>' || CASE WHEN page_id % 2 = 0 THEN '<a href=\"/x\">go</a>' ELSE '' END || '</div>'")
-    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(card, "html").alias("html"))
-    return pages.product_cards(pages.nodes(rows)).select("page_id", "key", "title", "price", "confidence")
-
-
-D14 = "SELECT page_id, 'K' || lpad(CAST(page_id AS VARCHAR), 9, '0') AS key, 'Laptop ' || page_id AS title, page_id * 10.0::DOUBLE AS price, CASE WHEN page_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.75::DOUBLE END AS confidence FROM pages"
-
-
 def d15_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.links(pages.nodes(spread(table(spark, sf_dir, "pages")))).select("page_id", "href", F.col("place").cast("long").alias("place"))
 
@@ -471,12 +461,12 @@ QUERIES = {
     "b01_projection": b01_projection, "b02_masked": b02_masked, "b03_safe_text": b03_safe_text, "b03_safe_url": b03_safe_url, "b04_without_telemetry": b04_without_telemetry, "b11_planner_context": b11_planner_context, "c17_planned": c17_planned, "b05_assessment": b05_assessment, "b06_assert": b06_assert,
     "b07_image": b07_image, "b08_migrated": b08_migrated, "b09_sample": b09_sample, "b10_audit": b10_audit, "b12_projected": b12_projected, "b13_action": b13_action, "b14_privacy": b14_privacy,
     "b15_consequential": b15_consequential, "b16_href": b16_href, "b17_diagnostic": b17_diagnostic, "b18_origin": b18_origin, "b19_verified": b19_verified, "a33_numbers": a33_numbers,
-    "a34_changed": a34_changed, "a35_nodes": a35_nodes, "a36_page_url": a36_page_url, "d14_cards": d14_cards, "d15_links": d15_links, "c07_faces": _decoded("c07"), "c08_controls": _decoded("c08"),
+    "a34_changed": a34_changed, "a35_nodes": a35_nodes, "a36_page_url": a36_page_url, "d15_links": d15_links, "c07_faces": _decoded("c07"), "c08_controls": _decoded("c08"),
     "c12_rows": c12_rows, "c14_scanned": c14_scanned, "c15_review": c15_review, "c25_opaque": c25_opaque, "c28_unreadable": c28_unreadable, "h01_pieces": h01_pieces, "h02_labels": h02_labels,
     "h03_masked": h03_masked, "h04_bridge": h04_bridge, "h05_words": h05_words, "s01_source_text": s01_source_text,
 }
 ORACLE = {
     "b01_projection": B01, "b02_masked": B02, "b03_safe_text": B03, "b03_safe_url": B03_URL, "b04_without_telemetry": B04, "b11_planner_context": B11, "c07_faces": C07, "c08_controls": C08, "d15_links": D15, "b05_assessment": B05, "b06_assert": B06, "b07_image": B07, "b08_migrated": B08, "b09_sample": B09,
     "b10_audit": B10, "b12_projected": B12, "b13_action": B13, "b14_privacy": B14, "b15_consequential": B15, "b16_href": B16, "b17_diagnostic": B17, "b18_origin": B18, "b19_verified": B19,
-    "a33_numbers": A33, "a34_changed": A34, "a36_page_url": A36, "d14_cards": D14, "c12_rows": C12, "c14_scanned": C14, "c15_review": C15, "c17_planned": C17, "c25_opaque": C25, "c28_unreadable": C28, "h01_pieces": H01, "h02_labels": H02, "h03_masked": H03, "h04_bridge": H04, "h05_words": H05,
+    "a33_numbers": A33, "a34_changed": A34, "a36_page_url": A36, "c12_rows": C12, "c14_scanned": C14, "c15_review": C15, "c17_planned": C17, "c25_opaque": C25, "c28_unreadable": C28, "h01_pieces": H01, "h02_labels": H02, "h03_masked": H03, "h04_bridge": H04, "h05_words": H05,
 }
