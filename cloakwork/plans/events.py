@@ -31,11 +31,14 @@ r AS (SELECT event_id, user_id, t, n, t AS s, 1 AS c FROM e WHERE n = 1
 SELECT event_id, c <= 2 AS allowed, CAST(greatest(0, 2 - c) AS BIGINT) AS remaining, CASE WHEN c > 1 THEN greatest(0, 86400000 - (t - s)) END AS retry_after_ms FROM r"""
 
 
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = files.table_stream(spark, sf_dir, "events")
+    return events.select("user_id", "event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), F.col("ts").cast("timestamp").alias("ts"))
+
+
 def g01_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same limiter as a stream: a file source, state by key in RocksDB and a file sink."""
-    limits.use_rocksdb(spark)
-    events = files.table_stream(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
-    return files.drained(limits.rate_limited(events, 2, 86_400_000))
+    return files.drained(limits.rate_limited(_stream(spark, sf_dir).select("user_id", "event_id", "t"), 2, 86_400_000))
 
 
 G01_STREAMED = G01[: G01.rindex("SELECT event_id")] + "SELECT user_id, event_id, c <= 2 AS allowed, CAST(greatest(0, 2 - c) AS BIGINT) AS remaining FROM r"
@@ -50,6 +53,47 @@ def g02_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 G02 = "SELECT event_id, event_id * 1000 % 7200000 < 3600000 AND event_id % 5 <> 0 AND event_id % 7 <> 0 AS valid FROM events"
 
 
+_DAY = 86_400_000
+
+
+def g02_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of two days, ended by a later event or by a timer of event time; those still open aren't there."""
+    return files.drained(limits.ended_sessions(_stream(spark, sf_dir).withWatermark("ts", "0 seconds").select("user_id", "event_id", "t", "ts"), 2 * _DAY))
+
+
+G02_STREAMED = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+r AS (SELECT user_id, t, n, t AS s, 1 AS k FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.t, e.n, CASE WHEN e.t - r.s >= {2 * _DAY} THEN e.t ELSE r.s END, CASE WHEN e.t - r.s >= {2 * _DAY} THEN r.k + 1 ELSE r.k END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT user_id, CAST(k AS BIGINT) AS session, s AS started, s + {2 * _DAY} AS ended, count(*) AS n FROM r WHERE s + {2 * _DAY} <= (SELECT max(t) FROM e) GROUP BY user_id, k, s"""
+
+
+def g03_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leases of a day: a purchase grants one, a click uses it; what became of each grant and use."""
+    events = _stream(spark, sf_dir).filter("event_type IN ('purchase', 'click')").withWatermark("ts", "0 seconds")
+    ttl = F.when(F.col("event_type") == "purchase", _DAY).cast("long")
+    return files.drained(limits.lease_outcomes(events.select("user_id", "event_id", "t", ttl.alias("ttl_ms"), "ts")))
+
+
+G03_STREAMED = f"""WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, event_type = 'purchase' AS grants FROM events WHERE event_type IN ('purchase', 'click')),
+g AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS next FROM e WHERE grants),
+u AS (SELECT *, last_value(CASE WHEN grants THEN event_id END IGNORE NULLS) OVER w AS lease, last_value(CASE WHEN grants THEN t END IGNORE NULLS) OVER w AS since
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+v AS (SELECT *, row_number() OVER (PARTITION BY user_id, lease ORDER BY t, event_id) AS n FROM u WHERE NOT grants)
+SELECT user_id, event_id, t, CASE WHEN lease IS NULL OR t - since >= {_DAY} THEN 'no lease' WHEN n > 1 THEN 'used before' ELSE 'used' END AS outcome FROM v
+UNION ALL SELECT user_id, event_id, next, 'replaced' FROM g WHERE next - t < {_DAY}
+UNION ALL SELECT user_id, event_id, t + {_DAY}, 'expired' FROM g WHERE (next IS NULL OR next - t >= {_DAY}) AND t + {_DAY} <= (SELECT max(t) FROM e)"""
+
+
+def g10_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last six events of a user from a ring in keyed state."""
+    rows = files.drained(limits.last_rows(_stream(spark, sf_dir).select("user_id", "event_id", "t"), 6))
+    newest = rows.groupBy("user_id").agg(F.max("seen").alias("seen"))
+    return rows.join(newest, ["user_id", "seen"], "left_semi").select("user_id", "event_id")
+
+
+G10_STREAMED = "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) <= 6"
+
+
 def g03_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.expr
     leases = table(spark, sf_dir, "orders").select(e("o_orderkey").alias("tab"), e("o_orderkey % 3").alias("frame"), e("o_orderkey * 10").alias("created_ms"), e("CASE WHEN o_orderkey % 9 = 0 THEN 130000 ELSE 60 END").alias("ttl_ms"), e("o_orderkey % 11 = 0").alias("ended"))
@@ -447,4 +491,4 @@ F31 = "SELECT l_returnflag, field, count(*) AS n, floor(quantile_disc(value, 0.5
 
 _NAMES = [n for n in list(globals()) if n[:1] in "fg" and n[1:3].isdigit()]
 QUERIES = {n: globals()[n] for n in _NAMES}
-ORACLE = {n: globals()[n[:3].upper()] for n in _NAMES if n[:3].upper() in globals()} | {"g01_streamed": G01_STREAMED}
+ORACLE = {n: globals()[n[:3].upper()] for n in _NAMES if n[:3].upper() in globals()} | {n: globals()[n.upper()] for n in _NAMES if n.endswith("_streamed")}

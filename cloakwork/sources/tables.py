@@ -41,3 +41,16 @@ def spread_by(rows: DataFrame, key: str) -> DataFrame:
     session = rows.sparkSession
     n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(n, key)
+
+
+def written_once(rows: DataFrame) -> DataFrame:
+    """The rows in a checkpoint in the shared folder, so that what they were made from can go."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    return rows.checkpoint(eager=True)
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
