@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boxes, contracts, events, pages, planner, privacy, records
+from . import boxes, contracts, events, pages, planner, privacy, records, reports
 
-_PARTS = (privacy, boxes, records, events, contracts, pages, planner)
+_PARTS = (privacy, boxes, records, events, contracts, pages, planner, reports)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for part in _PARTS for k, q in part.QUERIES.items()}
 ORACLE: dict[str, str] = {k: sql for part in _PARTS for k, sql in part.ORACLE.items()}
 
