@@ -56,6 +56,11 @@ def box_iou(a: Column, b: Column) -> Column:
     return F.when(ok(a) & ok(b), iou(to_corners(a), to_corners(b))).otherwise(F.lit(0.0))
 
 
+def overlap_of_areas(shared: Column, one: Column, other: Column) -> Column:
+    """The same from the shared area and the two whole ones."""
+    return F.when(one + other > shared, shared / (one + other - shared)).otherwise(F.lit(0.0))
+
+
 def overlap_of_smaller(a: Column, b: Column) -> Column:
     """Shared area over the smaller area, at least 1."""
     return intersection(a, b) / F.greatest(F.lit(1.0), F.least(area(a), area(b)))

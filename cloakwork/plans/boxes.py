@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as g
 from ..operators import metrics as m
+from ..operators import unions
 from ..sources.tables import table
 
 _X, _Y = "CAST(l_partkey % 50 AS DOUBLE)", "CAST(l_suppkey % 40 AS DOUBLE)"
@@ -74,6 +75,17 @@ def c01_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir).select("a.page", F.col("a.ref").alias("ra"), F.col("c.ref").alias("rc"), g.iou(_corner("a"), _corner("c")).alias("v"))
 
 
+def c03_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap of pairs whose boxes are corners, have sizes, or are given as an area that is shared and two that are whole."""
+    a, c = _corner("a"), _corner("c")
+    sized = lambda t: F.struct(*[F.col(f"{t}.{n}").alias(n) for n in ("x", "y", "width", "height")])
+    forms = {"by_corners": g.iou(a, c), "by_sizes": g.box_iou(sized("a"), sized("c")), "by_areas": g.overlap_of_areas(g.intersection(a, c), g.area(a), g.area(c))}
+    return _pairs(spark, sf_dir).select("a.page", F.col("a.ref").alias("ra"), F.col("c.ref").alias("rc"), *[v.alias(k) for k, v in forms.items()])
+
+
+C03 = f"WITH {_BOXES} SELECT a.page, a.ref AS ra, c.ref AS rc, {iou_sql('a', 'c')} AS by_corners, {iou_sql('a', 'c')} AS by_sizes, {iou_sql('a', 'c')} AS by_areas FROM b a JOIN b c ON a.page = c.page AND a.ref < c.ref"
+
+
 def c02_box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth box has no width, which counts as no overlap."""
     side = lambda t: F.struct(F.col(f"{t}.x").alias("x"), F.col(f"{t}.y").alias("y"), F.when(F.col(f"{t}.part") % 5 == 0, 0.0).otherwise(F.col(f"{t}.width")).alias("width"), F.col(f"{t}.height").alias("height"))
@@ -180,6 +192,18 @@ C16 = f"""WITH RECURSIVE {_BOXES}, {union_sql(f'SELECT page, {_LISTED} AS bs FRO
 SELECT page, len(bs) AS n, list_sum(list_transform(bs, lambda z: {area_sql('z')})) AS area FROM united"""
 
 
+def c16_united(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a page's boxes in one array; pages of a hundred orders, so that there is something to unite."""
+    rows = boxes(spark, sf_dir).withColumn("page", F.expr("page div 100")).withColumns({"x1": F.expr("x1 + page % 7 * 40"), "x2": F.expr("x2 + page % 7 * 40")})
+    made = unions.unite_boxes(rows, "page")
+    return made.groupBy("page").agg(F.count("*").alias("n"), F.sum((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"))
+
+
+C16_UNITED = f"""WITH RECURSIVE {_BOXES}, c AS (SELECT page // 100 AS page, x1 + page // 100 % 7 * 40 AS x1, y1, x2 + page // 100 % 7 * 40 AS x2, y2 FROM b),
+{union_sql(f'SELECT page, {_LISTED} AS bs FROM c GROUP BY page')}
+SELECT page, len(bs) AS n, list_sum(list_transform(bs, lambda z: {area_sql('z')})) AS area FROM united"""
+
+
 def c18_bounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     around = g.bounding(F.transform("all", lambda a: a["box"]))
     return _page_arrays(spark, sf_dir).select("page", around.alias("m")).select("page", "m.*")
@@ -366,7 +390,7 @@ SELECT page, count(*) FILTER (m IN (1, 3)) AS expected, count(*) FILTER (m >= 2)
 
 QUERIES = {
     "c01_iou": c01_iou, "c02_box_iou": c02_box_iou, "c04_smaller": c04_smaller, "c05_suppress": _suppressed(0.3, 4), "c06_detector_suppress": _suppressed(0.45, 64),
-    "c09_scale": c09_scale, "c10_map_box": c10_map_box, "c11_surface": c11_surface, "c13_runs": c13_runs, "c16_union": c16_union, "c18_bounding": c18_bounding,
+    "c09_scale": c09_scale, "c10_map_box": c10_map_box, "c11_surface": c11_surface, "c13_runs": c13_runs, "c03_forms": c03_forms, "c16_union": c16_union, "c16_united": c16_united, "c18_bounding": c18_bounding,
     "c19_outside": c19_outside, "c20_scope": c20_scope, "c21_covered": c21_covered, "c22_fuse": c22_fuse, "c23_sources": c23_sources, "c24_mask": c24_mask,
     "c27_frames": c27_frames, "c29_preview": c29_preview, "f01_match": _matched(True), "f02_match_untagged": _matched(False), "f03_best": f03_best, "f09_pixels": f09_pixels,
 }
@@ -375,6 +399,6 @@ ORACLE = {
     "c01_iou": _PAIR_SQL.format(iou_sql("a", "c")), "c02_box_iou": _C02,
     "c04_smaller": _PAIR_SQL.format(f"{inter_sql('a', 'c')} / greatest(1.0, least({area_sql('a')}, {area_sql('c')}))"),
     "c05_suppress": _suppressed_sql(0.3, 4), "c06_detector_suppress": _suppressed_sql(0.45, 64), "c09_scale": C09, "c10_map_box": C10, "c11_surface": _surface_sql(),
-    "c13_runs": C13, "c16_union": C16, "c18_bounding": C18, "c19_outside": C19, "c20_scope": C20, "c21_covered": C21, "c22_fuse": C22, "c23_sources": C23, "c24_mask": C24,
+    "c13_runs": C13, "c03_forms": C03, "c16_union": C16, "c16_united": C16_UNITED, "c18_bounding": C18, "c19_outside": C19, "c20_scope": C20, "c21_covered": C21, "c22_fuse": C22, "c23_sources": C23, "c24_mask": C24,
     "c27_frames": C27, "c29_preview": C29, "f01_match": _matched_sql(True), "f02_match_untagged": _matched_sql(False), "f03_best": F03, "f09_pixels": _f09_sql(),
 }
