@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import regions
+from ..operators import observation, regions
 from ..sources import html
 from ..sources.tables import spread, table
 from .privacy import PROBE, merged_ctes
@@ -114,5 +114,32 @@ def n01_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 N01 = """SELECT c_custkey AS page_id, n AS place, scope, tag, label FROM customer, (VALUES (1, 'top', 'a', ''), (2, 'top', 'div', 'go'), (3, 'top', 'p', ''), (4, 'top/shadow1', 'select', ''), (5, 'top/frame2', 'summary', ''),
   (6, 'top/shadow1/frame1', 'textarea', 'note')) v(n, scope, tag, label) WHERE n < 6 OR c_custkey % 2 = 0"""
 
-QUERIES = {"a35_regions": a35_regions, "d14_cards": d14_cards, "n01_controls": n01_controls, "s01_scoped_text": s01_scoped_text}
-ORACLE = {"a35_regions": A35, "d14_cards": D14, "n01_controls": N01, "s01_scoped_text": S01}
+def n02_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's row: names of controls, regions and text without private spans, counts of kinds, fingerprints."""
+    page = f"""'<html><head><title>Page of ' || {_ID} || '</title></head><body><h1>Welcome</h1><p>' || {_escaped(PROBE)} || '</p><button aria-label="Segment">' || c_mktsegment || '</button>'
+      || '<input type="email" placeholder="Your email"><a href="/x">write to a1@b.example</a><div><template shadowrootmode="open"><button role="tab">deep</button></template></div><p hidden>x@y.example</p></body></html>'"""
+    rows = spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("page_id"), F.expr(page).alias("html"))
+    seen = observation.observe(html.scoped(html.nodes(rows)), html.is_control())
+    listed = lambda column, *fields: F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[x[f] for f in fields])), "|")
+    counts = F.array_join(F.transform(F.map_entries("pii_counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return seen.select("page_id", "title", F.sha2("text", 256).alias("text_sha256"), listed("elements", "ref", "tag", "role", "name", "sensitive_type", "frame_path").alias("elements"), listed("regions", "id", "role", "text").alias("regions"), counts.alias("counts"), "fingerprint", "meaningful")
+
+
+_SEEN = f"""texts AS (SELECT 'p' AS src, c_custkey AS id, {PROBE} AS text FROM customer
+ UNION ALL SELECT 'page', c_custkey, trim(regexp_replace('Welcome ' || {PROBE} || ' ' || c_mktsegment || ' write to a1@b.example deep', '\\s+', ' ', 'g')) FROM customer)"""
+N02 = rf"""WITH {merged_ctes(_SEEN)},
+p AS (SELECT t.src, t.id, t.text, m.start, m.stop, m.kind, coalesce(lag(m.stop) OVER w, 0) AS before, lead(m.start) OVER w AS after
+      FROM texts t LEFT JOIN merged m ON m.id = t.id AND m.src = t.src WINDOW w AS (PARTITION BY t.src, t.id ORDER BY m.start)),
+r AS (SELECT src, id, string_agg(CASE WHEN start IS NULL THEN text ELSE substr(text, before + 1, start - before) || '[REDACTED_' || kind || ']'
+        || CASE WHEN after IS NULL THEN substr(text, stop + 1) ELSE '' END END, '' ORDER BY start) AS t FROM p GROUP BY src, id),
+k AS (SELECT id, kind, count(*) AS n FROM (SELECT id, kind FROM merged WHERE src = 'page' UNION ALL SELECT c_custkey, 'EMAIL' FROM customer, range(2)) GROUP BY id, kind),
+counted AS (SELECT id, string_agg(kind || '=' || n, ',' ORDER BY kind) AS counts FROM k GROUP BY id),
+f AS (SELECT c_custkey AS id, 'button::Segment ' || c_mktsegment || '|input::[REDACTED_EMAIL]|a::write to [REDACTED_EMAIL]|button:tab:deep' AS f FROM customer)
+SELECT c_custkey AS page_id, 'Page of ' || c_custkey AS title, sha256(w.t) AS text_sha256,
+  'c1:button::Segment ' || c_mktsegment || '::top|c2:input::[REDACTED_EMAIL]:email:top|c3:a::write to [REDACTED_EMAIL]::top|c4:button:tab:deep::top/shadow1' AS elements,
+  't1:heading:Welcome|t2:text:' || trim(regexp_replace(v.t, '\s+', ' ', 'g')) AS regions, counts,
+  printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(f, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)) AS fingerprint, true AS meaningful
+FROM customer JOIN r w ON w.id = c_custkey AND w.src = 'page' JOIN r v ON v.id = c_custkey AND v.src = 'p' JOIN counted ON counted.id = c_custkey JOIN f ON f.id = c_custkey"""
+
+QUERIES = {"a35_regions": a35_regions, "d14_cards": d14_cards, "n01_controls": n01_controls, "n02_observation": n02_observation, "s01_scoped_text": s01_scoped_text}
+ORACLE = {"a35_regions": A35, "d14_cards": D14, "n01_controls": N01, "n02_observation": N02, "s01_scoped_text": S01}

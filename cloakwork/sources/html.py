@@ -181,12 +181,17 @@ def scoped(found: DataFrame, most: int = MAX_SCOPES) -> DataFrame:
     return found.filter("reached").withColumn("scope_place", place).filter(F.col("scope_place") <= most)
 
 
+def is_control() -> Column:
+    """Whether an element is one that a user acts on."""
+    given = lambda name: F.coalesce(F.col("attributes")[name], F.lit(""))
+    return F.col("tag").isin(CONTROL_TAGS) | given("role").isin(CONTROL_ROLES) | (given("contenteditable") == "true")
+
+
 def controls(found: DataFrame, most: int = MAX_CONTROLS) -> DataFrame:
     """(page_id, place, node, scope, tag, role, type, label): the first shown controls of a page, scope by scope."""
     given = lambda name: F.coalesce(F.col("attributes")[name], F.lit(""))
-    is_control = F.col("tag").isin(CONTROL_TAGS) | given("role").isin(CONTROL_ROLES) | (given("contenteditable") == "true")
     label = F.array_join(F.filter(F.array(given("aria-label"), given("title"), given("alt")), lambda x: x != ""), " ")
-    rows = scoped(found).filter(is_control & (given("type") != "hidden") & F.col("shown"))
+    rows = scoped(found).filter(is_control() & (given("type") != "hidden") & F.col("shown"))
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("page_id").orderBy("scope_place", "node"))).filter(F.col("place") <= most)
     return rows.select("page_id", "place", "node", "scope", "tag", given("role").alias("role"), given("type").alias("type"), label.alias("label"))
 
