@@ -12,11 +12,12 @@ PRIORITY = {
     "OTP": 120, "PIN": 120, "CREDENTIAL": 125, "PERSON": 90, "ADDRESS": 90, "ACCOUNT": 85, "UNKNOWN": 5,
 }
 PLACEHOLDER = r"\[(?:REDACTED(?:_[A-Z_]+)?|(?:EMAIL|PHONE|PAN|AADHAAR|CARD|API_KEY|TOKEN|PASSWORD|OTP|PIN|CREDENTIAL|PERSON|ADDRESS|ACCOUNT|UNKNOWN)_\d+)\]"
-SECRET_KEYS = (
-    "apikey accesstoken authtoken refreshtoken idtoken token secret clientsecret clientkey authorization auth authcode code jwt "
-    "session sessionid sessiontoken sessionkey privatekey key signature sig password passwd pwd credential credentials otp pin cvv "
-    "cvc pan aadhaar aadhar account accountnumber card cardnumber email phone mobile"
-).split()
+SECRET_KEYS = [
+    "apikey", "accesstoken", "authtoken", "refreshtoken", "idtoken", "token", "secret", "clientsecret", "clientkey", "authorization",
+    "auth", "authcode", "code", "jwt", "session", "sessionid", "sessiontoken", "sessionkey", "privatekey", "key", "signature", "sig",
+    "password", "passwd", "pwd", "credential", "credentials", "otp", "pin", "cvv", "cvc", "pan", "aadhaar", "aadhar", "account",
+    "accountnumber", "card", "cardnumber", "email", "phone", "mobile",
+]
 KIND_ALIASES = {
     "SECRET": "CREDENTIAL", "PRIVATE": "CREDENTIAL", "CVV": "CREDENTIAL", "CVC": "CREDENTIAL", "SECURITY_ANSWER": "CREDENTIAL",
     "APIKEY": "API_KEY", "FULL_NAME": "PERSON", "FIRST_NAME": "PERSON", "LAST_NAME": "PERSON", "GIVEN_NAME": "PERSON",
@@ -24,9 +25,29 @@ KIND_ALIASES = {
     "DATE_OF_BIRTH": "ACCOUNT", "BANK_ACCOUNT": "ACCOUNT", "IFSC": "ACCOUNT", "AADHAR": "AADHAAR",
 }
 
-# Verhoeff's multiplication and permutation tables, a row after the other.
-VERHOEFF_D = "0123456789123406789523401789563401289567401239567859876043216598710432765982104387659321049876543210"
-VERHOEFF_P = "01234567891576283094580379614289160435279453126870428657390127938064157046913258"
+# Verhoeff's multiplication and permutation tables.
+VERHOEFF_D = [
+    [0, 1, 2, 3, 4, 5, 6, 7, 8, 9],
+    [1, 2, 3, 4, 0, 6, 7, 8, 9, 5],
+    [2, 3, 4, 0, 1, 7, 8, 9, 5, 6],
+    [3, 4, 0, 1, 2, 8, 9, 5, 6, 7],
+    [4, 0, 1, 2, 3, 9, 5, 6, 7, 8],
+    [5, 9, 8, 7, 6, 0, 4, 3, 2, 1],
+    [6, 5, 9, 8, 7, 1, 0, 4, 3, 2],
+    [7, 6, 5, 9, 8, 2, 1, 0, 4, 3],
+    [8, 7, 6, 5, 9, 3, 2, 1, 0, 4],
+    [9, 8, 7, 6, 5, 4, 3, 2, 1, 0],
+]
+VERHOEFF_P = [
+    [0, 1, 2, 3, 4, 5, 6, 7, 8, 9],
+    [1, 5, 7, 6, 2, 8, 3, 0, 9, 4],
+    [5, 8, 0, 3, 7, 9, 6, 1, 4, 2],
+    [8, 9, 1, 6, 0, 4, 3, 5, 2, 7],
+    [9, 4, 5, 3, 1, 2, 6, 8, 7, 0],
+    [4, 2, 8, 6, 5, 7, 3, 9, 0, 1],
+    [2, 7, 9, 3, 8, 0, 6, 4, 1, 5],
+    [7, 0, 4, 6, 9, 1, 3, 2, 5, 8],
+]
 
 
 @dataclass(frozen=True)

@@ -38,7 +38,7 @@ def _span(start: Column, end: Column, kind: Column) -> Column:
 
 def verhoeff_valid(digits: Column) -> Column:
     """A12-digit number, first digit 2 to 9, whose Verhoeff check is zero."""
-    d, p = (F.array(*[F.lit(int(c)) for c in t]) for t in (VERHOEFF_D, VERHOEFF_P))
+    d, p = (F.array(*[F.lit(n) for row in t for n in row]) for t in (VERHOEFF_D, VERHOEFF_P))
     step = lambda c, i: F.element_at(
         d, c * 10 + F.element_at(p, (i % 8) * 10 + F.substr(digits, F.lit(12) - i, F.lit(1)).cast("int") + 1) + 1
     )

@@ -70,8 +70,9 @@ def _digits(x: str) -> str:
 
 
 def _verhoeff(d: str) -> str:
+    product, place = ("".join(str(n) for row in t for n in row) for t in (VERHOEFF_D, VERHOEFF_P))
     return (
-        f"list_reduce(list_prepend(0, range(12)), lambda c, i: CAST(substr('{VERHOEFF_D}', CAST(c * 10 + CAST(substr('{VERHOEFF_P}', "
+        f"list_reduce(list_prepend(0, range(12)), lambda c, i: CAST(substr('{product}', CAST(c * 10 + CAST(substr('{place}', "
         f"CAST((i % 8) * 10 + CAST(substr({d}, CAST(12 - i AS BIGINT), 1) AS BIGINT) + 1 AS BIGINT), 1) AS BIGINT) + 1 AS BIGINT), 1) AS BIGINT)) = 0"
     )
 
