@@ -37,8 +37,10 @@ text, whatever other rows share its doc_id or have none.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -258,15 +260,19 @@ class Index:
 
 def _original(text: str, start: int, end: int) -> tuple[int, int]:
     """Code points of the text that characters start to end of its normal form come from, in whole words."""
+    lower = text.lower()
     at, first, last = 0, None, 0
-    for m in _WORD.finditer(text):
-        size = len(m[0].lower())
+    for m in _WORD.finditer(lower):
+        size = m.end() - m.start()
         if first is None and at + size > start:
             first = m.start()
         if at < end:
             last = m.end()
         at += size + 1
-    return first or 0, last
+    if len(lower) == len(text):
+        return first or 0, last
+    ends = list(accumulate(len(c.lower()) for c in text))  # a letter whose lower case has a mark of its own is two there
+    return bisect_right(ends, first or 0), bisect_left(ends, last) + 1 if last else 0
 
 
 def _scan(block):

@@ -35,6 +35,8 @@ from .common import checkpointed
 from .license_texts import TEMPLATES
 
 SHINGLE = 3
+#: Bytes of templates that the driver reads from a folder; all licenses of the SPDX list have about 6 MB.
+MAX_TEMPLATE_BYTES = 64 << 20
 WINDOW = 4
 STRIDE = 3
 BANDS = 64
@@ -150,8 +152,11 @@ def find_licenses(
 
 
 def read_templates(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(file name, text) of the license texts in a folder, to be used as templates; the driver holds them."""
+    """(file name, text) of the license texts in a folder, to be used as templates; the driver holds them, up to MAX_TEMPLATE_BYTES."""
     rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1).alias("name"), "value")
+    size = rows.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    if size > MAX_TEMPLATE_BYTES:
+        raise ValueError(f"templates of {size} bytes; at most {MAX_TEMPLATE_BYTES} are read")
     return [(r["name"], r["value"]) for r in rows.collect() if len(plain_words(r["value"])) >= SHINGLE]
 
 

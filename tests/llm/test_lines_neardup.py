@@ -127,3 +127,31 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lines_with_many_salts_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SALT_ROWS", 3)
+    monkeypatch.setattr(lines, "HOT_LINES", 2)
+    test_line_report(spark)
+    shared = [f"shared line number {n} that is long enough to be counted as one" for n in range(4)]
+    data = [(i, "\n".join([*shared[: 1 + i % 4], f"own {i}"]), *[None] * 6) for i in range(40)]
+    data.append((100, "\n".join(f"{shared[n % 4]}" if n % 1000 == 0 else f"line {n}" for n in range(200_000)), *[None] * 6))
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in lines.line_report(corpus.frame(spark, data)).collect()}
+    assert got[100] == (200_000, 0)  # the largest doc_id keeps them
+    assert got[3] == (5, 4) and got[0] == (2, 1)
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(17)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(300_000)]
+    near = [w if i % 97 else "changed" for i, w in enumerate(words)]
+    other = [f"v{rng.randrange(50_000)}" for _ in range(300_000)]
+    data = [(3, " ".join(words), *[None] * 6), (1, " ".join(near), *[None] * 6), (2, " ".join(other), *[None] * 6), (4, " ".join(words[:100_000]), *[None] * 6)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(corpus.frame(spark, data), 3, 85).collect())
+    assert got == [(i, len(shingles(t, 3)), {1: 1, 3: 1, 2: 2, 4: 4}[i]) for i, t, *_ in sorted(data)]
+
+
+@pytest.mark.parametrize("members", [2, 256])
+def test_hubs_in_parts(spark, monkeypatch, members):
+    monkeypatch.setattr(neardup, "HUB_MEMBERS", members)
+    test_group_of_near_copies_with_a_common_passage(spark)

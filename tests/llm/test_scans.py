@@ -623,3 +623,50 @@ def test_random_strings_of_many_alphabets_are_found():
             draws = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(200)]
             found = sum("random" in kinds(f"see {d} end") for d in draws if not re.search("[0-9a-f]{16}", d))
             assert found >= 0.95 * len(draws), (letters, size, found)
+
+
+def test_contamination_report_against_brute_force(spark):
+    """Every document with every item, and every window of a long one, by the full table of edits."""
+    rng = random.Random(31)
+    letters = "abcdeé "
+    text = lambda n: " ".join("".join(rng.choice(letters[:-1]) for _ in range(rng.randint(2, 6))) for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate([3, 6, 8, 9, 12, 20, 24, 30, 40])] + [(50, "short one"), (51, None)]
+    docs = []
+    for i in range(60):
+        parts = [text(rng.randint(5, 15))]
+        for _ in range(rng.randint(0, 2)):
+            item = rng.choice(items[:9])[1]
+            words = item.split(" ")
+            cut = words[rng.randint(0, len(words) // 3) :] if rng.random() < 0.4 else words
+            parts += [edited(rng, " ".join(cut), rng.randint(0, len(item) // 9), letters), text(4)]
+        docs.append((i, " ".join(parts), *[None] * 6))
+    want = set()
+    for i, t, *_ in docs:
+        plain = decontaminate.normalise(t)
+        for name, item in ((n, decontaminate.normalise(x)) for n, x in items):
+            looked_for = [item, *decontaminate.windows(item)] if decontaminate.is_long_enough(item) else []
+            if any(len(x) >= decontaminate.Q and sellers(x, plain) <= decontaminate.budget(len(x)) for x in looked_for):
+                want.add((i, name))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination_report(corpus.frame(spark, docs), bench).collect()}
+    assert got == want and len(want) > 20
+    assert {r.doc_id for r in decontaminate.drop_contaminated(corpus.frame(spark, docs), bench).collect()} == set(range(60)) - {i for i, _ in want}
+
+
+def test_places_in_texts_whose_lower_case_is_longer():
+    item = "the river runs past the old stone bridge again"
+    for before in ("İİ İstanbul, ", "plain, ", "ẞß İ. "):
+        text = f"{before}The River runs past the old stone bridge again! İ end"
+        index = decontaminate.Index([(1, item)])
+        ((_, start, end, _),) = index.find(decontaminate.normalise(text))
+        a, b = decontaminate._original(text, start, end)
+        assert text[a:b] == "The River runs past the old stone bridge again"
+    assert decontaminate._original("", 0, 0) == (0, 0)
+
+
+def test_templates_are_bounded(spark, tmp_path, monkeypatch):
+    (tmp_path / "MIT.txt").write_text("Permission is hereby granted free of charge to any person")
+    assert licenses.read_templates(spark, str(tmp_path)) == [("MIT", "Permission is hereby granted free of charge to any person")]
+    monkeypatch.setattr(licenses, "MAX_TEMPLATE_BYTES", 10)
+    with pytest.raises(ValueError):
+        licenses.read_templates(spark, str(tmp_path))
