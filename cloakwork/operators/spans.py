@@ -197,7 +197,14 @@ def merge_spans(spans: Column) -> Column:
 
 
 def find_spans(text: Column) -> Column:
-    """Merged spans of a text; see the module for the cases that are one UNKNOWN span."""
+    """Merged spans of a text; see the module for the cases that are one UNKNOWN span.
+
+    The text is bound once, as what it is made of would else be repeated for each use of it by each detector.
+    """
+    return let(text, _spans_of)
+
+
+def _spans_of(text: Column) -> Column:
     everything = F.array(_span(F.lit(0), F.coalesce(F.length(text), F.lit(0)), F.lit("UNKNOWN")))
     found = let(candidates(text), lambda c: F.when(F.size(c) > MAX_CANDIDATES, everything).otherwise(merge_spans(c)))
     return F.when(text.isNull() | (utf16_units(text) > MAX_UNITS), everything).otherwise(found)
