@@ -166,12 +166,15 @@ def migrate_proof(proof: Column, old: str, new: str) -> Column:
     )
 
 
-def metric_sample(rows: DataFrame, numbers: list[str], most: float = 3_600_000) -> DataFrame:
-    """Samples with numbers rounded and unknown names as ``unknown``; ``valid`` is false for numbers out of range."""
+def metric_sample(rows: DataFrame, numbers: list[str], most: float = 3_600_000, unbounded: tuple[str, ...] = ()) -> DataFrame:
+    """Samples with numbers rounded and unknown names as ``unknown``; ``valid`` is false for numbers out of range.
+
+    Numbers named as unbounded, such as those made from ids, may be any that are finite and not negative.
+    """
     ok = F.lit(True)
     for c in numbers:
         v = F.col(c).cast("double")
-        ok &= F.col(c).isNull() | (finite(v) & v.between(0, most))
+        ok &= F.col(c).isNull() | (finite(v) & (v >= 0 if c in unbounded else v.between(0, most)))
     return rows.withColumns(
         {
             "valid": ok, **{c: half_up(F.col(c).cast("double")).cast("long") for c in numbers},
