@@ -193,9 +193,13 @@ def metric_projection(rows: DataFrame, numbers: list[str], most: float = 3_600_0
     )
 
 
-def visual_audit(proof: Column) -> Column:
-    """The allowed part of a proof; null unless it says that it is sanitised and nothing raw was sent."""
-    count = lambda c: F.when(proof[c].between(0, 3_000_000), half_up(proof[c].cast("double")).cast("long"))
+def visual_audit(proof: Column, most: float = 3_000_000, unbounded: tuple[str, ...] = ()) -> Column:
+    """The allowed part of a proof; null unless it says that it is sanitised and nothing raw was sent.
+
+    Counts out of range become null; those named as unbounded, such as ones made from ids, have no upper limit.
+    """
+    fits = lambda c: (proof[c] >= 0) if c in unbounded else proof[c].between(0, most)
+    count = lambda c: F.when(fits(c), half_up(proof[c].cast("double")).cast("long"))
     ok = proof["sanitized"] & ~proof["raw_sent"]
     return F.when(ok, F.struct(*[count(c).alias(c) for c in ("boxes", "faces", "bytes")], F.when(proof["sha256"].rlike("(?i)^[a-f0-9]{64}$"), proof["sha256"]).alias("sha256")))
 

@@ -33,3 +33,8 @@ def same_as_sql(spark, folder: Path, name: str, **tables: str) -> list[tuple]:
 
 def test_samples_with_steps_beyond_the_limit_of_latencies(spark, tmp_path):
     assert same_as_sql(spark, tmp_path, "b09_sample", events="SELECT * REPLACE (event_id + 3600000 - 500 AS event_id) FROM events")
+
+
+def test_audits_with_counts_beyond_the_limit_of_bytes(spark, tmp_path):
+    orders = "SELECT * REPLACE (o_orderkey + 3000000 - 700 AS o_orderkey, o_custkey + 3000000 - 70 AS o_custkey) FROM orders"
+    assert same_as_sql(spark, tmp_path, "b10_audit", orders=orders)
