@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import java
 from ..functions.text import one_spaced
 from .rules import domain_label, words
-from .spans import is_clean
+from .spans import is_clean, redact
 
 # Forms of keys, references, product titles and addresses.
 STORE_HOST = "amazon.in"
@@ -185,8 +185,11 @@ def rank_websites(results: DataFrame, links: DataFrame, group: list[str], destin
     return best.select(*group, "b.*")
 
 
-def rank_results(results: DataFrame, links: DataFrame, group: list[str]) -> DataFrame:
-    """The first organic, safe result of each group whose address is exactly the observed link."""
+def rank_results(results: DataFrame, links: DataFrame, group: list[str], redacted: bool = False) -> DataFrame:
+    """The first organic, safe result of each group whose address is exactly the observed link.
+
+    A result with private spans in its title is left out or, if ``redacted``, given without them.
+    """
     r, o = results.alias("r"), links.filter((F.col("tag") == "a") & ~F.col("disabled")).alias("o")
     on = F.col("r.ref") == F.col("o.ref")
     for g in group:
@@ -196,9 +199,10 @@ def rank_results(results: DataFrame, links: DataFrame, group: list[str]) -> Data
         ~F.col("r.ad") & F.col("r.ref").rlike(r"^c\d+$") & (F.col("r.href") == F.col("o.href")) & (url_part(F.col("r.href"), "PROTOCOL") == "https")
         & url_part(F.col("r.href"), "QUERY").isNull() & url_part(F.col("r.href"), "REF").isNull() & url_part(F.col("r.href"), "USERINFO").isNull()
         & ~url_part(F.col("r.href"), "AUTHORITY").contains(":") & ~host.rlike(r"(?i)^(?:www\.)?google\.") & ~host.rlike(java(PRIVATE_HOST, True))
-        & host.rlike(java(PUBLIC_HOST, True)) & is_clean(F.col("r.title")) & is_clean(F.col("r.href"))
+        & host.rlike(java(PUBLIC_HOST, True)) & is_clean(F.col("r.href"))
     )
-    fit = r.join(o, on).filter(F.coalesce(ok, F.lit(False))).select(*[F.col(f"r.{g}").alias(g) for g in group], "r.ref", host.alias("host"), "r.title", "r.href", "r.place")
+    ok, title = (ok, redact(F.col("r.title"))) if redacted else (ok & is_clean(F.col("r.title")), F.col("r.title"))
+    fit = r.join(o, on).filter(F.coalesce(ok, F.lit(False))).select(*[F.col(f"r.{g}").alias(g) for g in group], "r.ref", host.alias("host"), title.alias("title"), "r.href", "r.place")
     return fit.groupBy(*group).agg(F.min_by(F.struct("ref", "host", "title", "href"), "place").alias("b")).select(*group, "b.*")
 
 

@@ -38,3 +38,8 @@ def test_samples_with_steps_beyond_the_limit_of_latencies(spark, tmp_path):
 def test_audits_with_counts_beyond_the_limit_of_bytes(spark, tmp_path):
     orders = "SELECT * REPLACE (o_orderkey + 3000000 - 700 AS o_orderkey, o_custkey + 3000000 - 70 AS o_custkey) FROM orders"
     assert same_as_sql(spark, tmp_path, "b10_audit", orders=orders)
+
+
+def test_results_with_private_titles(spark, tmp_path):
+    pages = "SELECT * REPLACE ('<title>token = &quot;2abc3ff2ca8fb1e4c565a0eb&quot;</title>' AS html) FROM pages"
+    assert same_as_sql(spark, tmp_path, "d12_results", pages=pages)
