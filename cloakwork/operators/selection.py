@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import java
 from ..functions.text import one_spaced
+from ..sources.tables import PART_BYTES, stored_bytes, written_once
 from .rules import domain_label, words
 from .spans import is_clean, redact
 
@@ -206,8 +207,29 @@ def rank_results(results: DataFrame, links: DataFrame, group: list[str], redacte
     return fit.groupBy(*group).agg(F.min_by(F.struct("ref", "host", "title", "href"), "place").alias("b")).select(*group, "b.*")
 
 
-def rank_videos(links: DataFrame, group: list[str], query: Column) -> DataFrame:
-    """Links whose titles hold all keywords of the query, with a rank: ten a keyword, ten for the phrase, less for other formats."""
+def rank_in_parts(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``rank`` in their group, for groups of any size; the order is a list of columns, ascending.
+
+    The rows are dealt by ranges of the order and written once, so that a part's rows of a group are ranked by themselves and
+    follow the counts of the parts before.  Of a group only one count a part is in one task.
+    """
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-stored_bytes(rows) // PART_BYTES))
+    parts = written_once(rows.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    named = counts.select(*[F.col(g).alias(f"_of_{g}") for g in group], F.col("_part").alias("_of_part"), "_before")
+    same = F.col("_part") == F.col("_of_part")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    within = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
+    return parts.withColumn("_within", within).join(named, same).withColumn("rank", F.col("_before") + F.col("_within")).select(*rows.columns, "rank")
+
+
+def rank_videos(links: DataFrame, group: list[str], query: Column, large: bool = False) -> DataFrame:
+    """Links whose titles hold all keywords of the query, with a rank: ten a keyword, ten for the phrase, less for other formats.
+
+    ``large`` is for groups that are more than one task should sort.
+    """
     keywords = F.array_distinct(F.filter(words(query), lambda w: ~w.isin(VIDEO_STOP_WORDS)))
     title = F.lower(F.col("name"))
     hits = F.size(F.array_intersect(keywords, F.array_distinct(words(title))))
@@ -215,6 +237,8 @@ def rank_videos(links: DataFrame, group: list[str], query: Column) -> DataFrame:
     score = hits * 10 + F.when(title.contains(F.lower(query)), 10).otherwise(0) - penalty
     fit = links.filter((F.col("tag") == "a") & F.col("href").rlike(r"/watch(?![A-Za-z0-9_])") & (F.trim("name") != "") & ~F.col("disabled"))
     fit = fit.withColumn("score", score).filter((F.size(keywords) == 0) | (hits == F.size(keywords)))
+    if large:
+        return rank_in_parts(fit.withColumn("_last", -F.col("score")), group, ["_last", "place"]).drop("_last")
     return fit.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "place")))
 
 

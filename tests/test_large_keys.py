@@ -7,6 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from cloakwork.operators.selection import rank_in_parts
 from cloakwork.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,14 @@ def test_audits_with_counts_beyond_the_limit_of_bytes(spark, tmp_path):
 def test_results_with_private_titles(spark, tmp_path):
     pages = "SELECT * REPLACE ('<title>token = &quot;2abc3ff2ca8fb1e4c565a0eb&quot;</title>' AS html) FROM pages"
     assert same_as_sql(spark, tmp_path, "d12_results", pages=pages)
+
+
+def test_videos_are_ranked_over_all_pages(spark, tmp_path):
+    rows = same_as_sql(spark, tmp_path, "d13_videos", pages="SELECT p.* REPLACE (page_id + 50 * i AS page_id) FROM pages p, range(5) r(i)")
+    assert sorted(int(r[2]) for r in rows) == list(range(1, len(rows) + 1))
+
+
+def test_ranks_in_parts_of_groups_with_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(g, (i * 7) % 10, i) for g in ("a", "b", None) for i in range(40)], "g string, k int, place int")
+    for r in rank_in_parts(rows, ["g"], ["k", "place"]).collect():
+        assert r["rank"] == 1 + sorted((i * 7 % 10, i) for i in range(40)).index((r["k"], r["place"]))
