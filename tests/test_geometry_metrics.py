@@ -174,3 +174,23 @@ def test_uneven_rows_and_runs_as_mirrored(spark):
     for r in rows.select("i", g.group_rows(F.col("w")).alias("rows"), g.runs_of(F.col("w")).alias("runs")).collect():
         assert [(x.top, x.bottom, [w.text for w in x.words]) for x in r.rows] == _rows_mirror(pages[r.i])
         assert [[w.text for w in run] for run in r.runs] == _runs_mirror(pages[r.i])
+
+
+def test_pixels_of_many_boxes_without_a_row_for_each_pixel(spark):
+    """Boxes that overlap, leave the grid, repeat or have no area, held against painted grids; a grid far too large to paint."""
+    dealer = random.Random(5)
+    sides = [[(p, dealer.randint(-8, 40) / 2, dealer.randint(-8, 30) / 2, dealer.randint(0, 30) / 2, dealer.randint(0, 20) / 2) for p in (1, 2, 3) for _ in range(n)] for n in (7, 5)]
+    frames = [spark.createDataFrame([(p, (x, y, w, h)) for p, x, y, w, h in side], "page long, box struct<x:double,y:double,width:double,height:double>") for side in sides]
+
+    def painted(side: list[tuple], page: int) -> set:
+        spots = set()
+        for p, x, y, w, h in side:
+            if p == page:
+                spots |= {(i, j) for i in range(max(0, math.floor(x)), min(18, math.ceil(x + w))) for j in range(max(0, math.floor(y)), min(12, math.ceil(y + h)))}
+        return spots
+
+    got = {r["page"]: (r["expected"], r["redacted"], r["both"]) for r in m.mask_overlap(*frames, "page", 18, 12).collect()}
+    both = {p: (painted(sides[0], p), painted(sides[1], p)) for p in (1, 2, 3)}
+    assert got == {p: (len(a), len(b), len(a & b)) for p, (a, b) in both.items() if a or b}
+    large = spark.createDataFrame([(1, (0.0, 0.0, 90000.0, 80000.0))], frames[0].schema)
+    assert m.mask_overlap(large, large, "page", 100_000, 100_000).collect() == [(1, 7_200_000_000, 7_200_000_000, 7_200_000_000)]
