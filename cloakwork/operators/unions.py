@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import dealt
+
 _SIDES = ("x1", "y1", "x2", "y2")
 
 
@@ -64,10 +66,10 @@ def _islands(rows: DataFrame, within: list[str], low: str, high: str, name: str)
 def unite_boxes(rows: DataFrame, page: str) -> DataFrame:
     """(page, x1, y1, x2, y2) of the united boxes of each page; boxes that lack a side or have no area are left out.
 
-    A page's boxes are shuffled once and sorted; a task holds the boxes of one island, 32 bytes each.
+    A page's boxes are shuffled once, to partitions whose number grows with the input, and sorted; a task holds the boxes of one island, 32 bytes each.
     """
     boxes = rows.select(F.col(page).alias("_page"), *[F.col(s).cast("double").alias(s) for s in _SIDES])
-    boxes = boxes.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    boxes = dealt(boxes.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))), "_page")
     keys = ["_page"]
     for n, (low, high) in enumerate((("x1", "x2"), ("y1", "y2"), ("x1", "x2"))):
         boxes = _islands(boxes, keys, low, high, f"_in{n}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 import duckdb
@@ -9,6 +10,7 @@ import pytest
 
 from cloakwork.operators.selection import rank_in_parts
 from cloakwork.plans.catalog import ORACLE, QUERIES
+from cloakwork.sources.tables import dealt, stored_bytes
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
@@ -55,3 +57,19 @@ def test_ranks_in_parts_of_groups_with_ties_and_nulls(spark):
     rows = spark.createDataFrame([(g, (i * 7) % 10, i) for g in ("a", "b", None) for i in range(40)], "g string, k int, place int")
     for r in rank_in_parts(rows, ["g"], ["k", "place"]).collect():
         assert r["rank"] == 1 + sorted((i * 7 % 10, i) for i in range(40)).index((r["k"], r["place"]))
+
+
+def test_partitions_grow_with_the_input(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    size = Path(f"{SF}/lineitem.parquet").stat().st_size
+    assert stored_bytes(lines.select("l_orderkey")) == size
+    assert dealt(lines, "l_orderkey", part=size // 40).rdd.getNumPartitions() >= 40
+    assert dealt(lines, "l_orderkey").rdd.getNumPartitions() == max(4, spark.sparkContext.defaultParallelism)
+
+
+@pytest.mark.parametrize("name", ["c16_united", "c19_outside"])
+def test_windows_of_pages_are_dealt_by_the_size_of_the_input(spark, name, monkeypatch):
+    monkeypatch.setattr(dealt, "__kwdefaults__", {"part": 4096})
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    assert int(re.search(r"hashpartitioning\([^()]*, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= Path(f"{SF}/lineitem.parquet").stat().st_size // 4096
