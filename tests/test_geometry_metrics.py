@@ -194,3 +194,14 @@ def test_pixels_of_many_boxes_without_a_row_for_each_pixel(spark):
     assert got == {p: (len(a), len(b), len(a & b)) for p, (a, b) in both.items() if a or b}
     large = spark.createDataFrame([(1, (0.0, 0.0, 90000.0, 80000.0))], frames[0].schema)
     assert m.mask_overlap(large, large, "page", 100_000, 100_000).collect() == [(1, 7_200_000_000, 7_200_000_000, 7_200_000_000)]
+
+
+def test_matching_condition_is_short_and_skips_boxes_that_are_not_finite(spark):
+    """What is compared for each pair of a page stays a few comparisons of columns made before the join."""
+    box = "page long, index int, tag string, box struct<x:double,y:double,width:double,height:double>"
+    truth = spark.createDataFrame([(1, 1, "a", (0.0, 0.0, 10.0, 10.0)), (1, 2, "b", (0.0, 0.0, float("inf"), 10.0)), (1, 3, "a", (0.0, 0.0, 0.0, 10.0)), (2, 1, "a", (5.0, 5.0, 4.0, 4.0))], box)
+    seen = spark.createDataFrame([(1, 1, "b", (0.0, 0.0, 10.0, 8.0)), (1, 2, "b", (float("nan"), 0.0, 10.0, 10.0)), (3, 1, "a", (5.0, 5.0, 4.0, 4.0))], box)
+    done = m.match_boxes(truth, seen, "page", 0.5, False)
+    assert sorted(done.collect()) == [(1, 1, 1, 2, 0.8), (2, 0, 0, 1, None), (3, 0, 1, 0, None)]
+    join = next(x for x in done._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+    assert len(join) < 1500 and "isnan" not in join.lower()
