@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import java
-from ..functions.text import one_spaced
+from ..functions.text import let, one_spaced, with_once
 from ..sources.tables import PART_BYTES, stored_bytes, written_once
 from .rules import domain_label, words
 from .spans import is_clean, redact
@@ -31,9 +31,10 @@ def url_part(url: Column, part: str) -> Column:
 
 def canonical_url(url: Column, key: Column, host: str = STORE_HOST) -> Column:
     """The canonical product address if the address is the store's, over https, without credentials, and for the key; else ''."""
+    # An address that can be parsed at all has its scheme before the first colon, and credentials only if an @ is in its authority.
     named = F.regexp_replace(F.lower(url_part(url, "HOST")), r"^www\.", "")
     found = F.upper(F.regexp_extract(F.coalesce(url_part(url, "PATH"), F.lit("")), r"(?i)/(?:dp|gp/product)/([A-Z0-9]{10})(?:/|$)", 1))
-    ok = (F.lower(url_part(url, "PROTOCOL")) == "https") & (named == host) & url_part(url, "USERINFO").isNull() & (found != "") & (found == key)
+    ok = F.lower(url).startswith("https:") & ~url.rlike("^[^/?#]*//[^/?#]*@") & (named == host) & (found != "") & (found == key)
     return F.when(F.coalesce(ok, F.lit(False)), F.concat(F.lit(f"https://www.{host}/dp/"), found)).otherwise(F.lit(""))
 
 
@@ -81,7 +82,7 @@ def select_candidates(rows: DataFrame, limit: Column, group: list[str] | None =
     ``rank`` orders them by price, confidence and position, missing positions last.
     """
     group = group or []
-    good = rows.withColumn("_reason", rejection(limit)).filter("_reason is null").drop("_reason")
+    good = with_once(rows, "_reason", rejection(limit)).filter("_reason is null").drop("_reason")
     best = good.groupBy(*group, "key").agg(
         F.max_by(F.struct(*[c for c in rows.columns if c not in (*group, "key")]), F.struct("confidence", F.length("title"), -F.col("place"))).alias("b")
     )
@@ -91,7 +92,7 @@ def select_candidates(rows: DataFrame, limit: Column, group: list[str] | None =
 
 
 def rejection_counts(rows: DataFrame, limit: Column, group: list[str]) -> DataFrame:
-    return rows.withColumn("reason", rejection(limit)).filter("reason is not null").groupBy(*group, "reason").agg(F.count(F.lit(1)).alias("n"))
+    return with_once(rows, "reason", rejection(limit)).filter("reason is not null").groupBy(*group, "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def diagnostics(rows: DataFrame, limit: Column, group: list[str]) -> DataFrame:
@@ -104,16 +105,19 @@ def diagnostics(rows: DataFrame, limit: Column, group: list[str]) -> DataFrame:
 
 def verify_detail(expected_key: Column, expected_title: Column, key: Column, title: Column, url: Column, price: Column, limit: Column) -> Column:
     """Why a final product page isn't the one that was chosen, or that it is."""
-    k, t = F.upper(F.coalesce(key, F.lit(""))), one_spaced(F.coalesce(title, F.lit("")))
+    k = F.upper(F.coalesce(key, F.lit("")))
     wanted = F.slice(F.regexp_extract_all(F.lower(F.coalesce(expected_title, F.lit(""))), F.lit("[a-z0-9]{3,}"), F.lit(0)), 1, 4)
     price_ok = price.isNotNull() & ~F.isnan(price) & (price > 0) & (price <= limit)
+    by_title = lambda t: (
+        F.when(~is_laptop_title(t), "final-product-type-mismatch")
+        .when(~F.coalesce(price_ok, F.lit(False)), "final-price-mismatch")
+        .when((F.size(wanted) > 0) & ~let(F.lower(t), lambda low: F.exists(wanted, lambda w: low.contains(w))), "final-title-mismatch")
+        .otherwise("key-title-price-product-verified")
+    )
     return (
         F.when(k != F.upper(F.coalesce(expected_key, F.lit(""))), "final-key-mismatch")
         .when(canonical_url(url, k) == "", "final-url-mismatch")
-        .when(~is_laptop_title(t), "final-product-type-mismatch")
-        .when(~F.coalesce(price_ok, F.lit(False)), "final-price-mismatch")
-        .when((F.size(wanted) > 0) & ~F.exists(wanted, lambda w: F.lower(t).contains(w)), "final-title-mismatch")
-        .otherwise("key-title-price-product-verified")
+        .otherwise(let(one_spaced(F.coalesce(title, F.lit(""))), by_title))
     )
 
 

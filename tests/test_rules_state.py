@@ -152,3 +152,15 @@ def test_rate_limit_of_a_key_with_a_million_events(spark):
     assert tuple(got) == (1_000_000, allowed, wait)
     others = {r.id: (r.allowed, r.remaining, r.retry_after_ms) for r in rows.filter("k IS NULL OR k = 'a'").collect()}
     assert others == {-1: (True, 2, None), -2: (True, 1, 99), -3: (True, 2, None)}
+
+
+def test_costly_columns_are_evaluated_once_for_each_candidate(spark):
+    """A filter on the reason isn't pushed below what it is made of, and an address is parsed for its host and path alone."""
+    kind = "key string, title string, price double, currency string, rating double, rating_count double, url string, sponsored boolean, position int, confidence double, ref string, availability string, grp int, place int"
+    urls = ["https://www.amazon.in/dp/K000000001", "https://u:p@amazon.in/dp/K000000001", "https://@amazon.in/dp/K000000001", "HTTPS://amazon.in:443/dp/K000000001?q=a@b", "http://amazon.in/dp/K000000001", "https://amazon.in /dp/K000000001"]
+    rows = s.normalise_candidates(spark.createDataFrame([("K000000001", "Acer laptop 8 GB", 5.0, "INR", 4.0, 2.0, u, False, 1, 0.9, "c1", "", 1, i) for i, u in enumerate(urls)], kind))
+    assert [r["url"] != "" for r in rows.orderBy("place").collect()] == [True, False, False, True, False, False]
+    counted = s.rejection_counts(rows, F.lit(10.0), ["grp"])
+    assert counted.collect() == [(1, "identity", 4)]
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_url") + plan.count("parse_url") <= 4 and "Generate" in plan
