@@ -63,15 +63,19 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     arrays = [F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole")]
     arrays += [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)]
     fields = ["whole", *[f"g{g}" for g in range(1, groups + 1)]]
-    kind = ",".join(["start:int", *[f"{f}:string" for f in fields]])
-    first = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<struct<{kind}>>)").alias("found"))
+    # Only numbers are carried along: a fold copies what it carries at each step, and texts are added to their places afterwards.
+    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        one = F.struct(start.cast("int").alias("start"), *[x[f].alias(f) for f in fields])
+        start = (acc["at"] + F.length(x["gap"])).cast("int")
         return F.when(
             x["whole"].isNotNull(),
-            F.struct((start + F.length(x["whole"])).cast("int").alias("at"), F.concat(acc["found"], F.array(one)).alias("found")),
+            F.struct((start + F.length(x["whole"])).cast("int").alias("at"), F.concat(acc["starts"], F.array(start)).alias("starts")),
         ).otherwise(acc)
 
-    return F.aggregate(F.arrays_zip(*arrays), first, step, lambda acc: acc["found"])
+    def placed(zipped: Column) -> Column:
+        starts = F.aggregate(zipped, first, step, lambda acc: acc["starts"])
+        whole = F.filter(zipped, lambda x: x["whole"].isNotNull())
+        return F.zip_with(starts, whole, lambda s, x: F.struct(s.alias("start"), *[x[f].alias(f) for f in fields]))
+
+    return let(F.arrays_zip(*arrays), placed)

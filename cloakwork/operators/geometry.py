@@ -71,7 +71,7 @@ def suppress(boxes: Column, threshold: float = 0.3, limit: int = 30, inclusive:
 
     A box stays if its overlap with every box kept so far is at most the threshold, up to the limit.
     """
-    keyed = F.array_sort(F.transform(boxes, lambda b, i: F.struct((-b["score"]).alias("k"), i.alias("i"), b.alias("b"))))
+    keyed = F.sort_array(F.transform(boxes, lambda b, i: F.struct((-b["score"]).alias("k"), i.alias("i"), b.alias("b"))))
     empty = F.filter(F.transform(keyed, lambda x: x["b"]), lambda b: F.lit(False))
     step = lambda kept, x: F.when(
         (F.size(kept) < limit) & ~F.exists(kept, lambda k: iou(k, x["b"]) > threshold), F.concat(kept, F.array(x["b"]))
@@ -183,7 +183,7 @@ def group_rows(words: Column) -> Column:
     height and whose centre is within 60 per cent of the greater height.
     """
     mid = lambda w: w["box"]["y1"] + w["box"]["y2"]
-    keyed = F.array_sort(F.transform(words, lambda w, i: F.struct(mid(w).alias("m"), w["box"]["x1"].alias("x"), i.alias("i"), w.alias("w"))))
+    keyed = F.sort_array(F.transform(words, lambda w, i: F.struct(mid(w).alias("m"), w["box"]["x1"].alias("x"), i.alias("i"), w.alias("w"))))
     row_type = "struct<top:double,bottom:double,centre:double,words:array<struct<x1:double,y1:double,i:int,word:struct<text:string,confidence:double,box:" + CORNERS + ">>>>"
 
     def entry(x: Column) -> Column:
@@ -213,7 +213,7 @@ def group_rows(words: Column) -> Column:
         rows,
         lambda r: F.struct(
             r["top"].alias("top"), r["bottom"].alias("bottom"), r["centre"].alias("centre"),
-            F.transform(F.array_sort(r["words"]), lambda e: e["word"]).alias("words"),
+            F.transform(F.sort_array(r["words"]), lambda e: e["word"]).alias("words"),
         ),
     )
 
