@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .patterns import java
 
 SPAN = "array<struct<start:int,end:int,kind:string>>"
+#: A character that texts hardly have; where one has it, it isn't used.
+_MARK = "\x01"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -59,8 +61,11 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     """array<struct<start, whole, g1, ...>> of all matches, starts in code points from 0.
 
     The text between matches gives the places: a match begins where all gaps and matches before it end.
+    Matches aren't empty.
     """
-    arrays = [F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole")]
+    # split() compiles its pattern for every row, unless it is a single character.
+    marked = F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1)
+    arrays = [F.when(text.contains(_MARK), F.split(text, pattern, -1)).otherwise(marked).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole")]
     arrays += [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)]
     fields = ["whole", *[f"g{g}" for g in range(1, groups + 1)]]
     # Only numbers are carried along: a fold copies what it carries at each step, and texts are added to their places afterwards.

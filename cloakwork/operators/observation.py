@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import one_spaced, with_once
+from ..functions.text import SPAN, one_spaced, with_once
 from .rules import field_kind, fnv1a
 from .spans import find_spans, normalise_kind, splice
 
@@ -44,7 +44,7 @@ def observe(nodes: DataFrame, is_control: Column) -> DataFrame:
     said = F.array_join(F.filter(F.array(given("aria-label"), given("title"), given("alt"), given("placeholder"), F.col("text")), lambda x: x != ""), " ")
     shown = F.when(F.col("_control"), F.substr(one_spaced(said), F.lit(1), F.lit(NAME))).when(F.col("_region"), F.col("text")).otherwise("")
     rows = rows.withColumns({"_field": F.when(F.col("_control"), field_kind(hint, given("type"), F.col("tag"), private)).otherwise(""), "_said": shown})
-    rows = with_once(rows, "_found", find_spans(F.col("_said")))
+    rows = with_once(rows, "_found", F.when(F.col("_said") != "", find_spans(F.col("_said"))).otherwise(F.expr(f"cast(array() as {SPAN})")))
     kind = F.coalesce(normalise_kind(F.col("_field")), F.lit("CREDENTIAL"))
     name = F.when(F.col("_field") != "", F.concat(F.lit("[REDACTED_"), kind, F.lit("]"))).otherwise(_marked(F.col("_said"), F.col("_found")))
     kinds = F.when(F.col("_field") != "", F.array(kind)).otherwise(F.transform("_found", lambda s: s["kind"]))

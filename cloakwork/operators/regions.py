@@ -5,32 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import with_once
+from ..sources.tables import PAGE_PART, dealt
 from .spans import scan_text
 
 # Budgets of a page, elements whose whole block is masked for an address, the largest share of the view it may have.
 MAX_VISITED, MAX_INSPECTED, MAX_REGIONS = 20_000, 1_600, 160
 BLOCKS = ("p", "li", "dd", "address")
 LARGEST_BLOCK = 0.25
-#: Code points of a bucket in which spans and runs of a text meet.
-BUCKET = 64
-
 _BOX = ("x", "y", "width", "height")
 
 
-def _buckets(start: Column, end: Column) -> Column:
-    """The buckets of offsets that start to end touches."""
-    return F.sequence(F.floor(start / BUCKET).cast("int"), F.floor(F.greatest(start, end - 1) / BUCKET).cast("int"))
-
-
-def _cut(whole: str, part: str) -> dict[str, Column]:
-    """A run's box, cut to the span's offsets in proportion."""
-    size = F.col(f"{whole}.end") - F.col(f"{whole}.start")
-    low = F.greatest(F.col(f"{part}.start"), F.col(f"{whole}.start")) - F.col(f"{whole}.start")
-    high = F.least(F.col(f"{part}.end"), F.col(f"{whole}.end")) - F.col(f"{whole}.start")
-    return {
-        "x": F.col(f"{whole}.x") + F.col(f"{whole}.width") * low / size, "y": F.col(f"{whole}.y"),
-        "width": F.col(f"{whole}.width") * (high - low) / size, "height": F.col(f"{whole}.height"),
-    }
+def _cut(run: Column, start: Column, end: Column) -> Column:
+    """A run's box, cut to the offsets in proportion."""
+    size = run["end"] - run["start"]
+    low, high = F.greatest(start, run["start"]) - run["start"], F.least(end, run["end"]) - run["start"]
+    return F.struct((run["x"] + run["width"] * low / size).alias("x"), run["y"].alias("y"), (run["width"] * (high - low) / size).alias("width"), run["height"].alias("height"))
 
 
 def inspected_texts(nodes: DataFrame) -> DataFrame:
@@ -57,40 +47,47 @@ def text_regions(nodes: DataFrame, runs: DataFrame, view_width: float, view_heig
     without a box the node's block, and a page that exceeds a budget or leaves a span without any box has one row, of kind BLOCKED.
     """
     runs = runs.filter(F.col("end") > F.col("start"))
-    right, bottom = F.max(F.col("x") + F.col("width")), F.max(F.col("y") + F.col("height"))
-    blocks = runs.groupBy("page_id", "node").agg(F.min("x").alias("x"), F.min("y").alias("y"), right.alias("r"), bottom.alias("b"))
-    blocks = blocks.select("page_id", "node", F.struct("x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("b") - F.col("y")).alias("height")).alias("block"))
     texts = inspected_texts(nodes)
-    found = texts.filter("not over").withColumn("s", F.explode(scan_text(F.col("text"))))
-    ends = F.struct(F.col("s.index").alias("start"), (F.col("s.index") + F.col("s.length")).alias("end"))
-    spans = found.select("page_id", "scope_place", "scope", "node", "tag", "place", F.upper("s.kind").alias("kind"), ends.alias("s"))
-    whole = F.lit(strict) & (F.col("kind") == "ADDRESS") & F.col("tag").isin(*BLOCKS)
-    spans = spans.join(blocks, ["page_id", "node"], "left").withColumn("whole", whole)
-
-    left = spans.filter(~F.col("whole")).withColumn("bucket", F.explode(_buckets(F.col("s.start"), F.col("s.end"))))
-    boxes = runs.select("page_id", "place", F.struct("start", "end", *_BOX).alias("run")).withColumn("bucket", F.explode(_buckets(F.col("run.start"), F.col("run.end"))))
-    meet = (F.col("s.start") < F.col("run.end")) & (F.col("run.start") < F.col("s.end"))
-    once = F.col("bucket") == F.floor(F.greatest("s.start", "run.start") / BUCKET)  # a pair meets in several buckets
-    cut = F.struct(*[v.alias(k) for k, v in _cut("run", "s").items()])
-    touched = left.join(boxes, ["page_id", "place", "bucket"]).filter(meet & once).withColumn("cut", cut).filter((F.col("cut.width") > 1) & (F.col("cut.height") > 1))
-    key = ["page_id", "scope_place", "place", "kind", "s"]
-    by_run = touched.select(*key, F.col("run.start").alias("run"), F.when(F.col("scope").contains("/frame"), F.col("block")).otherwise(F.col("cut")).alias("box"))
-    every = by_run.unionByName(spans.filter("whole").select(*key, F.lit(0).alias("run"), F.col("block").alias("box")))
-    if strict:
-        bare = spans.filter(~F.col("whole")).join(by_run.select(*key).distinct(), key, "left_anti")
-        every = every.unionByName(bare.select(*key, F.lit(0).alias("run"), F.col("block").alias("box")))
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("scope_place", "place", "s", "kind", "run"))
-    ranked = every.withColumn("n", place)
-    kept = ranked.filter(F.col("n") <= MAX_REGIONS)
+    found = F.transform(scan_text(F.col("text")), lambda s: F.struct(s["index"].alias("start"), (s["index"] + s["length"]).alias("end"), F.upper(s["kind"]).alias("kind")))
+    read = with_once(texts, "found", F.when(~F.col("over"), found)).filter("over or size(found) > 0")
+    text = F.struct("scope_place", "scope", "tag", "over", "found").alias("text")
+    run = F.struct("start", "end", *[F.col(c).cast("double").alias(c) for c in _BOX]).alias("run")
+    sides = read.select("page_id", "node", "place", text).unionByName(runs.select("page_id", "node", "place", run), allowMissingColumns=True)
+    # A text meets its own runs in one row; what a row holds is of one text, and all of a page is in one partition for what follows.
+    right, bottom = F.max(F.col("run.x") + F.col("run.width")), F.max(F.col("run.y") + F.col("run.height"))
+    met = dealt(sides, "page_id", part=PAGE_PART).groupBy("page_id", "node", "place").agg(
+        F.first("text", ignorenulls=True).alias("text"), F.collect_list("run").alias("runs"), F.min("run.x").alias("x"), F.min("run.y").alias("y"), right.alias("r"), bottom.alias("b"),
+    )
+    node = Window.partitionBy("page_id", "node")
+    sides_of = {"x": F.min("x").over(node), "y": F.min("y").over(node), "r": F.max("r").over(node), "b": F.max("b").over(node)}
+    met = met.withColumns(sides_of).filter("text is not null")
+    block = F.when(F.col("x").isNotNull(), F.struct("x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("b") - F.col("y")).alias("height")))
+    met = met.select("page_id", "place", "text", "runs", block.alias("block"))
+    entry = lambda s, run, box: F.struct(F.struct(s["start"].alias("start"), s["end"].alias("end")).alias("s"), s["kind"].alias("kind"), run.cast("long").alias("run"), box.alias("box"))
+
+    def boxes(s: Column) -> Column:
+        hit = F.filter("runs", lambda r: (s["start"] < r["end"]) & (r["start"] < s["end"]))
+        cuts = F.filter(F.transform(hit, lambda r: F.struct(r["start"].alias("run"), _cut(r, s["start"], s["end"]).alias("cut"))), lambda c: (c["cut"]["width"] > 1) & (c["cut"]["height"] > 1))
+        touched = F.transform(cuts, lambda c: entry(s, c["run"], F.when(F.col("text.scope").contains("/frame"), F.col("block")).otherwise(c["cut"])))
+        if not strict:
+            return touched
+        bare = F.array(entry(s, F.lit(0), F.col("block")))
+        return F.when((s["kind"] == "ADDRESS") & F.col("text.tag").isin(*BLOCKS) | (F.size(cuts) == 0), bare).otherwise(touched)
+
+    late = entry(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(None).cast("string").alias("kind")), F.lit(0), F.lit(None).cast("struct<x:double,y:double,width:double,height:double>"))
+    every = met.filter(F.lit(strict) | ~F.col("text.over")).select(
+        "page_id", "text.scope_place", "place", F.col("text.over").alias("over"), F.explode(F.when(F.col("text.over"), F.array(late)).otherwise(F.flatten(F.transform("text.found", boxes)))).alias("e"),
+    ).select("page_id", "scope_place", "place", "over", "e.*")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("over", "scope_place", "place", "s", "kind", "run"))
     if not strict:
-        return kept.select("page_id", *[F.col(f"box.{c}").alias(c) for c in _BOX], "kind")
+        return every.withColumn("n", place).filter(F.col("n") <= MAX_REGIONS).select("page_id", *[F.col(f"box.{c}").alias(c) for c in _BOX], "kind")
+    # A page over its budget has rows of its own here, so that one pass by page sees everything about it.
+    ranked = every.withColumn("n", F.when(F.col("over"), 0).otherwise(place))
     area = F.col("box.width") * F.col("box.height")
     is_block = (F.col("kind") == "ADDRESS") & (area > LARGEST_BLOCK * view_width * view_height)
-    bad = F.col("box").isNull() | (F.col("box.width") <= 0) | (F.col("box.height") <= 0) | is_block | (F.col("n") > MAX_REGIONS)
+    bad = F.col("over") | F.col("box").isNull() | (F.col("box.width") <= 0) | (F.col("box.height") <= 0) | is_block | (F.col("n") > MAX_REGIONS)
     over = Window.partitionBy("page_id")
-    # A page over its budget has a row of its own here, so that one pass by page sees everything about it.
-    late = texts.filter("over").select("page_id").distinct().select("page_id", F.lit(True).alias("bad"), F.lit(None).cast("string").alias("kind"), *[F.lit(None).cast("double").alias(c) for c in _BOX], F.lit(0).alias("n"))
-    rows = ranked.select("page_id", bad.alias("bad"), "kind", *[F.col(f"box.{c}").cast("double").alias(c) for c in _BOX], "n").unionByName(late)
+    rows = ranked.select("page_id", bad.alias("bad"), "kind", *[F.col(f"box.{c}").alias(c) for c in _BOX], "n")
     marked = rows.withColumns({"blocked": F.max("bad").over(over), "one": F.row_number().over(over.orderBy(F.desc("bad"), "n"))})
     shown = lambda c: F.when(~F.col("blocked"), F.col(c)).alias(c)
     return marked.filter(~F.col("blocked") | (F.col("one") == 1)).select("page_id", *[shown(c) for c in _BOX], F.when(F.col("blocked"), "BLOCKED").otherwise(F.col("kind")).alias("kind"))

@@ -190,13 +190,16 @@ def challenge(title: Column, text: Column, control: Column, captcha_control: Col
 
 def field_kind(hint: Column, kind: Column, tag: Column, private: Column) -> Column:
     """The kind of a form field from its attributes, '' if it isn't private; the first rule that holds."""
-    text = F.lower(F.coalesce(hint, F.lit("")))
-    found = F.when(F.coalesce(private, F.lit(False)), "secret").when(kind == "password", "password")
-    for n, (pattern, name) in enumerate(FIELD_RULES):
-        found = found.when(text.rlike(java(pattern)), name)
-        if n == 0:
-            found = found.when(kind == "email", "email")
-    return found.when(text.rlike(java(FIELD_FALLBACK)) & F.upper(tag).isin("INPUT", "TEXTAREA", "SELECT"), "secret").otherwise("")
+
+    def ruled(text: Column) -> Column:
+        found = F.when(F.coalesce(private, F.lit(False)), "secret").when(kind == "password", "password")
+        for n, (pattern, name) in enumerate(FIELD_RULES):
+            found = found.when(text.rlike(java(pattern)), name)
+            if n == 0:
+                found = found.when(kind == "email", "email")
+        return found.when(text.rlike(java(FIELD_FALLBACK)) & F.upper(tag).isin("INPUT", "TEXTAREA", "SELECT"), "secret").otherwise("")
+
+    return let(F.lower(F.coalesce(hint, F.lit(""))), ruled)
 
 
 def local_field_kind(hint: Column, kind: Column, other: Column, value_kind: Column) -> Column:
@@ -250,7 +253,8 @@ def lease_reason(a: Column, b: Column, dom_drift: bool = False, geometry_drift:
 
 def fnv1a(text: Column) -> Column:
     """FNV-1a, 32 bits, over the first UTF-16 unit of each character, as eight hexadecimal digits."""
-    unit = lambda c: let(F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long"), lambda v: F.when(F.length(F.hex(F.encode(c, "UTF-16BE"))) > 4, F.shiftright(v, 16)).otherwise(v))
+    # ascii() gives the code point; a character of two units is its first, the high surrogate.
+    unit = lambda c: let(F.ascii(c), lambda v: F.when(v > 0xFFFF, F.shiftright(v, 10) + 0xD7C0).otherwise(v)).cast("long")
     step = lambda h, c: (h.bitwiseXOR(unit(c)) * 16777619) % 4294967296
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     return F.lower(F.lpad(F.hex(F.aggregate(chars, F.lit(2166136261).cast("long"), step)), 8, "0"))

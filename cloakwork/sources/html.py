@@ -20,6 +20,7 @@ from ..functions.patterns import java
 from ..functions.text import one_spaced, with_once
 from ..operators.selection import STORE_HOST
 from ..operators.spans import is_clean, redact, scan_text
+from .tables import PAGE_PART, dealt
 
 # Elements that have no end tag, elements whose text isn't shown, frames, limits of a page, controls.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -176,9 +177,12 @@ def nodes(pages: DataFrame, marks: tuple[str, ...] = ()) -> DataFrame:
 
 
 def scoped(found: DataFrame, most: int = MAX_SCOPES) -> DataFrame:
-    """The elements of the first scopes of each page with ``scope_place``, from 1: level by level, in document order."""
+    """The elements of the first scopes of each page with ``scope_place``, from 1: level by level, in document order.
+
+    They are dealt by page, so that no further shuffle is needed for what is ranked or gathered in a page.
+    """
     place = F.dense_rank().over(Window.partitionBy("page_id").orderBy("level", "host"))
-    return found.filter("reached").withColumn("scope_place", place).filter(F.col("scope_place") <= most)
+    return dealt(found.filter("reached"), "page_id", part=PAGE_PART).withColumn("scope_place", place).filter(F.col("scope_place") <= most)
 
 
 def is_control() -> Column:

@@ -1,0 +1,34 @@
+"""What a task holds doesn't grow with the input: partitions do, and nothing is read or found twice."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import pytest
+
+from cloakwork.plans.catalog import QUERIES
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
+
+
+def _plan(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["a35_regions", "n02_observation"])
+def test_pages_are_dealt_by_their_number(spark, monkeypatch, name):
+    from cloakwork.operators import regions
+    from cloakwork.sources import html
+
+    for module in (html, regions):
+        monkeypatch.setattr(module, "PAGE_PART", 500)
+    plan = _plan(QUERIES[name](spark, SF))
+    bytes_ = Path(f"{SF}/customer.parquet").stat().st_size
+    assert "hashpartitioning(page_id#" in plan
+    numbers = [int(x.split(")")[0].rsplit(" ", 1)[1]) for x in plan.split("hashpartitioning(page_id#")[1:]]
+    assert min(numbers) >= bytes_ // 500  # as many as shuffle partitions before, joined by their size
+
+
+def test_pages_are_parsed_once_for_texts_and_once_for_boxes(spark):
+    assert _plan(QUERIES["a35_regions"](spark, SF)).count("MapInArrow") <= 2
