@@ -25,6 +25,12 @@ PRIVATE_HOST = r"^(?:localhost|.*\.(?:localhost|local|internal|test|invalid|exam
 PUBLIC_HOST = r"^[a-z0-9.-]+\.[a-z]{2,}$"
 
 
+# A word's bound beside a letter or digit of the pattern needs to look at one side only.
+_SPEC = "(?i)(?<![A-Za-z0-9_])" + java(SPECS.removeprefix(r"\b"))
+_LAPTOP_WORD = "(?i)l(?<![A-Za-z0-9_]l)aptops?(?![A-Za-z0-9_])"
+_OTHER_WORD = "(?i)[sab](?<![A-Za-z0-9_][sab])(?:(?<=s)(?:ponsored|leeve|tand)|(?<=a)ccessory|(?<=b)ag)(?![A-Za-z0-9_])"
+
+
 def url_part(url: Column, part: str) -> Column:
     return F.try_parse_url(url, F.lit(part))
 
@@ -128,17 +134,17 @@ def mined_candidates(links: DataFrame, limit: Column, page: str) -> DataFrame:
     """
     c = F.col
     text = F.trim(F.concat_ws("\n", F.coalesce(c("name"), F.lit("")), F.coalesce(c("group_text"), F.lit(""))))
-    base = links.withColumn("_text", text).withColumn("key", F.upper(F.regexp_extract(F.coalesce("href", F.lit("")), java(r"\/(?:dp|gp\/product)\/([A-Z0-9]{10})\b", True), 1)))
-    base = base.filter(
-        (c("tag") == "a") & ~c("disabled") & (c("key") != "") & c("_text").rlike(java(r"\blaptop(?:s)?\b", True))
-        & ~c("_text").rlike(java(r"\b(?:sponsored|accessory|bag|sleeve|stand)\b", True))
-    )
-    prices = F.transform(F.regexp_extract_all(c("_text"), F.lit(r"(?i)(?:₹|INR\s*)\s*([\d,]{3,})"), F.lit(1)), lambda p: F.replace(p, F.lit(","), F.lit("")).try_cast("double"))
-    base = base.withColumn("price", F.get(F.filter(prices, lambda p: (p > 5000) & (p <= limit)), F.lit(0))).filter("price is not null")
-    number = lambda p: F.coalesce(F.regexp_extract(c("_text"), p, 1).try_cast("double"), F.lit(0.0))
-    specs = F.slice(F.array_distinct(F.transform(F.regexp_extract_all(c("_text"), F.lit(java(SPECS, True)), F.lit(0)), one_spaced)), 1, 5)
+    key = F.upper(F.regexp_extract(F.coalesce("href", F.lit("")), java(r"\/(?:dp|gp\/product)\/([A-Z0-9]{10})\b", True), 1))
+    # Texts, keys, prices and what is kept are each evaluated once: filters and columns that use them don't make them again.
+    base = links.filter((c("tag") == "a") & ~c("disabled")).select(page, "place", "name", text.alias("_text"), key.alias("key"))
+    base = with_once(base, "_t", c("_text")).filter((c("key") != "") & c("_t").rlike(_LAPTOP_WORD) & ~c("_t").rlike(_OTHER_WORD))
+    prices = F.transform(F.regexp_extract_all(c("_t"), F.lit(r"(?i)(?:₹|INR\s*)\s*([\d,]{3,})"), F.lit(1)), lambda p: F.replace(p, F.lit(","), F.lit("")).try_cast("double"))
+    base = with_once(base, "price", F.get(F.filter(prices, lambda p: (p > 5000) & (p <= limit)), F.lit(0))).filter("price is not null")
+    number = lambda p: F.coalesce(F.regexp_extract(c("_t"), p, 1).try_cast("double"), F.lit(0.0))
+    specs = F.slice(F.array_distinct(F.transform(F.regexp_extract_all(c("_t"), F.lit(_SPEC), F.lit(0)), one_spaced)), 1, 5)
     score = number(r"(?i)([1-5](?:\.\d)?)\s+out of 5") * 100 + number(r"(?i)(\d{1,2})\s*GB\s*(?:RAM)?") * 3 + number(r"(?i)(\d{3,4})\s*GB\s*SSD") / 100
-    rows = base.select(page, "key", "place", F.substr(one_spaced(F.coalesce("name", F.lit(""))), F.lit(1), F.lit(180)).alias("title"), "price", specs.alias("specs"), score.alias("score"))
+    title = F.substr(one_spaced(F.coalesce("name", F.lit(""))), F.lit(1), F.lit(180))
+    rows = base.select(page, "key", "place", title.alias("title"), "price", specs.alias("specs"), score.alias("score"))
     folded = rows.groupBy(page, "key").agg(F.sort_array(F.collect_list(F.struct("place", "title", "price", "specs", "score"))).alias("all"))
     better = lambda a, b: (F.length(b["title"]) > F.length(a["title"])) | (F.size(b["specs"]) > F.size(a["specs"]))
     best = F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0], lambda a, b: F.when(better(a, b), b).otherwise(a))
