@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import java
 from ..functions.text import trimmed, with_once
-from ..sources.tables import written_once
+from ..sources.tables import PAGE_PART, parts_of, written_once
 from .rules import SITES, bare_host, explicit_url, on_site, query_parameter, search_terms, shopping_limit, site_name
 from .selection import rank_results, rank_videos, rank_websites
 from .spans import is_clean
@@ -148,7 +148,9 @@ def plan_steps(sessions: DataFrame, elements: DataFrame, results: DataFrame, his
     results (session, place, ref, title, href, ad).  A step that ends the task has type "finish" and its outcome as value: DONE, PLAYING,
     PARTIAL, or ASK where the user must say more.  For clicks on search results the value is the host that must be reached.
     """
-    read = written_once(read_commands(sessions))  # four joins take their columns from here
+    # Four joins take their columns from here, and all have as many partitions as the sessions are dealt to.
+    n = parts_of(sessions, PAGE_PART)
+    read = written_once(read_commands(sessions.repartition(n, "session"))).repartition(n, "session")
     ranked = rank_results(results, elements, ["session"]).select("session", F.struct("ref", "host").alias("result"))
     sought = results.join(read.select("session", F.col("open_name").alias("destination")).filter("destination is not null"), "session")
     sites = rank_websites(sought, elements, ["session"], "destination").groupBy("session").agg(F.count("*").alias("site_matches"), F.min(F.struct("host", "ref")).alias("site_match"))
