@@ -150,9 +150,11 @@ class Leases(StatefulProcessor):
         self.state = handle.getValueState("lease", "granted long, until long, used boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        lease = self.state.get() if self.state.exists() else None
+        # Plain tuples: a key has few rows, and a frame of its own takes longer than all that is done with them.
+        parts = [zip(part["t"].tolist(), part["event_id"].tolist(), part["ttl_ms"].tolist(), strict=True) for part in rows]
+        before = lease = self.state.get()
         timer, out = lease[1] if lease else None, []
-        for t, event, ttl in _sorted(rows)[["t", "event_id", "ttl_ms"]].itertuples(index=False):
+        for t, event, ttl in sorted((row for part in parts for row in part), key=lambda row: row[:2]):
             if lease and t >= lease[1]:
                 out.append((key[0], lease[0], lease[1], "expired"))
                 lease = None
@@ -171,18 +173,16 @@ class Leases(StatefulProcessor):
                 self.handle.registerTimer(until)
         if lease:
             self.state.update(lease)
-        else:
+        elif before:
             self.state.clear()
-        yield pd.DataFrame(out, columns=self.COLUMNS)
+        if out:
+            yield pd.DataFrame(out, columns=self.COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = []
-        if self.state.exists():
-            granted, until, _ = self.state.get()
-            if until <= expiredTimerInfo.getExpiryTimeInMs():
-                out.append((key[0], granted, until, "expired"))
-                self.state.clear()
-        yield pd.DataFrame(out, columns=self.COLUMNS)
+        lease = self.state.get()
+        if lease and lease[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+            yield pd.DataFrame([(key[0], lease[0], lease[1], "expired")], columns=self.COLUMNS)
 
     def close(self) -> None:
         pass
