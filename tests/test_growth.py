@@ -32,3 +32,91 @@ def test_pages_are_dealt_by_their_number(spark, monkeypatch, name):
 
 def test_pages_are_parsed_once_for_texts_and_once_for_boxes(spark):
     assert _plan(QUERIES["a35_regions"](spark, SF)).count("MapInArrow") <= 2
+
+
+def test_sessions_are_dealt_by_their_number(spark, monkeypatch):
+    from cloakwork.operators import planner
+
+    monkeypatch.setattr(planner, "PAGE_PART", 500)
+    frame = QUERIES["e07_steps"](spark, SF)
+    assert frame.rdd.getNumPartitions() >= Path(f"{SF}/customer.parquet").stat().st_size // 500
+
+
+def test_a_quantile_reads_no_group_whole(spark):
+    plan = _plan(QUERIES["f31_fields"](spark, SF))
+    assert "percentile" not in plan and "value#" in plan.split("hashpartitioning(")[-1]
+
+
+def test_quantiles_of_counted_values(spark):
+    from cloakwork.operators import metrics as m
+
+    rows = spark.createDataFrame([("a", float(v)) for v in (5, 1, 1, 2, 9, 0)] + [(None, 3.0), ("c", None)], "g string, v double")
+    got = {r.g: tuple(r)[1:] for r in m.timing_summary(rows, ["g"], "v").collect()}
+    assert got == {"a": (6, 3.0, 1.0, 9.0), None: (1, 3.0, 3.0, 3.0), "c": (0, None, None, None)}
+    near = spark.range(1, 2001).selectExpr("100 + id / 1000000 AS v")
+    assert tuple(m.timing_summary(near, [], "v", 6).first()) == (2000, 100.001001, 100.001, 100.0019)
+
+
+def test_mined_text_is_made_once(spark):
+    """Filters and columns that use a text don't make it again."""
+    plan = _plan(QUERIES["d08_mined"](spark, SF))
+    assert plan.count("out of 5, -1") <= 1 and plan.count("\\d,]{3,}") <= 1
+
+
+def test_words_of_mined_texts(spark):
+    from pyspark.sql import functions as F
+
+    from cloakwork.operators import selection as s
+
+    names = ["a laptop", "Laptops now", "laptopss", "xlaptop", "laptop_", "laptop bag", "laptop bags", "laptop abag", "LAPTOP SLEEVE", "laptop.stand", "understand laptop"]
+    links = spark.createDataFrame(list(enumerate(names)), "place int, name string").withColumns({
+        "page": F.lit(1), "tag": F.lit("a"), "disabled": F.lit(False), "href": F.concat(F.lit("/dp/B"), F.lpad(F.col("place").cast("string"), 9, "0")), "group_text": F.lit("INR 9,000 16 GB")})
+    got = s.mined_candidates(links, F.lit(60000.0), "page").collect()
+    assert {r.title for r in got} == {"a laptop", "Laptops now", "laptop bags", "laptop abag", "understand laptop"}
+    assert {(r.price, tuple(r.specs)) for r in got} == {(9000.0, ("16 GB",))}
+
+
+def test_places_around_the_mark(spark):
+    from pyspark.sql import functions as F
+
+    from cloakwork.functions.text import matches
+
+    rows = spark.createDataFrame([("a1b22",), ("1\x01a22",), ("33",), ("x",)], "t string").select(F.transform(matches(F.col("t"), "[0-9]+"), lambda m: m["start"]).alias("s"))
+    assert [r.s for r in rows.collect()] == [[1, 3], [0, 3], [0], []]
+
+
+def test_a_key_without_outcome_makes_no_frame():
+    import pandas as pd
+
+    from cloakwork.streaming.limits import Leases
+
+    class State:
+        asked, held = 0, None
+
+        def get(self):
+            self.asked += 1
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    class Handle:
+        timers: list = []
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    leases = Leases()
+    leases.handle, leases.state = Handle(), State()
+    assert list(leases.handleInputRows((1,), iter([pd.DataFrame({"t": [5], "event_id": [7], "ttl_ms": [10.0]})]), None)) == []
+    assert (leases.state.asked, leases.state.held, leases.handle.timers) == (1, (7, 15, False), [15])
+
+
+def test_a_detector_searches_once_before_it_takes_places(spark):
+    """Without a search a text with a hint costs a pass for each group and place."""
+    from pyspark.sql import functions as F
+
+    from cloakwork.operators.spans import detect
+
+    plan = spark.createDataFrame([("x",)], "t string").select(detect(F.col("t"), "a16_jwt"))._jdf.queryExecution().analyzed().toString()
+    assert "RLIKE" in plan.upper()
