@@ -53,7 +53,8 @@ VERHOEFF_P = [
 @dataclass(frozen=True)
 class Detector:
     """``hints``: substrings (lower case) without one of which nothing can match; ``digits``: how many digits a
-    match has at least; ``re2``: a form without lookarounds."""
+    match has at least; ``re2``: a form without lookarounds; ``also``: further substrings, of which a match
+    has one; ``least``: a match's least length."""
 
     id: str
     kind: str
@@ -63,6 +64,8 @@ class Detector:
     hints: tuple[str, ...] = ()
     re2: str | None = None
     digits: int = 0
+    also: tuple[str, ...] = ()
+    least: int = 0
 
 
 # What each detector matches.
@@ -83,20 +86,22 @@ DETECTORS = [
     Detector("a14_bearer", "TOKEN", r"\bBearer\s+([^\s,;'\"<>]{3,})", group=1, hints=("bearer",)),
     Detector("a15_vendor_key", "API_KEY",
              r"\b(?:sk-(?:proj-|test-|live-)?[A-Za-z0-9_-]{12,}|gh[pousr]_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{20,}|xox[baprs]-[A-Za-z0-9-]{12,}|AKIA[0-9A-Z]{16})\b",
-             fold=False, hints=("sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "akia")),
+             fold=False, hints=("sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "akia"), also=("-", "_", "akia")),
     Detector("a16_jwt", "TOKEN", r"\b(?:eyJ[A-Za-z0-9_-]{12,}\.)[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{8,}\b", fold=False, hints=("eyj",)),
     Detector("a17_token_path", "TOKEN", r"\/(?:reset|activate|verify|auth|invite|token|key)\/([A-Za-z0-9_%.~-]{12,})", group=1,
-             hints=("reset/", "activate/", "verify/", "auth/", "invite/", "token/", "key/")),
+             hints=("reset/", "activate/", "verify/", "auth/", "invite/", "token/", "key/"), also=("/",)),
     Detector("a18_labelled_secret", "*",
              r"(?<![?&#])\b(password|passwd|passcode|pwd|otp|one[ -]?time[ -]?(?:password|code)|pin|cvv|cvc|security[ -]?answer|api[ _-]?key|access[ _-]?token|auth[ _-]?token|refresh[ _-]?token|token|secret|credential|account(?:[ _-]?(?:number|no))?|bank[ _-]?account|card(?:[ _-]?(?:number|no))?|e-?mail|phone|mobile|passport(?:[ _-]?number)?|national[ _-]?id|ifsc)\s*(?:(?:number|value|code)\s*)?(?::|=|\bis\b)\s*(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\r\n|;,{}<>]+))",
-             hints=("pass", "pwd", "otp", "time", "pin", "cvv", "cvc", "answer", "api", "token", "secret", "credential", "account", "card", "mail", "phone", "mobile", "national", "ifsc")),
+             hints=("pass", "pwd", "otp", "time", "pin", "cvv", "cvc", "answer", "api", "token", "secret", "credential", "account", "card", "mail", "phone", "mobile", "national", "ifsc"), also=(":", "=", "is")),
     Detector("a19_labelled_person", "*",
              r"\b(full[ _-]?name|first[ _-]?name|last[ _-]?name|given[ _-]?name|family[ _-]?name|name|shipping[ _-]?address|billing[ _-]?address|street[ _-]?address|address)\s*[:=]\s*([^\r\n|;,]{2,80})",
-             group=2, hints=("name", "address")),
+             group=2, hints=("name", "address"), also=(":", "=")),
     Detector("a20_opaque", "UNKNOWN", r"(?<![A-Za-z0-9_])[A-Za-z0-9_-]{28,}(?![A-Za-z0-9_])", fold=False,
-             re2=r"(?:\b[A-Za-z0-9_]|\B-)[A-Za-z0-9_-]{26,}(?:[A-Za-z0-9_]\b|-\B)", digits=4),
+             re2=r"(?:\b[A-Za-z0-9_]|\B-)[A-Za-z0-9_-]{26,}(?:[A-Za-z0-9_]\b|-\B)", digits=4, least=28),
 ]
 BY_ID = {d.id: d for d in DETECTORS}
+#: A text without it has no match of any detector; for Java's engine.
+SUSPECT = r"(?i)(?:[@%=:/]|is)[\s\S]|\d(?:[ .-]?\d){9}|[A-Z]\d{4}[A-Z]|canary|-----begin |bearer|sk-|gh[pousr]_|github_pat_|xox|akia|eyj|[A-Z0-9_-]{28}"
 NEXT_LABEL = r"\s+(?:(?:e-?mail|phone|name|address|password|account|card|otp|pan)\s*[:=])"
 
 _SPACE = r"\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"

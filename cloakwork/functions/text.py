@@ -65,8 +65,8 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
     """
     # split() compiles its pattern for every row, unless it is a single character.
     marked = F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1)
-    arrays = [F.when(text.contains(_MARK), F.split(text, pattern, -1)).otherwise(marked).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole")]
-    arrays += [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in range(1, groups + 1)]
+    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}" if g else "whole") for g in range(groups + 1)]
+    gaps = F.when(text.contains(_MARK), F.split(text, pattern, -1)).otherwise(marked).alias("gap")
     fields = ["whole", *[f"g{g}" for g in range(1, groups + 1)]]
     # Only numbers are carried along: a fold copies what it carries at each step, and texts are added to their places afterwards.
     first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
@@ -83,4 +83,8 @@ def matches(text: Column, pattern: str, groups: int = 0) -> Column:
         whole = F.filter(zipped, lambda x: x["whole"].isNotNull())
         return F.zip_with(starts, whole, lambda s, x: F.struct(s.alias("start"), *[x[f].alias(f) for f in fields]))
 
-    return let(F.arrays_zip(*arrays), placed)
+    def read(x: Column) -> Column:
+        one = F.struct(F.length(x["gap"][0]).alias("start"), *[x[f][0].alias(f) for f in fields])
+        return F.when(F.size(x["whole"]) == 1, F.array(one)).otherwise(let(F.arrays_zip(*[x[f].alias(f) for f in ("gap", *fields)]), placed))
+
+    return let(F.struct(gaps, *found), read)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import half_up, let
-from .spans import find_spans
+from .spans import spans_of
 
 # Bounds of sources and of the scale between page and capture.
 MAX_SIDE, MAX_PIXELS = 100_000, 12_000_000
@@ -156,9 +156,11 @@ def union_boxes(boxes: Column) -> Column:
     def step(merged: Column, box: Column) -> Column:
         first = F.struct(box.cast(CORNERS).alias("now"), merged.alias("rest"))
         rounds = F.sequence(F.lit(0), F.size(merged))
-        return F.aggregate(rounds, first, absorb, lambda s: F.concat(s["rest"], F.array(s["now"])))
+        alone = F.concat(merged, F.array(box.cast(CORNERS)))
+        return F.when(~F.exists(merged, lambda m: touch(box, m)), alone).otherwise(F.aggregate(rounds, first, absorb, lambda s: F.concat(s["rest"], F.array(s["now"]))))
 
-    return F.aggregate(boxes, F.expr(f"cast(array() as array<{CORNERS}>)"), step)
+    kind = f"array<{CORNERS}>"
+    return let(boxes, lambda b: F.when(F.size(b) < 2, b.cast(kind)).otherwise(F.aggregate(b, F.expr(f"cast(array() as {kind})"), step)))
 
 
 def split_runs(words: DataFrame, page: list[str], order: list[str]) -> DataFrame:
@@ -182,59 +184,57 @@ def group_rows(words: Column) -> Column:
     Words by middle and left edge; a word joins the first row that it overlaps by 45 per cent of the lower
     height and whose centre is within 60 per cent of the greater height.
     """
+    # A fold copies what it carries at each step, so that words are carried as numbers.
     mid = lambda w: w["box"]["y1"] + w["box"]["y2"]
-    keyed = F.sort_array(F.transform(words, lambda w, i: F.struct(mid(w).alias("m"), w["box"]["x1"].alias("x"), i.alias("i"), w.alias("w"))))
-    row_type = "struct<top:double,bottom:double,centre:double,words:array<struct<x1:double,y1:double,i:int,word:struct<text:string,confidence:double,box:" + CORNERS + ">>>>"
+    keyed = F.sort_array(F.transform(words, lambda w, i: F.struct(
+        mid(w).cast("double").alias("m"), w["box"]["x1"].cast("double").alias("x"), i.alias("i"), w["box"]["y1"].cast("double").alias("top"), w["box"]["y2"].cast("double").alias("bottom"))))
+    row_type = "struct<top:double,bottom:double,centre:double,words:array<struct<x1:double,y1:double,i:int>>>"
+    entry = lambda x: F.struct(x["x"].alias("x1"), x["top"].alias("y1"), x["i"].alias("i"))
 
-    def entry(x: Column) -> Column:
-        w = x["w"]
-        word = F.struct(w["text"].alias("text"), w["confidence"].alias("confidence"), w["box"].cast(CORNERS).alias("box"))
-        return F.struct(w["box"]["x1"].alias("x1"), w["box"]["y1"].alias("y1"), x["i"].alias("i"), word.alias("word"))
-
-    def fits(r: Column, w: Column) -> Column:
-        overlap = F.least(w["box"]["y2"], r["bottom"]) - F.greatest(w["box"]["y1"], r["top"])
-        height, tall = w["box"]["y2"] - w["box"]["y1"], r["bottom"] - r["top"]
-        return (overlap >= F.least(height, tall) * 0.45) & (F.abs(mid(w) / 2 - r["centre"]) <= F.greatest(height, tall) * 0.6)
+    def fits(r: Column, x: Column) -> Column:
+        overlap = F.least(x["bottom"], r["bottom"]) - F.greatest(x["top"], r["top"])
+        height, tall = x["bottom"] - x["top"], r["bottom"] - r["top"]
+        return (overlap >= F.least(height, tall) * 0.45) & (F.abs(x["m"] / 2 - r["centre"]) <= F.greatest(height, tall) * 0.6)
 
     def grown(r: Column, x: Column) -> Column:
-        top, bottom = F.least(r["top"], x["w"]["box"]["y1"]), F.greatest(r["bottom"], x["w"]["box"]["y2"])
+        top, bottom = F.least(r["top"], x["top"]), F.greatest(r["bottom"], x["bottom"])
         return F.struct(top.alias("top"), bottom.alias("bottom"), ((top + bottom) / 2).alias("centre"), F.concat(r["words"], F.array(entry(x))).alias("words"))
 
     def step(rows: Column, x: Column) -> Column:
-        w = x["w"]
-        at = F.array_position(F.transform(rows, lambda r: fits(r, w)), True)
-        one = F.struct(w["box"]["y1"].alias("top"), w["box"]["y2"].alias("bottom"), (mid(w) / 2).alias("centre"), F.array(entry(x)).alias("words"))
-        return F.when(at == 0, F.concat(rows, F.array(one))).otherwise(
-            F.transform(rows, lambda r, i: F.when(i == at - 1, grown(r, x)).otherwise(r))
+        one = F.struct(x["top"].alias("top"), x["bottom"].alias("bottom"), (x["m"] / 2).alias("centre"), F.array(entry(x)).alias("words"))
+        return let(
+            F.array_position(F.transform(rows, lambda r: fits(r, x)), True),
+            lambda at: F.when(at == 0, F.concat(rows, F.array(one))).otherwise(F.transform(rows, lambda r, i: F.when(i == at - 1, grown(r, x)).otherwise(r))),
         )
 
+    def word(e: Column) -> Column:
+        w = words[e["i"]]
+        return F.struct(w["text"].alias("text"), w["confidence"].alias("confidence"), w["box"].cast(CORNERS).alias("box"))
+
     rows = F.aggregate(keyed, F.expr(f"cast(array() as array<{row_type}>)"), step)
     return F.transform(
         rows,
-        lambda r: F.struct(
-            r["top"].alias("top"), r["bottom"].alias("bottom"), r["centre"].alias("centre"),
-            F.transform(F.sort_array(r["words"]), lambda e: e["word"]).alias("words"),
-        ),
-    )
+        lambda r: F.struct(r["top"].alias("top"), r["bottom"].alias("bottom"), r["centre"].alias("centre"), F.transform(F.sort_array(r["words"]), word).alias("words")),
+    )
 
 
 def runs_of(words: Column) -> Column:
     """An ordered array of words cut into runs, as :func:`split_runs` does for rows."""
-    height = lambda w: w["box"]["y2"] - w["box"]["y1"]
+    # The places where runs begin, and right edge and height of the rightmost word of the last one.
+    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"), F.lit(0.0).alias("x2"), F.lit(0.0).alias("h"))
 
-    def rightmost(run: Column) -> Column:
-        return F.aggregate(run, run[0], lambda e, w: F.when(w["box"]["x2"] > e["box"]["x2"], w).otherwise(e))
+    def step(acc: Column, w: Column) -> Column:
+        height, right = (w["box"]["y2"] - w["box"]["y1"]).cast("double"), w["box"]["x2"].cast("double")
+        gap = F.greatest(F.lit(12.0), F.least(F.lit(32.0), F.ceil(F.greatest(acc["h"], height) * 0.75)))
+        after = (acc["at"] + 1).alias("at")
+        begun = F.struct(after, F.concat(acc["starts"], F.array(acc["at"])).alias("starts"), right.alias("x2"), height.alias("h"))
+        further = F.struct(after, acc["starts"].alias("starts"), right.alias("x2"), height.alias("h"))
+        within = F.struct(after, acc["starts"].alias("starts"), acc["x2"].alias("x2"), acc["h"].alias("h"))
+        return F.when((acc["at"] == 0) | (w["box"]["x1"] - acc["x2"] > gap), begun).when(right > acc["x2"], further).otherwise(within)
 
-    def step(runs: Column, w: Column) -> Column:
-        last = F.element_at(runs, -1)
-        joined = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.concat(last, F.array(w))))
-        edge = rightmost(last)
-        gap = F.greatest(F.lit(12.0), F.least(F.lit(32.0), F.ceil(F.greatest(height(edge), height(w)) * 0.75)))
-        return F.when(F.size(runs) == 0, F.array(F.array(w))).when(
-            w["box"]["x1"] - edge["box"]["x2"] > gap, F.concat(runs, F.array(F.array(w)))
-        ).otherwise(joined)
-
-    return F.aggregate(words, F.filter(F.array(words), lambda x: F.lit(False)), step)
+    starts = F.aggregate(words, first, step, lambda acc: acc["starts"])
+    cut = let(starts, lambda s: F.transform(s, lambda at, i: F.slice(words, at + 1, F.coalesce(F.get(s, i + 1), F.size(words)) - at)))
+    return F.when(F.size(words) == 1, F.array(words)).otherwise(cut)
 
 
 def scan_run(words: Column, separator: str | Column) -> Column:
@@ -248,14 +248,17 @@ def scan_run(words: Column, separator: str | Column) -> Column:
 
     places = F.aggregate(words, F.expr(f"cast(array() as array<struct<start:int,stop:int,box:{CORNERS}>>)"), place)
     # array_join() takes constants only as its separator.
-    text = F.concat_ws("", F.transform(words, lambda w, i: F.concat(F.when(i > 0, separator).otherwise(""), w["text"])))
-    return let(
-        places,
-        lambda p: F.transform(
-            let(text, find_spans),
-            lambda s: bounding(F.transform(F.filter(p, lambda o: (s["start"] < o["stop"]) & (s["end"] > o["start"])), lambda o: o["box"])),
-        ),
-    )
+    joined = F.concat_ws("", F.transform(words, lambda w, i: F.concat(F.when(i > 0, separator).otherwise(""), w["text"])))
+    # Of a single word each span touches that word.
+    alone = F.size(words) == 1
+    text = F.when(alone, F.coalesce(words[0]["text"], F.lit(""))).otherwise(joined)
+
+    def around(spans: Column) -> Column:
+        boxes = lambda p: F.transform(spans, lambda s: bounding(F.transform(F.filter(p, lambda o: (s["start"] < o["stop"]) & (s["end"] > o["start"])), lambda o: o["box"])))
+        none = F.expr(f"cast(array() as array<{CORNERS}>)")
+        return F.when(F.size(spans) == 0, none).when(alone, F.transform(spans, lambda s: words[0]["box"].cast(CORNERS))).otherwise(let(places, boxes))
+
+    return let(let(text, spans_of), around)
 
 
 def review_words(words: Column, width: Column, height: Column, least: float = 40.0, most: int = 600) -> Column:
@@ -282,9 +285,7 @@ def review_words(words: Column, width: Column, height: Column, least: float = 40
     )
     regions = union_boxes(F.flatten(F.flatten(F.transform(group_rows(words), lambda r: F.transform(runs_of(r["words"]), masks)))))
     none = F.expr(f"cast(array() as array<{CORNERS}>)")
-    return F.struct(
-        F.coalesce(~valid, F.lit(True)).alias("full"), F.when(F.coalesce(valid, F.lit(False)), regions).otherwise(none).alias("regions")
-    )
+    return let(F.coalesce(valid, F.lit(False)), lambda v: F.struct((~v).alias("full"), F.when(v, regions).otherwise(none).alias("regions")))
 
 
 def plan_masks(words: Column, space: Column, surface: Column, scale: Column, width: Column, height: Column) -> Column:
