@@ -12,6 +12,8 @@ from .patterns import java
 SPAN = "array<struct<start:int,end:int,kind:string>>"
 #: A character that texts hardly have; where one has it, it isn't used.
 _MARK = "\x01"
+#: How many numbers a fold that carries an array takes at a time.
+_BLOCK = 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -57,34 +59,49 @@ def last_index(whole: Column, part: Column) -> Column:
     return F.length(whole) - F.length(part) - (F.position(F.reverse(part), F.reverse(whole)) - 1)
 
 
-def matches(text: Column, pattern: str, groups: int = 0) -> Column:
+def running(sizes: Column) -> Column:
+    """The sum of all sizes before each, for an array of integers that is at hand.
+
+    A fold copies what it carries at each step, so it runs over blocks and then over each block.
+    """
+
+    def fold(block: Column, at: Column) -> Column:
+        first = F.struct(at.alias("at"), F.expr("cast(array() as array<int>)").alias("sums"))
+        step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["sums"], F.array(acc["at"])).alias("sums"))
+        return F.aggregate(block, first, step, lambda acc: acc["sums"])
+
+    def joined(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda total, n: total + n))
+        return F.flatten(F.zip_with(blocks, fold(totals, F.lit(0)), fold))
+
+    last = F.floor(F.greatest(F.size(sizes) - 1, F.lit(0)) / _BLOCK).cast("int")
+    return let(F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK))), joined)
+
+
+def matches(text: Column, pattern: str, groups: int = 0, most: Column | None = None) -> Column:
     """array<struct<start, whole, g1, ...>> of all matches, starts in code points from 0.
 
     The text between matches gives the places: a match begins where all gaps and matches before it end.
-    Matches aren't empty.
+    Matches aren't empty.  If there are more than ``most`` all are returned, but their places aren't worked out and are 0.
     """
     # split() compiles its pattern for every row, unless it is a single character.
     marked = F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1)
     found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}" if g else "whole") for g in range(groups + 1)]
-    gaps = F.when(text.contains(_MARK), F.split(text, pattern, -1)).otherwise(marked).alias("gap")
-    fields = ["whole", *[f"g{g}" for g in range(1, groups + 1)]]
-    # Only numbers are carried along: a fold copies what it carries at each step, and texts are added to their places afterwards.
-    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = (acc["at"] + F.length(x["gap"])).cast("int")
-        return F.when(
-            x["whole"].isNotNull(),
-            F.struct((start + F.length(x["whole"])).cast("int").alias("at"), F.concat(acc["starts"], F.array(start)).alias("starts")),
-        ).otherwise(acc)
-
-    def placed(zipped: Column) -> Column:
-        starts = F.aggregate(zipped, first, step, lambda acc: acc["starts"])
-        whole = F.filter(zipped, lambda x: x["whole"].isNotNull())
-        return F.zip_with(starts, whole, lambda s, x: F.struct(s.alias("start"), *[x[f].alias(f) for f in fields]))
+    gaps = F.when(text.contains(_MARK), F.split(text, pattern, -1)).otherwise(marked)
+
+    def listed(x: Column, start: Callable[[Column], Column]) -> Column:
+        return F.transform(
+            x["whole"],
+            lambda w, i: F.struct(start(i).cast("int").alias("start"), w.alias("whole"), *[F.get(x[f"g{g}"], i).alias(f"g{g}") for g in range(1, groups + 1)]),
+        )
+
+    def placed(x: Column, gap: Column) -> Column:
+        sizes = F.zip_with(gap, x["whole"], lambda between, w: F.length(between) + F.coalesce(F.length(w), F.lit(0)))
+        several = let(sizes, lambda n: let(running(n), lambda before: listed(x, lambda i: F.get(before, i) + F.length(F.get(gap, i)))))
+        return F.when(F.size(x["whole"]) == 1, listed(x, lambda i: F.length(gap[0]))).otherwise(several)
 
     def read(x: Column) -> Column:
-        one = F.struct(F.length(x["gap"][0]).alias("start"), *[x[f][0].alias(f) for f in fields])
-        return F.when(F.size(x["whole"]) == 1, F.array(one)).otherwise(let(F.arrays_zip(*[x[f].alias(f) for f in ("gap", *fields)]), placed))
+        all_placed = let(gaps, lambda gap: placed(x, gap))
+        return all_placed if most is None else F.when(F.size(x["whole"]) > most, listed(x, lambda i: F.lit(0))).otherwise(all_placed)
 
-    return let(F.struct(gaps, *found), read)
+    return let(F.struct(*found), read)

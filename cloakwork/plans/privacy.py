@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import BY_ID, DETECTORS, KIND_ALIASES, PRIORITY, SECRET_KEYS, VERHOEFF_D, VERHOEFF_P, re2
 from ..functions.text import with_once
 from ..operators import spans
-from ..sources.tables import spread, table
+from ..sources.tables import PAGE_PART, spread, table
 
 _K = "CAST(c_custkey AS STRING)"
 PROBE = f"""CASE c_custkey % 20
@@ -241,7 +241,8 @@ _MANY = "repeat('a1@b.example ', CAST(150 + c_custkey % 200 AS INT))"
 
 def a22_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of 150 to 349 addresses: over 256 candidates are one span."""
-    found = with_once(spread(table(spark, sf_dir, "customer")).select("c_custkey", F.expr(_MANY).alias("t")), "s", spans.find_spans(F.col("t")))
+    keys = spread(table(spark, sf_dir, "customer").select("c_custkey"), PAGE_PART)
+    found = with_once(keys.select("c_custkey", F.expr(_MANY).alias("t")), "s", spans.find_spans(F.col("t")))
     return found.select("c_custkey", F.size("s").cast("long").alias("n"), F.col("s")[0]["kind"].alias("kind"))
 
 
