@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from pathlib import Path
 
 import pytest
@@ -175,3 +176,16 @@ def test_places_of_many_matches_and_counts_over_the_cap(spark):
     assert result["two"] == [(0, len(many["two"]), "UNKNOWN")]
     empty = spark.createDataFrame([([(5, 5, "OTP"), (5, 9, "EMAIL"), (2, 4, "PIN")],)], "s array<struct<start:int,end:int,kind:string>>")
     assert [tuple(s) for s in empty.select(spans.merge_spans(F.col("s")).alias("s")).first().s] == [(2, 4, "PIN"), (5, 9, "OTP")]
+
+
+def test_pixels_of_all_boxes_of_a_part(spark):
+    """Before, only the least and the greatest box of a part were painted."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_partkey < 3").collect()
+    painted: dict = {}
+    for r in lines:
+        x, y, w, h = r.l_partkey % 50, r.l_suppkey % 40, 5 + math.ceil(r.l_quantity), 5 + 3 * r.l_linenumber
+        for side, left in enumerate((x, x + r.l_partkey % 3)):
+            cells = painted.setdefault(r.l_partkey, (set(), set()))[side]
+            cells |= {(i, j) for i in range(left, min(100, left + w)) for j in range(y, min(70, y + h))}
+    got = {r.page: (r.expected, r.redacted, r.both) for r in QUERIES["f09_pixels"](spark, SF).where("page < 3").collect()}
+    assert got == {p: (len(e), len(o), len(e & o)) for p, (e, o) in painted.items()}
